@@ -95,7 +95,7 @@ ORACLE_SQL: dict[str, str] = {
     # Exact counterparts; cosines of 64 float components, as in the operator, in double precision.
     "op7_embedding_dedup": """
         WITH RECURSIVE v AS (
-            SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
         ), links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
             WHERE list_cosine_similarity(a.e, b.e) >= 0.98
