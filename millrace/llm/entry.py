@@ -106,4 +106,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT l.a AS vec_id, coalesce(c.n, 0)::BIGINT AS n_links, l.component_id, l.a = l.component_id AS kept
         FROM least l LEFT JOIN counted c ON c.a = l.a
     """,
+    # Classes and links from all pairs that share a shingle, compared exactly.
+    "op8_text_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+                lambda i: array_to_string(w[i : i + 4], ' ')))) AS s FROM w WHERE len(w) > 0
+        ), classes AS (
+            SELECT min(doc_id) AS class_id, any_value(s) AS s, list(doc_id) AS docs FROM s GROUP BY md5(array_to_string(s, chr(10)))
+        ), e AS (SELECT class_id, len(s) AS n, unnest(s) AS x FROM classes),
+        links AS (
+            SELECT a.class_id AS a, b.class_id AS b FROM e a JOIN e b ON a.x = b.x AND a.class_id <> b.class_id
+            GROUP BY 1, 2, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))
+        ), reach(a, b) AS (
+            SELECT class_id, class_id FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        found AS (SELECT unnest(docs) AS doc_id, class_id, component_id FROM classes JOIN least ON a = class_id)
+        SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(component_id, d.doc_id) AS component_id,
+            coalesce(component_id, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
+    """,
 }
