@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strip_fence, words
+from millrace.sources.scratch import written
 
 TRIPLETS = "struct<triplets:array<struct<subject:string,predicate:string,object:string>>>"
 
@@ -90,15 +91,15 @@ def shortest_path(pairs: DataFrame, edges: DataFrame, most: int = 3) -> DataFram
     """``(src, dst, nodes, rels)``: a shortest undirected path of up to ``most`` edges for each pair that has one.
 
     Breadth first, all pairs at once: each level joins the frontier with the edges, keeps the smallest path per (pair,
-    node), drops nodes seen before by an anti join and stops pairs that arrived. Among equal lengths the path of
+    node), drops nodes seen before by an anti join, stops pairs that arrived, and is a written table. Among equal lengths the path of
     smallest nodes wins. Pairs of equal ends have the path of that node.
     """
-    ways = both_ways(edges).select("a", "b", "rel").distinct()
+    ways = written(both_ways(edges).select("a", "b", "rel").distinct(), "ways")
     front = pairs.select("src", "dst").distinct().withColumns(
         {"node": F.col("src"), "nodes": F.array("src"), "rels": F.array().cast("array<string>")}
     )
-    arrived = front.where("src = dst")
-    front = front.where("src <> dst")
+    front = written(front, "front")
+    arrived, front = front.where("src = dst"), front.where("src <> dst")
     seen = front.select("src", "dst", "node")
     for _ in range(most):
         ahead = front.join(ways, front["node"] == ways["a"])
@@ -109,11 +110,10 @@ def shortest_path(pairs: DataFrame, edges: DataFrame, most: int = 3) -> DataFram
             F.struct(F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels")).alias("p"),
         )
         ahead = ahead.join(seen, ["src", "dst", "node"], "left_anti").groupBy("src", "dst", "node").agg(F.min("p").alias("p"))
-        front = ahead.select("src", "dst", "node", "p.nodes", "p.rels")
-        arrived = arrived.unionByName(front.where("node = dst"))
-        done = arrived.select("src", "dst")
-        seen = seen.unionByName(front.select("src", "dst", "node"))
-        front = front.join(done, ["src", "dst"], "left_anti")
+        level = written(ahead.select("src", "dst", "node", "p.nodes", "p.rels"), "level")
+        here = level.where("node = dst")
+        arrived, seen = arrived.unionByName(here), seen.unionByName(level.select("src", "dst", "node"))
+        front = level.join(here.select("src", "dst"), ["src", "dst"], "left_anti")
     return arrived.select("src", "dst", "nodes", "rels")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import graph as G
 from millrace.plans.registry import query, table
+from millrace.sources.scratch import written
 
 NODES_SQL = """
     nodes AS (SELECT c_name AS name, 'Customer' AS label FROM customer UNION ALL SELECT n_name, 'Nation' FROM nation
@@ -223,7 +224,7 @@ def facts(spark, d):
     nation = table(spark, d, "nation")
     asked = table(spark, d, "customer").where("c_custkey % 50 = 0").join(nation, F.col("n_nationkey") == F.col("c_custkey") % 25)
     question = F.concat(F.lit("what of "), "c_name", F.lit(" and "), "n_name", F.lit(" ?"))
-    return G.graph_facts(asked.select(F.col("c_custkey").alias("query_id"), question.alias("question")), nodes(spark, d), edges(spark, d))
+    return G.graph_facts(asked.select(F.col("c_custkey").alias("query_id"), question.alias("question")), nodes(spark, d), written(edges(spark, d), "edges"))
 
 
 @query("e12_graph_facts", f"WITH {FACTS_SQL} SELECT query_id, place, type, array_to_string(nodes, '>') AS nodes, array_to_string(rels, '>') AS rels FROM facts")

@@ -13,6 +13,7 @@ from millrace.plans.chunk_queries import sql_sub_chunks
 from millrace.plans.ingest_queries import sql_windows
 from millrace.plans.registry import query, table
 from millrace.plans.text_queries import SQL_WORDS
+from millrace.sources.scratch import written
 
 SQL_TOKENS = r"regexp_extract_all(lower({0}), '[\pL\pN]+')"
 QUESTIONS_SQL = f"""
@@ -220,7 +221,7 @@ def d13(spark, d):
 )
 def d14(spark, d):
     label = F.concat_ws(".", F.col("parent_chunk_id").cast("string"), F.col("sub_order").cast("string"))
-    rows = ranked(spark, d)
+    rows = written(ranked(spark, d), "ranked")  # read three times below
     listed = R.ordered_text(rows, "query_id", "rank", label, ",", 10, "sources")
     counted = rows.groupBy("query_id").agg(F.count("*").alias("total_sources"))
     level = R.confidence_gate(R.confidence_summary(questions(spark, d), rows), 0.5, 2).select("query_id", "level")
