@@ -1,14 +1,16 @@
 """What the operators of this package share: the shared folder, written tables and Arrow batch maps."""
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import shared_dir, written
+
+__all__ = ["BoundedCache", "importable_on_workers", "map_texts", "shared_dir", "slices", "written"]
+
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -20,27 +22,6 @@ def importable_on_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT, *filter(None, paths)])
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``, which the driver and all executors share.
-
-    Where the setting is absent (a local session, as in tests), a local temporary folder is set in its place.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.millrace.sharedDir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.millrace.sharedDir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_texts(
     docs: DataFrame,
     fn: Callable[[Iterator[tuple[pa.Array, list[str | None]]]], Iterator[pa.RecordBatch]],
