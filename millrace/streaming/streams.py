@@ -1,10 +1,13 @@
 """Structured Streaming forms: new documents, the query log, and answer events."""
 
-from collections.abc import Callable
+import io
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def stream_new_documents(
@@ -79,3 +82,73 @@ def rollup_stream_events(events: DataFrame) -> DataFrame:
     )
     status = F.when(F.col("_error") == 1, "error").when(F.col("_done") == 1, "done").otherwise("open")
     return out.withColumn("status", status).drop("_done", "_error")
+
+
+ANSWER = "request_id string, answer string, metadata string, confidence string, citations string, total_ms long, tokens long, status string, late long"
+
+
+def stream_answers(events: DataFrame, wait: str = "10 minutes", wait_ms: int = 600_000) -> DataFrame:
+    """The streaming form of :func:`rollup_stream_events`: one row per request, when it ends.
+
+    A request's events are kept as state until ``done`` or ``error`` arrives; the row is emitted then. A request
+    without an end is emitted as ``open`` once the watermark, ``wait`` behind the newest event, is ``wait_ms`` past its
+    last event. Events that arrive after the row was emitted are counted; a request whose late events run out is
+    reported again with status ``late`` and their number. State is removed by the timer, so it never outlives its use.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            held, closed, late = state.get
+            state.remove()
+            if not closed:
+                yield _answer_row(key[0], pd.read_json(io.StringIO(held), orient="records", dtype=False), "open", 0)
+            elif late:
+                yield _answer_row(key[0], pd.DataFrame(columns=["seq", "ms", "type", "data"]), "late", late)
+            return
+        held, closed, late = state.get if state.exists else ("[]", False, 0)
+        fresh = pd.concat(list(batches))
+        fresh = fresh.assign(ms=fresh["ts"].astype("int64") // (1000 if fresh["ts"].dtype.str.endswith("[us]") else 1_000_000))
+        newest = int(fresh["ms"].max())
+        fresh = fresh[["seq", "ms", "type", "data"]]
+        if closed:
+            late += len(fresh)
+        else:
+            old = pd.read_json(io.StringIO(held), orient="records", dtype=False)
+            both = pd.concat([old, fresh]) if len(old) else fresh
+            ends = both["type"].isin(["done", "error"])
+            closed = bool(ends.any())
+            held = "[]" if closed else both.to_json(orient="records")
+            if closed:
+                yield _answer_row(key[0], both, "error" if (both["type"] == "error").any() else "done", 0)
+        state.update((held, closed, late))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + wait_ms)
+
+    rows = events.select("request_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "data").withWatermark("ts", wait)
+    kept = "held string, closed boolean, late long"
+    return rows.groupBy("request_id").applyInPandasWithState(step, ANSWER, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _answer_row(request: str, events: pd.DataFrame, status: str, late: int) -> pd.DataFrame:
+    ordered = events.sort_values("seq")
+
+    def of(kind: str) -> list[str]:
+        return ordered.loc[ordered["type"] == kind, "data"].tolist()
+
+    def pick(kind: str, at: int) -> str | None:
+        found = of(kind)
+        return found[at] if found else None
+
+    chunks = of("chunk")
+    return pd.DataFrame(
+        {
+            "request_id": [request],
+            "answer": ["".join(chunks)],
+            "metadata": [pick("metadata", 0)],
+            "confidence": [pick("confidence", 0)],
+            "citations": [pick("citations", -1)],
+            "total_ms": [int(ordered["ms"].max() - ordered["ms"].min()) if len(ordered) else 0],
+            "tokens": [len(chunks)],
+            "status": [status],
+            "late": [late],
+        }
+    )

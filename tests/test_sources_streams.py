@@ -70,3 +70,39 @@ def test_log_stream_equals_batch(spark, tmp_path):
     batch = {(r.start, r.event_type): r.n for r in streams.log_windows(events).collect()}
     assert got and all(batch[k] == n for k, n in got.items())
     assert all(k in got for k in batch if (newest - k[0]).total_seconds() > 3600 + 600 + 60)
+
+
+def test_answer_stream_equals_batch(spark, tmp_path):
+    kinds = ["metadata", "confidence", "chunk", "chunk", "chunk", "citations", "done"]
+    rows = []
+    for r in range(40):
+        count = 5 if r % 5 == 0 else 7  # every fifth request never ends
+        for n in range(count):
+            kind = "error" if r % 7 == 3 and n == 6 else kinds[n]
+            rows.append((f"r{r}", n, f"2024-01-01 00:{r % 50:02d}:{n:02d}", kind, f"{kind}{n} "))
+    events = spark.createDataFrame(rows, "request_id string, seq long, ts string, type string, data string")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    inbox = str(tmp_path / "in")
+    events.write.parquet(inbox)
+    later = [("zz", 0, "2024-01-02 00:00:00", "done", ""), ("r1", 99, "2024-01-02 00:00:00", "chunk", "late")]
+    stream = streams.stream_answers(spark.readStream.schema(events.schema).parquet(inbox))
+
+    def run():
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "cp"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    last = spark.createDataFrame(later, "request_id string, seq long, ts string, type string, data string")
+    last.withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(inbox)
+    run()
+    got = {r.request_id: r for r in spark.read.parquet(str(tmp_path / "out")).where("status <> 'late'").collect()}
+    batch = {r.request_id: r for r in streams.rollup_stream_events(events).collect()}
+    assert set(got) - {"zz"} == set(batch)
+    for name in ("answer", "metadata", "confidence", "citations", "total_ms", "tokens", "status"):
+        assert {k: getattr(got[k], name) for k in batch} == {k: getattr(v, name) for k, v in batch.items()}
