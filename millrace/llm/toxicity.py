@@ -34,14 +34,10 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def weight_of(self, token: str) -> float:
-        """Sum of the weights of a token's features."""
-        total = 0.0
-        for f in features_of(token):
-            i = int(np.searchsorted(self.features, f))
-            if i < len(self.features) and self.features[i] == f:
-                total += float(self.weights[i])
-        return total
+    def lookup(self):
+        """A function from tokens to the sums of their features' weights."""
+        weights = dict(zip(self.features.tolist(), self.weights.tolist(), strict=True))
+        return lambda token: sum(weights.get(f, 0.0) for f in features_of(token))
 
 
 def training_sample(labels: DataFrame, max_docs: int) -> DataFrame:
@@ -61,7 +57,7 @@ def held_out(doc_id):
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, min_docs: int = 4, rounds: int = 150, l1: float = 5e-4
+    docs: DataFrame, labels: DataFrame, max_docs: int = 6_000, min_docs: int = 4, rounds: int = 100, l1: float = 5e-4
 ) -> ToxicityModel:
     """Train on the texts of at most ``max_docs`` labelled rows (:func:`training_sample`).
 
@@ -85,18 +81,13 @@ def fit_toxicity(
             columns = [toxic, pa.array(words, pa.binary()), pa.array(ends, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "features", "sizes"])
 
-    rows = map_texts(chosen, run, "features binary, sizes binary", "toxic").toPandas()
-    labels_seen = rows["key"].to_numpy(np.float64) if len(rows) else np.zeros(0)
-    if not labels_seen.any():
+    rows = map_texts(chosen, run, "features binary, sizes binary", "toxic").toArrow()
+    toxic = rows.column("key").to_numpy().astype(np.float64)
+    if not toxic.any():
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -9.0)
-    return _climb(
-        [np.frombuffer(f, np.int32) for f in rows["features"]],
-        [s[s > 0] for s in (np.frombuffer(s, np.int32) for s in rows["sizes"])],
-        labels_seen,
-        min_docs,
-        rounds,
-        l1,
-    )
+    features = [np.frombuffer(f.as_buffer(), np.int32) for f in rows.column("features")]
+    sizes = [np.frombuffer(s.as_buffer(), np.int32) for s in rows.column("sizes")]
+    return _climb(features, [s[s > 0] for s in sizes], toxic, min_docs, rounds, l1)
 
 
 def _climb(features, sizes, labels, min_docs, rounds, l1) -> ToxicityModel:
@@ -105,13 +96,16 @@ def _climb(features, sizes, labels, min_docs, rounds, l1) -> ToxicityModel:
     features, sizes, labels = [features[i] for i in some], [sizes[i] for i in some], labels[some]
     vocabulary, seen = np.unique(np.concatenate([np.unique(f) for f in features]), return_counts=True)
     vocabulary = vocabulary[seen >= min_docs]
-    flat = np.concatenate(features)
-    where = np.searchsorted(vocabulary, flat)
-    known = (where < len(vocabulary)) & (vocabulary[np.minimum(where, len(vocabulary) - 1)] == flat)
-    sentence = np.repeat(np.arange(sum(map(len, sizes))), np.concatenate(sizes))[known]
-    where = where[known]
+    places, sentences, n_sentences = [], [], 0
+    for flat, own in zip(features, sizes, strict=True):  # 32-bit numbers of the features that stay, text by text
+        at = np.searchsorted(vocabulary, flat)
+        known = vocabulary[np.minimum(at, len(vocabulary) - 1)] == flat if len(vocabulary) else np.zeros(len(flat), bool)
+        places.append(at[known].astype(np.int32))
+        sentences.append(np.repeat(np.arange(n_sentences, n_sentences + len(own), dtype=np.int32), own)[known])
+        n_sentences += len(own)
+    where, sentence = np.concatenate(places), np.concatenate(sentences)
+    del places, sentences, features
     first = np.concatenate([[0], np.cumsum([*map(len, sizes)])[:-1]])
-    n_sentences = sum(map(len, sizes))
     doc_of = np.repeat(np.arange(len(sizes)), [*map(len, sizes)])
     w, b = np.zeros(len(vocabulary)), -5.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -153,23 +147,28 @@ def score_toxicity(
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        weight = BoundedCache(fitted.weight_of)
+        weight = BoundedCache(fitted.lookup(), 800_000)
         bias = fitted.bias
 
-        def sentence_score(s: str) -> float:
-            return 1 / (1 + np.exp(-(bias + sum(map(weight.__getitem__, {*s.split()})))))
+        def logit(sentence: str) -> float:
+            return bias + sum(map(weight.__getitem__, {*sentence.split()}))
 
         for keys, texts in batches:
             scores, offending = [], []
             for text in texts:
-                sentences = _SENTENCE.findall(text or "")
-                z = np.array([sum(map(weight.__getitem__, {*s.split()})) for s in sentences]) + bias
-                score = -np.expm1(-np.logaddexp(0, z).sum()) if sentences else 0.0
-                scores.append(float(score))
+                text = text or ""
+                sentences = [s for s in _SENTENCE.findall(text) if not s.isspace()]
+                if any(map(weight.__getitem__, {*text.split()})):
+                    z = np.array([logit(s) for s in sentences])
+                else:  # no token has a weight: every sentence scores alike
+                    z = np.full(len(sentences), bias)
+                score = float(-np.expm1(-np.logaddexp(0, z).sum()))
+                scores.append(score)
                 found = []
                 if score >= threshold:
                     for s in _SENTENCE.finditer(text):
-                        if (p := sentence_score(s[0])) >= threshold:
+                        p = 1 / (1 + np.exp(-logit(s[0])))
+                        if p >= threshold:
                             found.append({"start": s.start(), "end": s.end(), "score": float(p)})
                 offending.append(found)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
