@@ -18,14 +18,33 @@ _MANIFEST = pa.schema(
 )
 
 
+def range_bounds(doc_ids: DataFrame, docs_per_file: int = 8_192, max_files: int = 10_000) -> list[int]:
+    """Ascending bounds that cut the ids (column ``doc_id`` alone is read) into files of about ``docs_per_file`` rows.
+
+    One approximate-percentile aggregate; at most ``max_files`` - 1 bounds, so larger tables get larger files.
+    """
+    files = max(1, min(max_files, -(-doc_ids.count() // docs_per_file)))
+    shares = F.array(*[F.lit(i / files) for i in range(1, files)])
+    if files == 1:
+        return []
+    cuts = doc_ids.agg(F.percentile_approx("doc_id", shares, 10 * files + 10_000).alias("cuts")).first().cuts
+    return sorted({int(c) for c in cuts or []})
+
+
 def encode_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer_path: str,
+    end_id: int = 2,
+    bounds: list[int] = (),
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """``(doc_id, ids)``: each text's ids with ``end_id`` behind, little-endian, 16 bits wide if the vocabulary allows.
+    """``(doc_id, ids, part)``: each text's ids with ``end_id`` behind, and the number of bounds at or below its id.
 
-    Null texts count as empty. One narrow map, no shuffle.
+    Ids are little-endian, 16 bits wide if the vocabulary allows. Null texts count as empty, a null id has part 0. One
+    narrow map, no shuffle.
     """
-    kind = np.dtype(_width(tokenizer_path, end_id))
+    kind, cuts = np.dtype(_width(tokenizer_path, end_id)), np.array(bounds, np.int64)
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         encoder = WordIds.load(tokenizer_path)
@@ -33,9 +52,14 @@ def encode_documents(
         for keys, texts in batches:
             found = encoder.encode([t or "" for t in texts])
             ids = [np.frombuffer(i, "<u4").astype(kind).tobytes() + end for i in found]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary())], ["key", "ids"])
+            least = np.iinfo(np.int64).min
+            part = np.searchsorted(cuts, keys.fill_null(least).to_numpy(zero_copy_only=False), side="right")
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(ids, pa.binary()), pa.array(part.astype(np.int32))], ["key", "ids", "part"]
+            )
 
-    return map_texts(docs, run, "ids binary", id_col, text_col).withColumnRenamed("key", "doc_id")
+    docs = docs.withColumn(id_col, F.col(f"`{id_col}`").cast("long"))
+    return map_texts(docs, run, "ids binary, part int", id_col, text_col).withColumnRenamed("key", "doc_id")
 
 
 def _width(tokenizer_path: str, end_id: int) -> str:
@@ -43,20 +67,17 @@ def _width(tokenizer_path: str, end_id: int) -> str:
     return "<u2" if max(size - 1, end_id) < 2**16 else "<u4"
 
 
-def write_token_files(encoded: DataFrame, kind: str, docs_per_file: int = 16_384, max_files: int = 10_000) -> list[dict]:
-    """Write ``(doc_id, ids)`` in ascending order of doc_id; returns the list of files, bounded by ``max_files``.
+def write_token_files(encoded: DataFrame, kind: str, parts: int) -> list[dict]:
+    """Write ``(doc_id, ids, part)`` in ascending order of doc_id; returns the list of files, at most ``parts``.
 
-    For each range of ids three flat files: ``.bin`` the ids, ``.off`` 64-bit document offsets within the file (one
+    For each part three flat files: ``.bin`` the ids, ``.off`` 64-bit document offsets within the file (one
     more than documents) and ``.doc`` the 64-bit doc_ids. Null doc_ids come first; their number is listed. Repeated
-    doc_ids lie side by side, in order of their ids. A task streams its range to a temporary name, closes it
-    and renames it, so a retried task replaces its own file. ``base``, the ids in all files before, is the prefix sum
-    of the files' counts.
+    doc_ids lie side by side, in order of their ids. Encoding runs once, as the map side of the one shuffle. A task
+    streams its part to temporary names, closes and renames them, so a retried task replaces its own files. ``base``,
+    the ids in all files before, is the prefix sum of the files' counts.
     """
     spark = encoded.sparkSession
     importable_on_workers(spark)
-    encoded = written(encoded, "encoded")  # the range bounds are sampled from this table, not from a second encoding
-    rows = encoded.count()
-    files = max(1, min(max_files, -(-rows // docs_per_file)))
     folder = shared_dir(spark, "tokens")
     bytes_each = np.dtype(kind).itemsize
 
@@ -85,8 +106,8 @@ def write_token_files(encoded: DataFrame, kind: str, docs_per_file: int = 16_384
             row = {"part": part, "stem": stem, "docs": docs, "ids": ids, "nulls": nulls}
             yield pa.RecordBatch.from_pylist([row], _MANIFEST)
 
-    ordered = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
-    ordered = ordered.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
+    dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "ids")
+    ordered = dealt.select("doc_id", "ids")
     listed = written(ordered.mapInArrow(write, "part int, stem string, docs long, ids long, nulls long"), "manifest")
     manifest, base = [], 0
     for row in sorted(listed.collect(), key=lambda r: r.part):
@@ -140,7 +161,8 @@ def _read(entry: dict) -> Iterator[pa.RecordBatch]:
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    """Encode, write and read back: see the three functions. An empty table writes no file and gives no rows."""
-    encoded = encode_documents(docs, tokenizer_path, end_id)
-    manifest = write_token_files(encoded, _width(tokenizer_path, end_id))
+    """Bound, encode, write and read back: see the four functions. An empty table gives no rows."""
+    bounds = range_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
+    encoded = encode_documents(docs, tokenizer_path, end_id, bounds)
+    manifest = write_token_files(encoded, _width(tokenizer_path, end_id), len(bounds) + 1)
     return read_token_files(docs.sparkSession, manifest)
