@@ -67,7 +67,7 @@ def related_entities(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth
     ways = both_ways(edges)
     trail = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(None).cast("string").alias("relation"), F.array().cast("array<bigint>").alias("used"))
     found = None
-    for step in range(depth):
+    for _ in range(depth):
         ahead = trail.join(ways, trail["node"] == ways["a"]).where(~F.array_contains("used", F.col("edge")))
         trail = ahead.select(
             "seed",
@@ -77,8 +77,6 @@ def related_entities(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth
         )
         here = trail.select("seed", F.col("node").alias("entity"), "relation").distinct()
         found = here if found is None else found.unionByName(here)
-        if step + 2 == depth:  # the last step needs one edge of memory only
-            trail = trail.distinct()
     labels = nodes.select(F.col("name").alias("entity"), "label")
     out = found.distinct().join(labels, "entity", "left").select("seed", "entity", "relation", "label")
     if limit is None:

@@ -33,12 +33,10 @@ def stream_new_documents(
         fresh = first if known is None else first.join(known.select("content_hash"), "content_hash", "left_anti")
         rows = fresh.select("content_hash", "d.doc_id", "d.text").withColumn("batch", F.lit(number).cast("long"))
         rows = rows.persist()
-        mode = {"spark.sql.sources.partitionOverwriteMode": "dynamic"}
-        for key, value in mode.items():
-            session.conf.set(key, value)
         pieces = chunk(rows.select("doc_id", "text")).withColumn("batch", F.lit(number).cast("long"))
-        pieces.write.mode("overwrite").partitionBy("batch").parquet(chunks)
-        rows.select("content_hash", "doc_id", "batch").write.mode("overwrite").partitionBy("batch").parquet(registry)
+        for table, path in ((pieces, chunks), (rows.select("content_hash", "doc_id", "batch"), registry)):
+            # Replaces this batch's own partition only.
+            table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
         rows.unpersist()
 
     return arriving.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
