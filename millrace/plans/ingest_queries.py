@@ -6,6 +6,8 @@ from millrace.operators.chunking import window_chunks
 from millrace.plans.registry import query, table
 from millrace.plans.text_queries import SQL_CLEAN
 from millrace.sources import files, tables
+from millrace.sources.scratch import shared_dir
+from millrace.streaming import streams
 
 SQL_HTML = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
 for _name in files.EXCLUDED:
@@ -204,3 +206,52 @@ def a20(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", "source", "lang", "n_chars", F.row_number().over(newest).cast("long").alias("place")
     )
+
+
+def document_files(spark, d):
+    """The documents as text files, one folder for each source, in the shared folder."""
+    path = shared_dir(spark, "files")
+    table(spark, d, "documents").select("source", "text").write.partitionBy("source").text(path)
+    return path
+
+
+_SOURCE = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
+
+
+@query("a1_scan_files", "SELECT source, 'TXT' AS type, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY 1")
+def a1(spark, d):
+    found = files.scan_files(spark, document_files(spark, d))
+    return found.select(_SOURCE, "type", "size").groupBy("source", "type").agg(F.sum("size").alias("size"))
+
+
+@query("a2_file_metadata", "SELECT DISTINCT source, 'TXT' AS type, false AS missing FROM documents UNION ALL SELECT 'nowhere', NULL, true")
+def a2(spark, d):
+    found = files.scan_files(spark, document_files(spark, d))
+    asked = found.select("path").unionByName(spark.range(1).select(F.lit("/source=nowhere/x").alias("path")))
+    return files.file_metadata(found, asked).select(_SOURCE, "type", "missing").distinct()
+
+
+@query(
+    "a4_read_text",
+    "SELECT source, sum(length(text) + 1)::BIGINT AS n_chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents GROUP BY 1",
+)
+def a4(spark, d):
+    texts = files.read_text(spark, document_files(spark, d))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return texts.select(_SOURCE, F.length("text").alias("n"), lines.alias("lines")).groupBy("source").agg(
+        F.sum("n").cast("long").alias("n_chars"), F.sum("lines").cast("long").alias("n_lines")
+    )
+
+
+@query(
+    "i1_stream_new_documents",
+    "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text",
+)
+def i1(spark, d):
+    folder = shared_dir(spark, "stream")
+    table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{folder}/in")  # a stream reads a folder
+    registry = f"{folder}/registry"
+    streams.stream_new_documents(
+        spark, f"{folder}/in", "doc_id long, text string", registry, f"{folder}/chunks", f"{folder}/checkpoint", window_chunks
+    ).awaitTermination()
+    return spark.read.parquet(registry).select("doc_id", "content_hash")

@@ -46,7 +46,7 @@ def detect_changes(files: DataFrame, known: DataFrame) -> DataFrame:
 
 def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(path, text)``: whole files as UTF-8 text."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(paths)
+    rows = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
