@@ -433,3 +433,9 @@ def annex_references(docs: DataFrame) -> DataFrame:
     """``(doc_id, annex, n)``: how often each document mentions each annex."""
     found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(ANNEX), F.lit(1))).alias("annex"))
     return found.groupBy("doc_id", "annex").agg(F.count("*").alias("n"))
+
+
+def letter_items(docs: DataFrame) -> DataFrame:
+    """``(doc_id, letter, n)``: lettered items at the start of lines."""
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(LETTER_ITEM), F.lit(1))).alias("letter"))
+    return found.groupBy("doc_id", "letter").agg(F.count("*").alias("n"))

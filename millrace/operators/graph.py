@@ -192,3 +192,16 @@ def flatten_fact(nodes: Column, rels: Column) -> Column:
 def embedded_only(triplets: DataFrame, embedded: DataFrame) -> DataFrame:
     """Triplets of documents that have been embedded already."""
     return triplets.join(embedded.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def format_graph_context(facts: DataFrame, most: int = 10) -> DataFrame:
+    """``(query_id, graph_context)``: a question's facts as one line each, in order."""
+    line = F.concat(F.lit("• "), flatten_fact(F.col("nodes"), F.col("rels")))
+    kept = facts.where(F.col("place") <= most).select("query_id", F.struct(F.col("place").alias("o"), line.alias("l")).alias("x"))
+    grouped = kept.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return grouped.select("query_id", F.array_join("xs.l", "\n").alias("graph_context"))
+
+
+def clear_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Empty tables of the same schema, to overwrite the stored ones with."""
+    return nodes.limit(0), edges.limit(0)

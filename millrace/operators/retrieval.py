@@ -312,3 +312,11 @@ def sync_check(chunks: DataFrame, points: DataFrame, key: str) -> DataFrame:
         F.count_if(F.col("_c").isNull()).alias("vectors_only"),
     )
     return out.withColumn("in_sync", (F.col("chunks_only") == 0) & (F.col("vectors_only") == 0))
+
+
+def history_messages(messages: DataFrame, n: int = 6, most: int = 1000) -> DataFrame:
+    """The newest ``n`` messages of each conversation as prompt turns, oldest first, long ones cut."""
+    recent = top_k(messages, "conv_id", [F.desc("turn")], n, "_r")
+    role = F.when(F.col("role") == "user", "user").otherwise("assistant")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
+    return recent.select("conv_id", place.alias("place"), role.alias("role"), truncate_preview(F.col("text"), most).alias("content"))

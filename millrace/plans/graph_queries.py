@@ -254,6 +254,17 @@ def e14(spark, d):
     return facts(spark, d).select("query_id", "place", G.flatten_fact(F.col("nodes"), F.col("rels")).alias("chain"))
 
 
+@query(
+    "d17_format_graph_context",
+    f"""
+    WITH {FACTS_SQL}, c AS (SELECT query_id, place, list_reduce(list_transform(range(1, len(nodes) + 1), lambda i: CASE WHEN i <= len(rels) THEN concat(nodes[i], ' → [', rels[i], ']') ELSE nodes[i] END), lambda a, b: concat(a, ' → ', b)) AS chain FROM facts)
+    SELECT query_id, string_agg(concat('• ', chain), chr(10) ORDER BY place) AS graph_context FROM c GROUP BY 1
+    """,
+)
+def d17b(spark, d):
+    return G.format_graph_context(facts(spark, d))
+
+
 @query(
     "e15_embedded_only",
     f"WITH {REPLIES_SQL} SELECT doc_id, pos, subject, predicate, object FROM parsed WHERE doc_id IN (SELECT vec_id FROM embeddings)",

@@ -154,6 +154,16 @@ def a13(spark, d):
     return tables.revectorize(points(spark, d).select("vec_id", "label"), docs, docs.where("source = 'src3'"), embed)
 
 
+@query(
+    "a13_update_vectors",
+    "SELECT vec_id, CASE WHEN vec_id % 9 = 0 AND d.doc_id IS NOT NULL THEN length(d.text)::INTEGER ELSE label END AS label FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id",
+)
+def a13b(spark, d):
+    rows = points(spark, d).select("vec_id", "label")
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.length("text").alias("label"))
+    return tables.update_vectors(rows, chunks, rows.where("vec_id % 9 = 0"), lambda c: c)
+
+
 @query("a14_incremental_skip", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)")
 def a14(spark, d):
     docs = table(spark, d, "documents").select("doc_id")

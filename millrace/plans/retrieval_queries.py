@@ -282,6 +282,18 @@ def d17(spark, d):
     return R.build_messages(questions(spark, d), context, none, _TEMPLATE)
 
 
+@query(
+    "d17_history_messages",
+    """
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role,
+        CASE WHEN length(text) > 1000 THEN concat(text[1:1000], '...') ELSE text END AS content
+    FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6)
+    """,
+)
+def d17h(spark, d):
+    return R.history_messages(table(spark, d, "conversations"))
+
+
 @query(
     "d18_citations",
     f"""

@@ -93,3 +93,8 @@ def list_reports(spark: SparkSession, folder: str, schema: str, pattern: str = r
     )
     rows = rows.where(F.col("file").rlike(pattern)).withColumn("corrupt", F.col("_corrupt_record").isNotNull())
     return rows.drop("_corrupt_record").orderBy(F.desc("file"))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Write a nested report as JSON, one record a line."""
+    report.write.mode("overwrite").json(path)

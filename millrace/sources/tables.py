@@ -59,6 +59,16 @@ def revectorize(points: DataFrame, chunks: DataFrame, documents: DataFrame, embe
     return upsert_points(points, embed(chosen), key)
 
 
+def update_vectors(points: DataFrame, chunks: DataFrame, ids: DataFrame, embed, key: str = "vec_id") -> DataFrame:
+    """Rebuild the points of the chunks whose ids are given."""
+    return upsert_points(points, embed(chunks.join(ids.select(key).distinct(), key, "left_semi")), key)
+
+
+def reset(points: DataFrame) -> DataFrame:
+    """An empty table of the same schema, to overwrite the stored one with."""
+    return points.limit(0)
+
+
 def incremental_skip(chunks: DataFrame, points: DataFrame, force: bool = False, key: str = "vec_id") -> DataFrame:
     """Chunks that still need a point; all of them when forced."""
     return chunks if force else chunks.join(points.select(key), key, "left_anti")

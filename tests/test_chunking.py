@@ -90,3 +90,8 @@ def test_sub_chunk_tail(spark):
     out = C.sub_chunks(rows).withColumn("n", word_count(F.col("sub_text"))).orderBy("doc_id", "sub_order").collect()
     want = [(120, 120), (121, 120), (121, 31), (199, 120), (199, 109), (200, 120), (200, 110), (200, 20)]
     assert [(r.doc_id, r.n) for r in out] == want  # the last one lies wholly inside its predecessor
+
+
+def test_letter_items(spark):
+    docs = spark.createDataFrame([(1, "a) bir\nb) iki\n a) üç\nx a) değil")], "doc_id long, text string")
+    assert {(r.letter, r.n) for r in C.letter_items(docs).collect()} == {("a", 2), ("b", 1)}

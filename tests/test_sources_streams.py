@@ -13,14 +13,14 @@ from tests.conftest import SF
 def test_scan_and_read(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     for name in ("a.PDF", "b.html", "deep/c.txt", "d.docx"):
-        (tmp_path / name).write_text(f"text of {name} ğüş")
+        (tmp_path / name).write_text(f"text of {name}\nğüş")
     rows = {r.name: r for r in files.scan_files(spark, str(tmp_path)).collect()}
     assert {k: v.type for k, v in rows.items()} == {"a": "PDF", "b": "HTML", "c": "TXT"}
     asked = spark.createDataFrame([(rows["c"].path,), ("nowhere",)], "path string")
     found = files.file_metadata(files.scan_files(spark, str(tmp_path)), asked).collect()
     assert sorted(r.missing for r in found) == [False, True]
     texts = files.read_text(spark, str(tmp_path / "deep")).collect()
-    assert [t.text for t in texts] == ["text of deep/c.txt ğüş"]
+    assert [t.text for t in texts] == ["text of deep/c.txt\nğüş"]
 
 
 def test_unknown_types_are_apart(spark):
@@ -39,6 +39,8 @@ def test_reports(spark, tmp_path):
     (tmp_path / "q").mkdir()
     (tmp_path / "q" / "questions.json").write_text(json.dumps([{"id": 1, "question": "a"}, {"id": 2, "question": "b"}]))
     assert files.read_json_table(spark, str(tmp_path / "q"), "id long, question string").count() == 2
+    files.write_report(spark.sql("SELECT named_struct('mrr', 0.5D) AS summary"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().summary.mrr == 0.5
 
 
 def test_stream_of_documents_equals_batch(spark, tmp_path):
