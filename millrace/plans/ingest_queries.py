@@ -225,20 +225,21 @@ def document_files(spark, d):
     return path
 
 
-_SOURCE = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
+def _source():
+    return F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
 
 
 @query("a1_scan_files", "SELECT source, 'TXT' AS type, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY 1")
 def a1(spark, d):
     found = files.scan_files(spark, document_files(spark, d))
-    return found.select(_SOURCE, "type", "size").groupBy("source", "type").agg(F.sum("size").alias("size"))
+    return found.select(_source(), "type", "size").groupBy("source", "type").agg(F.sum("size").alias("size"))
 
 
 @query("a2_file_metadata", "SELECT DISTINCT source, 'TXT' AS type, false AS missing FROM documents UNION ALL SELECT 'nowhere', NULL, true")
 def a2(spark, d):
     found = files.scan_files(spark, document_files(spark, d))
     asked = found.select("path").unionByName(spark.range(1).select(F.lit("/source=nowhere/x").alias("path")))
-    return files.file_metadata(found, asked).select(_SOURCE, "type", "missing").distinct()
+    return files.file_metadata(found, asked).select(_source(), "type", "missing").distinct()
 
 
 @query(
@@ -248,7 +249,7 @@ def a2(spark, d):
 def a4(spark, d):
     texts = files.read_text(spark, document_files(spark, d))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return texts.select(_SOURCE, F.length("text").alias("n"), lines.alias("lines")).groupBy("source").agg(
+    return texts.select(_source(), F.length("text").alias("n"), lines.alias("lines")).groupBy("source").agg(
         F.sum("n").cast("long").alias("n_chars"), F.sum("lines").cast("long").alias("n_lines")
     )
 
