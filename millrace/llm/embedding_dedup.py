@@ -61,7 +61,7 @@ class CapFilters:
 
 def codes_for(rows: int, expected: float = 10.0, bucket: int = 64) -> int:
     """Codebook size under which a group of ``rows`` random vectors has about ``bucket`` of them in each filter."""
-    return int(min(8192, max(16, np.ceil(np.sqrt(rows * expected / bucket)))))
+    return int(min(32_000, max(16, np.ceil(np.sqrt(rows * expected / bucket)))))
 
 
 def near_duplicate_vectors(
@@ -89,6 +89,8 @@ def near_duplicate_vectors(
     count and at most one link for each of its vectors, never its pairs.
     """
     importable_on_workers(vectors.sparkSession)
+    # Vectors travel in their own precision and are computed with in double.
+    packing = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
     rows = vectors.select(
         F.col(f"`{id_col}`").cast("long").alias("vec"),
         F.col(f"`{vector_col}`").cast("array<double>").alias("v"),
@@ -113,36 +115,34 @@ def near_duplicate_vectors(
         for batch in batches:
             lists, sizes = batch.column("v").to_pylist(), {}
             filters: list = [None] * len(lists)
-            units: list = [None] * len(lists)
+            packed = [np.array(v, packing).tobytes() for v in lists]
             for i, v in enumerate(lists):
                 sizes.setdefault(len(v), []).append(i)
             for dims, at in sizes.items():
-                table = np.array([lists[i] for i in at])
-                table /= np.abs(table).max(axis=1, keepdims=True)  # keeps the squares of extreme values finite
-                table /= np.linalg.norm(table, axis=1, keepdims=True)
+                table = _unit(np.array([lists[i] for i in at]))
                 caps = made.setdefault(dims, CapFilters(dims, n_codes) if dims > 1 else None)
                 found = caps.decode(table) if caps else [np.zeros(1, np.int64)] * len(at)
-                for i, f, u in zip(at, found, table, strict=True):
-                    filters[i], units[i] = f, u.tobytes()
+                for i, f in zip(at, found, strict=True):
+                    filters[i] = f
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("node"),
                     batch.column("label"),
                     batch.column("copies"),
-                    pa.array(units, pa.binary()),
-                    pa.array(filters, pa.list_(pa.int64())),
+                    pa.array(packed, pa.binary()),
+                    pa.array(filters, pa.list_(pa.int32())),
                 ],
-                ["node", "label", "copies", "unit", "filters"],
+                ["node", "label", "copies", "vector", "filters"],
             )
 
-    schema = "node long, label string, copies long, unit binary, filters array<long>"
+    schema = "node long, label string, copies long, vector binary, filters array<int>"
     listed = written(classes.select("node", "label", "copies", "v").mapInArrow(list_filters, schema), "filters")
     exploded = listed.withColumn("filter", F.explode("filters"))
-    bucket = F.xxhash64("label", F.length("unit"), "filter")
+    bucket = F.xxhash64("label", F.length("vector"), "filter")
     sizes = exploded.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where("n > 1")
     members = exploded.withColumn("bucket", bucket).join(written(sizes, "sizes"), "bucket")
     units = block_pairs(members, F.col("n"), F.col("node"), block)
-    names = ["bucket", "p", "q", "side", "filter", "node", "label", "copies", "unit", "filters"]
+    names = ["bucket", "p", "q", "side", "filter", "node", "label", "copies", "vector", "filters"]
 
     def compare(unit: pa.Table) -> pa.RecordBatch | None:
         column = {n: unit.column(n) for n in ("node", "side", "filter", "copies", "label")}
@@ -152,8 +152,8 @@ def near_duplicate_vectors(
         order = np.argsort(node, kind="stable")
         node, side, here, copies = node[order], side[order], here[order], copies[order].astype(np.float64)
         label = np.unique(column["label"].to_numpy()[order], return_inverse=True)[1]
-        raw = unit.column("unit").to_pylist()
-        table = np.stack([np.frombuffer(raw[i], np.float64) for i in order])
+        raw = unit.column("vector").to_pylist()
+        table = _unit(np.stack([np.frombuffer(raw[i], packing) for i in order]).astype(np.float64))
         lists = unit.column("filters").to_pylist()
         linked = table @ table.T >= threshold
         np.fill_diagonal(linked, False)
@@ -187,6 +187,12 @@ def near_duplicate_vectors(
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def _unit(table: np.ndarray) -> np.ndarray:
+    """Rows of length 1; dividing by the largest component first keeps the squares of extreme values finite."""
+    table = table / np.abs(table).max(axis=1, keepdims=True)
+    return table / np.linalg.norm(table, axis=1, keepdims=True)
+
+
 def _share_earlier(lists: list[list[int]], here: np.ndarray) -> np.ndarray:
     """Whether two members share a filter smaller than the one they meet in."""
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
