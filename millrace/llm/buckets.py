@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import importable_on_workers
+from millrace.llm.shared import importable_on_workers, keep_caches
 
 
 def block_pairs(members: DataFrame, size: Column, node: Column, block: int) -> DataFrame:
@@ -34,6 +34,7 @@ def map_units(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Reco
     dealt = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_caches("")
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows == 0:

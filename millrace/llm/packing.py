@@ -143,7 +143,7 @@ def cut_pieces(
             ]
             yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "start", "length", "ids"])
 
-    out = map_texts(rows, run, "piece int, start long, length long, ids binary", "key")
+    out = map_texts(rows, run, "piece int, start long, length long, ids binary", "key", uses="word_ids")
     return written(out.select("key.*", "piece", "start", "length", "ids"), "pieces")
 
 

@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import map_texts
+from millrace.llm.shared import cache_of, map_texts
 
 MARK = "▁"
 
@@ -28,8 +28,8 @@ class ChunkTable:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.splits = not any(MARK in p.lstrip(MARK) for p in pieces) and self._keeps_spaces()
-        self.table: dict[str, bytes] = {}
-        self.changed: dict[str, str] = {}  # words whose decoded form differs from the word
+        self.table: dict[str, bytes] = cache_of("pieces", {})
+        self.changed: dict[str, str] = cache_of("pieces", {})  # words whose decoded form differs from the word
 
     def _keeps_spaces(self) -> bool:
         """Whether the model's normalizer is the identity but for one marker put in front."""
@@ -120,7 +120,7 @@ def encode_pieces(
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([keys, lists, pa.array(decoded, pa.string())], ["key", "ids", "decoded"])
 
-    out = map_texts(docs, run, "ids array<int>, decoded string", id_col, text_col)
+    out = map_texts(docs, run, "ids array<int>, decoded string", id_col, text_col, uses="pieces")
     return out.withColumnRenamed("key", id_col)
 
 

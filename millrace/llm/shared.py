@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.scratch import shared_dir, written
 
-__all__ = ["BoundedCache", "importable_on_workers", "map_texts", "shared_dir", "slices", "written"]
+__all__ = ["BoundedCache", "cache_of", "keep_caches", "importable_on_workers", "map_texts", "shared_dir", "slices", "written"]
 
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -29,12 +29,13 @@ def map_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry_row: bool = False,
+    uses: str = "",
 ) -> DataFrame:
     """Apply ``fn`` to batches of (id column, texts); it yields record batches of the columns in ``schema``.
 
     ``fn`` receives one iterator per task and yields one batch for each batch it takes. With ``carry_row`` the
     first array is the whole input row as a struct, which lets a caller keep every input column whatever its name.
-    Both forms need no shuffle.
+    Both forms need no shuffle. ``uses`` names the group of worker caches that ``fn`` needs; all others are emptied.
     """
     importable_on_workers(docs.sparkSession)
     if carry_row:
@@ -46,6 +47,8 @@ def map_texts(
     key_type = narrow.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_caches(uses)
+
         def pairs() -> Iterator[tuple[pa.Array, list[str | None]]]:
             for batch in batches:
                 for part in slices(batch):
@@ -64,6 +67,22 @@ def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+_CACHES: list[tuple[str, dict]] = []
+
+
+def cache_of(group: str, cache: dict) -> dict:
+    """Register a cache that lives as long as the worker process."""
+    _CACHES.append((group, cache))
+    return cache
+
+
+def keep_caches(group: str) -> None:
+    """Empty the caches of all other groups: a worker that serves one operator after another holds one's at a time."""
+    for name, cache in _CACHES:
+        if name != group:
+            cache.clear()
+
+
 class BoundedCache(dict):
     """A dictionary that fills itself with ``make(key)`` and starts afresh when it holds ``limit`` entries.
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.buckets import block_pairs, least_linked, map_units
 from millrace.llm.components import connected_components
-from millrace.llm.shared import BoundedCache, map_texts, written
+from millrace.llm.shared import BoundedCache, cache_of, map_texts, written
 
-_word_hash = BoundedCache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8")), 600_000)
+_word_hash = cache_of("text_dedup", BoundedCache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8")), 500_000))
 _ODD = [np.uint64((0xD6E8FEB86659FD93 * (2 * i + 3)) & (2**64 - 1) | 1) for i in range(16)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,11 +78,7 @@ def text_features(
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for keys, texts in batches:
             digests, band_lists, sets = [None] * len(texts), [None] * len(texts), [None] * len(texts)
-            for start in range(0, len(texts), 256):
-                found = [(i, *shingles(texts[i], width)) for i in range(start, min(start + 256, len(texts)))]
-                found = [(i, s, c) for i, s, c in found if len(s)]
-                if not found:
-                    continue
+            for found in _blocks((i, *shingles(t, width)) for i, t in enumerate(texts)):
                 owner = np.repeat(np.arange(len(found)), [len(s) for _, s, _ in found])
                 counts = np.concatenate([c for *_, c in found])
                 elements = np.concatenate([s for _, s, _ in found])
@@ -105,10 +101,25 @@ def text_features(
                 ["key", "digest", "bands", "shingles"],
             )
 
-    out = map_texts(docs, run, "digest binary, bands array<long>, shingles binary", id_col, text_col)
+    out = map_texts(docs, run, "digest binary, bands array<long>, shingles binary", id_col, text_col, uses="text_dedup")
     return out.withColumnRenamed("key", "doc_id")
 
 
+def _blocks(rows: Iterator, texts: int = 256, elements: int = 300_000) -> Iterator[list]:
+    """Lists of rows (number, shingles, counts) with shingles, short enough to sketch together."""
+    held, size = [], 0
+    for row in rows:
+        if not len(row[1]):
+            continue
+        held.append(row)
+        size += len(row[1])
+        if len(held) >= texts or size >= elements:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def similar_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs of sorted distinct arrays have a Jaccard similarity of ``threshold`` or more, as a matrix."""
     sizes = np.array([len(s) for s in sets], np.float64)

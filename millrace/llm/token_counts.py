@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BoundedCache, map_texts
+from millrace.llm.shared import BoundedCache, cache_of, map_texts
 
 # The white space of the Unicode White_Space property, and the byte-level split pattern.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -79,8 +79,8 @@ class MergeCounter:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.odd = regex.compile(r" (?:\s|$)")
-        self.of_part = BoundedCache(self._part, 200_000)
-        self.after_space = BoundedCache(lambda part: self._part(" " + part), 700_000)
+        self.of_part = cache_of("token_counts", BoundedCache(self._part, 200_000))
+        self.after_space = cache_of("token_counts", BoundedCache(lambda part: self._part(" " + part), 700_000))
 
     def _part(self, part: str) -> int:
         total = 0
@@ -126,7 +126,7 @@ def count_tokens(
                 [ids, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], ["key", "n_bytes", "n_tokens"]
             )
 
-    counted = map_texts(docs, run, "n_bytes long, n_tokens long", id_col, text_col)
+    counted = map_texts(docs, run, "n_bytes long, n_tokens long", id_col, text_col, uses="token_counts")
     return counted.select(
         F.col("key").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

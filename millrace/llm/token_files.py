@@ -59,7 +59,7 @@ def encode_documents(
             )
 
     docs = docs.withColumn(id_col, F.col(f"`{id_col}`").cast("long"))
-    return map_texts(docs, run, "ids binary, part int", id_col, text_col).withColumnRenamed("key", "doc_id")
+    return map_texts(docs, run, "ids binary, part int", id_col, text_col, uses="word_ids").withColumnRenamed("key", "doc_id")
 
 
 def _width(tokenizer_path: str, end_id: int) -> str:
@@ -101,6 +101,8 @@ def write_token_files(encoded: DataFrame, kind: str, parts: int) -> list[dict]:
             docs, ids, nulls = docs + len(doc), ids + int(lengths.sum()), nulls + doc.null_count
         for x, stream in streams.items():
             stream.close()
+            if store.get_file_info(stem + x).type != arrow_fs.FileType.NotFound:  # of an attempt that was lost
+                store.delete_file(stem + x)
             store.move(f"{stem}{x}{suffix}", stem + x)
         if docs:
             row = {"part": part, "stem": stem, "docs": docs, "ids": ids, "nulls": nulls}

@@ -147,7 +147,7 @@ def score_toxicity(
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        weight = BoundedCache(fitted.lookup(), 800_000)
+        weight = BoundedCache(fitted.lookup(), 400_000)
         bias = fitted.bias
 
         def logit(sentence: str) -> float:

@@ -6,6 +6,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from millrace.llm.shared import cache_of
+
 MARK = re.compile(rb"([.,;:!?*&$%#])(?<=[a-z].)")
 COMBINING = re.compile(rb"[\xcc\xcd]")
 
@@ -21,7 +23,7 @@ class WordIds:
 
     def __init__(self, path: str, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library, self.limit, self.table = Tokenizer.from_file(path), limit, {}
+        self.library, self.limit, self.table = Tokenizer.from_file(path), limit, cache_of("word_ids", {})
         sample = "Un mot, deux\tmots\n\n 12 é's e ́ <|endoftext|>x ende"
         whole = self.library.encode(sample, add_special_tokens=False).ids
         self.by_word = whole == [i for w in sample.split() for i in self.library.encode(w, add_special_tokens=False).ids]
