@@ -21,7 +21,7 @@ class WordIds:
 
     _loaded: dict[str, "WordIds"] = {}
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 750_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library, self.limit, self.table = Tokenizer.from_file(path), limit, cache_of("word_ids", {})
         sample = "Un mot, deux\tmots\n\n 12 é's e ́ <|endoftext|>x ende"
