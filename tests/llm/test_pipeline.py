@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import corpus_pipeline
+from millrace.llm import entry
 from tests.conftest import SF
 
 
@@ -24,6 +25,15 @@ def test_stages(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == sizes[4]
 
 
+def test_toxicity_stage_follows_the_operator(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = entry.op3_toxicity(spark, sf).collect()
+    assert any(0.3 <= r.score < 0.5 for r in rows)
+    kept = sorted(r.doc_id for r in corpus_pipeline.remove_toxic(spark, docs, sf).collect())
+    assert kept == sorted(r.doc_id for r in rows if r.score < 0.3)
+
+
 def test_repository_without_the_package(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     shutil.copytree(os.path.join(root, "millrace"), tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
