@@ -72,7 +72,9 @@ def text_features(
     """``(doc_id, digest, bands array<long>, shingles binary)``; digest is null for texts without words.
 
     The digest stands for the set of shingles; ``shingles`` holds them as sorted unsigned 32-bit hashes, which
-    verification compares. Weights are 1 + ln(occurrences).
+    verification compares. ``bands`` has the keys of two signatures, each once: one of equal weights, whose places agree
+    with the Jaccard similarity of the distinct shingles, and one of weights 1 + ln(occurrences). The two are the same
+    for a text that repeats no shingle.
     """
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
@@ -82,15 +84,19 @@ def text_features(
                 owner = np.repeat(np.arange(len(found)), [len(s) for _, s, _ in found])
                 counts = np.concatenate([c for *_, c in found])
                 elements = np.concatenate([s for _, s, _ in found])
-                sketch = prob_minhash(elements, 1 + np.log(counts), owner, len(found), bands * rows)
-                keyed = np.zeros((len(found), bands), np.uint64)
-                for r in range(rows):
-                    keyed += sketch[:, r::rows] * _ODD[r]
-                keyed = mix(keyed + np.arange(1, bands + 1, dtype=np.uint64) * _STEP).view(np.int64)
-                for (i, s, _), band_keys in zip(found, keyed, strict=True):
+                sketch = prob_minhash(elements, np.ones(len(elements)), owner, len(found), bands * rows)
+                keyed = _band_keys(sketch, bands, rows)
+                repeats = np.array([c.max() > 1 for *_, c in found])
+                weighted = keyed.copy()
+                if repeats.any():
+                    some, number = repeats[owner], np.cumsum(repeats) - 1
+                    weights = 1 + np.log(counts[some])
+                    sketch = prob_minhash(elements[some], weights, number[owner[some]], int(repeats.sum()), bands * rows)
+                    weighted[repeats] = _band_keys(sketch, bands, rows)
+                for (i, s, _), equal, other in zip(found, keyed, weighted, strict=True):
                     short = np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes()
                     digests[i] = xxhash.xxh3_128_digest(short)
-                    band_lists[i], sets[i] = band_keys, short
+                    band_lists[i], sets[i] = np.unique(np.concatenate([equal, other])), short
             yield pa.RecordBatch.from_arrays(
                 [
                     keys,
@@ -105,6 +111,14 @@ def text_features(
     return out.withColumnRenamed("key", "doc_id")
 
 
+def _band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key for each band of each signature."""
+    keyed = np.zeros((len(sketch), bands), np.uint64)
+    for r in range(rows):
+        keyed += sketch[:, r::rows] * _ODD[r]
+    return mix(keyed + np.arange(1, bands + 1, dtype=np.uint64) * _STEP).view(np.int64)
+
+
 def _blocks(rows: Iterator, texts: int = 256, elements: int = 300_000) -> Iterator[list]:
     """Lists of rows (number, shingles, counts) with shingles, short enough to sketch together."""
     held, size = [], 0
@@ -159,7 +173,8 @@ def near_duplicate_texts(
     ``class_id`` is the smallest id with the same set of shingles, ``component_id`` the smallest id that links of
     Jaccard similarity ``threshold`` or more (distinct shingles of ``width`` words) lead to, and ``kept`` says that
     the row is its component's document. Signatures of ``bands`` x ``rows`` places propose pairs: at similarity s a
-    link is found with probability 1 - (1 - s^rows)^bands, 0.9999 at 0.8; more so as a component has many links.
+    link is found with probability 1 - (1 - s^rows)^bands, 0.9999 at 0.8, however often shingles repeat; more so as a
+    component has many links.
 
     Rows: a null id has null class and component and is kept; a text without words (null, empty) stays alone;
     rows that repeat an id share its verdict.

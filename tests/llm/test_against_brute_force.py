@@ -169,6 +169,28 @@ def test_texts_in_one_large_drifting_group(spark):
     assert [got[i] for i in range(len(rows))] == [find(i) for i in range(len(rows))]
 
 
+def test_texts_with_repeated_passages(spark):
+    from millrace.llm.text_dedup import near_duplicate_texts
+
+    rows = []
+    for i in range(60):  # pairs that differ in a passage, which both repeat
+        shared = " ".join(f"c{i}x{k}" for k in range(404))
+        for side in (0, 1):
+            passage = " ".join(f"p{i}x{side}x{k}" for k in range(44))
+            rows.append((2 * i + side, " ".join([shared, *[passage] * 50])))
+    sets = []
+    for _, text in rows:
+        words = text.split()
+        sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    want = {}
+    for i, one in enumerate(sets):
+        close = [j for j in range(i) if len(one & sets[j]) >= 0.8 * len(one | sets[j])]
+        want[i] = want[close[0]] if close else i
+    assert sum(i != c for i, c in want.items()) == 60
+    got = near_duplicate_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     shared, left, right = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (60, 30, 20))
