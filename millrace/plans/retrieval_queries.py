@@ -51,6 +51,19 @@ HYDRATED_SQL = f"""
     {FUSED_SQL}, hydrated AS (SELECT f.query_id, f.rank, f.score AS similarity, c.chunk_id, c.chunk_text, d.source, f.doc_id
         FROM fused f JOIN chunks c ON c.chunk_id = f.doc_id * 1000 JOIN documents d ON d.doc_id = f.doc_id)
 """
+# The chunk that the question's words found, whose id has two parts; a document that only its vector found gives chunk 0.
+FOUND_SQL = f"""
+    {QUESTIONS_SQL}, c0 AS ({sql_windows('documents')}), chunks AS (SELECT struct_pack(d := doc_id, o := chunk_order) AS chunk_id, * FROM c0),
+    {BM25_SQL}, {DENSE_SQL},
+    lexical AS (SELECT query_id, chunk_id.d AS doc_id, min(rank) AS r, arg_min(chunk_id.o, rank) AS o FROM bm25 GROUP BY 1, 2),
+    lists AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM lexical
+        UNION ALL SELECT query_id, vec_id, rank FROM dense),
+    fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM lists GROUP BY 1, 2),
+    fused AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, score FROM fu QUALIFY rank <= 10),
+    hydrated AS (SELECT f.query_id, f.rank, f.score AS similarity, c.chunk_id, c.chunk_order, c.chunk_text, d.source, f.doc_id, l.o IS NOT NULL AS by_words
+        FROM fused f LEFT JOIN lexical l ON l.query_id = f.query_id AND l.doc_id = f.doc_id
+        JOIN chunks c ON c.doc_id = f.doc_id AND c.chunk_order = coalesce(l.o, 0) JOIN documents d ON d.doc_id = f.doc_id)
+"""
 SCORED_SQL = f"""
     {HYDRATED_SQL}, subs AS (SELECT * FROM ({sql_sub_chunks('hydrated', 'query_id, rank AS parent_rank, chunk_id AS parent_chunk_id, similarity')})),
     scored AS (SELECT s.*, round(len(list_intersect(list_distinct({SQL_TOKENS.format('question')}), {SQL_TOKENS.format('sub_text')}))::DOUBLE
@@ -60,6 +73,7 @@ RANKED_SQL = f"""
     {SCORED_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC, parent_rank, sub_order) AS rank
         FROM scored WHERE ce_score >= 0.25 QUALIFY rank <= 10)
 """
+FOUND_RANKED_SQL = RANKED_SQL.replace(HYDRATED_SQL, FOUND_SQL)
 CONFIDENCE_SQL = f"""
     {RANKED_SQL}, confidence AS (SELECT q.query_id, max(ce_score) AS max_ce, round(avg(ce_score), 6) AS mean_ce, count(ce_score) AS passed_chunks
         FROM questions q LEFT JOIN ranked r ON r.query_id = q.query_id GROUP BY 1),
@@ -99,6 +113,25 @@ def hydrated(spark, d):
     return R.hydrate(hits, chunks(spark, d).select("chunk_id", "doc_id", "chunk_text"), docs)
 
 
+def hydrated_found(spark, d):
+    """Hits with the best chunk of each document that BM25 found; ``by_words`` is false where chunk 0 stands in."""
+    rows = window_chunks(table(spark, d, "documents"))
+    rows = rows.select(F.struct("doc_id", "chunk_order").alias("chunk_id"), "doc_id", "chunk_order", "chunk_text")
+    found = R.bm25_topk(questions(spark, d), R.bm25_index(rows), 20).select("query_id", "chunk_id.*", "rank")
+    best = found.groupBy("query_id", "doc_id").agg(F.min("rank").alias("r"), F.min_by("chunk_order", "rank").alias("o"))
+    best = written(best, "lexical")  # read twice below
+    lexical = R.top_k(best, "query_id", [F.asc("r")], 20)
+    hits = R.rrf_fuse([lexical, dense(spark, d).withColumnRenamed("vec_id", "doc_id")], 10, item="doc_id")
+    hits = hits.join(best.select("query_id", "doc_id", "o"), ["query_id", "doc_id"], "left").select(
+        "query_id",
+        "rank",
+        F.col("score").alias("similarity"),
+        F.struct("doc_id", F.coalesce("o", F.lit(0)).cast(rows.schema["chunk_order"].dataType).alias("chunk_order")).alias("chunk_id"),
+        F.col("o").isNotNull().alias("by_words"),
+    )
+    return R.hydrate(hits, rows, table(spark, d, "documents").select("doc_id", "source"))
+
+
 def scored(spark, d):
     return R.score_sub_chunks(hydrated(spark, d), questions(spark, d))
 
@@ -136,6 +169,11 @@ def d5(spark, d):
     return hydrated(spark, d).select("query_id", "rank", "similarity", "chunk_id", "doc_id", "chunk_text", "source")
 
 
+@query("d5_hydrate_found", f"WITH {FOUND_SQL} SELECT query_id, rank, similarity, doc_id, chunk_order, by_words, chunk_text, source FROM hydrated")
+def d5_found(spark, d):
+    return hydrated_found(spark, d).select("query_id", "rank", "similarity", "doc_id", "chunk_order", "by_words", "chunk_text", "source")
+
+
 @query(
     "d6_metadata_merge",
     """
@@ -179,6 +217,15 @@ def d9(spark, d):
     return ranked(spark, d).select("query_id", "rank", "parent_chunk_id", "sub_order", "sub_text", "ce_score")
 
 
+@query(
+    "d9_rerank_found",
+    f"WITH {FOUND_RANKED_SQL} SELECT query_id, rank, parent_chunk_id.d AS doc_id, parent_chunk_id.o AS chunk_order, sub_order, sub_text, ce_score FROM ranked",
+)
+def d9_found(spark, d):
+    rows = R.rerank_sub_chunks(hydrated_found(spark, d), questions(spark, d), threshold=0.25)
+    return rows.select("query_id", "rank", "parent_chunk_id.*", "sub_order", "sub_text", "ce_score")
+
+
 @query("d10_no_rerank_fallback", f"WITH {HYDRATED_SQL} SELECT query_id, rank, chunk_id, source FROM hydrated WHERE rank <= 5")
 def d10(spark, d):
     return R.no_rerank_fallback(hydrated(spark, d), 5).select("query_id", "rank", "chunk_id", "source")
