@@ -279,15 +279,17 @@ def citations(ranked: DataFrame, most: int = 10) -> DataFrame:
     )
 
 
-def assemble_response(questions: DataFrame, cited: DataFrame, confidence: DataFrame) -> DataFrame:
-    """``(query_id, payload)``: one JSON answer payload per question with its citations and confidence."""
+def assemble_response(questions: DataFrame, cited: DataFrame, confidence: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(query_id, payload)``: one JSON answer payload per question with its citations, graph facts and confidence."""
     listed = cited.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("index", "source", "document_type", "relevance_score", "ce_score"))).alias("citations")
     )
-    rows = questions.join(listed, "query_id", "left").join(confidence, "query_id", "left")
+    known = facts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "type", "nodes", "rels"))).alias("facts"))
+    rows = questions.join(listed, "query_id", "left").join(known, "query_id", "left").join(confidence, "query_id", "left")
     body = F.struct(
         F.col("question").alias("question"),
         F.coalesce("citations", F.array()).alias("citations"),
+        F.coalesce("facts", F.array()).alias("facts"),
         F.struct("level", "max_ce", "mean_ce", "passed_chunks").alias("confidence"),
     )
     return rows.select("query_id", F.to_json(body).alias("payload"))

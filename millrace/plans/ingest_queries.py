@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators.chunking import window_chunks
+from millrace.operators.chunking import structure_chunk_documents, window_chunks
 from millrace.plans.registry import query, table
 from millrace.plans.text_queries import SQL_CLEAN
 from millrace.sources import files, tables
@@ -263,6 +263,6 @@ def i1(spark, d):
     table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{folder}/in")  # a stream reads a folder
     registry = f"{folder}/registry"
     streams.stream_new_documents(
-        spark, f"{folder}/in", "doc_id long, text string", registry, f"{folder}/chunks", f"{folder}/checkpoint", window_chunks
+        spark, f"{folder}/in", "doc_id long, text string", registry, f"{folder}/chunks", f"{folder}/checkpoint", structure_chunk_documents
     ).awaitTermination()
     return spark.read.parquet(registry).select("doc_id", "content_hash")

@@ -7,8 +7,10 @@ whole text where there is one line only). The document is the relevant one.
 from pyspark.sql import functions as F
 
 from millrace.functions.text import citation_markers, words
+from millrace.operators import graph as G
 from millrace.operators import retrieval as R
 from millrace.operators.chunking import window_chunks
+from millrace.plans import graph_queries as GQ
 from millrace.plans.chunk_queries import sql_sub_chunks
 from millrace.plans.ingest_queries import sql_windows
 from millrace.plans.registry import query, table
@@ -355,7 +357,9 @@ def d18(spark, d):
 
 @query("d19_assemble_response")
 def d19(spark, d):
-    return R.assemble_response(questions(spark, d), R.citations(cited_rows(spark, d)), gate(spark, d))
+    asked = questions(spark, d)
+    facts = G.graph_facts(asked, GQ.nodes(spark, d), written(GQ.edges(spark, d), "edges"))
+    return R.assemble_response(asked, R.citations(cited_rows(spark, d)), gate(spark, d), facts)
 
 
 @query(
