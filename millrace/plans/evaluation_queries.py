@@ -1,5 +1,6 @@
 """Registered queries over evaluation operators."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import evaluation as E
@@ -62,6 +63,28 @@ def f3(spark, d):
     return found.withColumn("ap", F.round("ap", 9))
 
 
+@query(
+    "f3_average_precision_all",
+    f"""
+    WITH {RQ.DENSE_SQL}, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+    hits AS (SELECT d.query_id, row_number() OVER (PARTITION BY d.query_id ORDER BY rank)::DOUBLE / rank AS p
+        FROM dense d JOIN embeddings q ON q.vec_id = d.query_id JOIN embeddings v ON v.vec_id = d.vec_id WHERE q.label = v.label),
+    s AS (SELECT query_id, sum(p) AS s FROM hits GROUP BY 1)
+    SELECT vec_id AS query_id, round(coalesce(s, 0) / n, 9) AS ap FROM embeddings JOIN n USING (label) LEFT JOIN s ON query_id = vec_id WHERE vec_id % 50 = 0
+    """,
+)
+def f3_all(spark, d):
+    """All vectors of a query's label are relevant: counted by label, and the label compared on retrieved rows only."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "label")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    relevant = vectors.groupBy("label").agg(F.count("*").alias("n"))
+    found = RQ.dense(spark, d).join(vectors.withColumnRenamed("label", "own"), "vec_id").join(asked, "query_id").where("own = label")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    summed = found.withColumn("p", nth / F.col("rank")).groupBy("query_id").agg(F.sum("p").alias("s"))
+    rows = asked.join(relevant, "label").join(summed, "query_id", "left")
+    return rows.select("query_id", F.round(F.coalesce("s", F.lit(0.0)) / F.col("n"), 9).alias("ap"))
+
+
 @query("f4_ndcg_at_k", f"{RANKS_SQL} SELECT query_id, round(CASE WHEN rank BETWEEN 1 AND 10 THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0.0::DOUBLE END, 9) AS ndcg10 FROM r1")
 def f4(spark, d):
     return ranks(spark, d, 1).select("query_id", F.round(E.ndcg_at(F.col("rank"), 10), 9).alias("ndcg10"))

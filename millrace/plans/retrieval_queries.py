@@ -4,6 +4,7 @@ Questions are cut from every document whose id is divisible by 50: the first eig
 whole text where there is one line only). The document is the relevant one.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import citation_markers, words
@@ -214,6 +215,22 @@ def d8(spark, d):
     return out.select("doc_id", "hit_order", "chunk_order", "word_count")
 
 
+@query(
+    "d8_context_window_all",
+    f"""
+    WITH {CHUNKS_SQL} SELECT h.doc_id, h.chunk_order AS hit_order, c.chunk_order, c.word_count FROM chunks h JOIN chunks c
+        ON h.doc_id = c.doc_id AND c.chunk_order BETWEEN h.chunk_order - 1 AND h.chunk_order + 1
+    """,
+)
+def d8_all(spark, d):
+    rows = window_chunks(table(spark, d, "documents")).select("doc_id", "chunk_order", "word_count")
+    place = Window.partitionBy("doc_id").orderBy("chunk_order")
+    own = F.struct("chunk_order", "word_count")
+    near = F.array_compact(F.array(F.lag(own).over(place), own, F.lead(own).over(place)))
+    out = rows.select("doc_id", F.col("chunk_order").alias("hit_order"), near.alias("near"))
+    return out.select("doc_id", "hit_order", F.explode("near").alias("c")).select("doc_id", "hit_order", "c.*")
+
+
 @query("d9_rerank_sub_chunks", f"WITH {RANKED_SQL} SELECT query_id, rank, parent_chunk_id, sub_order, sub_text, ce_score FROM ranked")
 def d9(spark, d):
     return ranked(spark, d).select("query_id", "rank", "parent_chunk_id", "sub_order", "sub_text", "ce_score")
