@@ -1,12 +1,18 @@
 """The pipeline's stages, each on its predecessor's output, and a repository without this package."""
 
+import math
 import os
+import re
 import shutil
 import subprocess
 import sys
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import entry
+from millrace.llm import entry, toxicity
 from tests.conftest import SF
 
 
@@ -25,6 +31,60 @@ def test_stages(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == sizes[4]
 
 
+def test_stages_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    stages, texts = dict(corpus_pipeline.STAGES), {r.doc_id: r.text for r in docs.collect()}
+
+    def rows(name, given):
+        return {r.doc_id: r.text for r in stages[name](spark, given, SF).select("doc_id", "text").collect()}
+
+    kept = {r.doc_id for r in entry.op4_quality(spark, SF).collect() if r.kept}
+    assert rows("quality rules", docs) == {i: texts[i] for i in kept}
+
+    model = toxicity.fit_toxicity(docs, labels)
+    weight = model.lookup()
+
+    def score(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text):
+            if sentence.strip():
+                clean *= 1 - 1 / (1 + math.exp(-model.bias - sum(weight(t) for t in set(sentence.split()))))
+        return 1 - clean
+
+    toxic = {i for i, t in texts.items() if score(t) >= 0.3}
+    assert 0 < len(toxic) < len(texts)
+    assert rows("toxicity", docs) == {i: t for i, t in texts.items() if i not in toxic}
+
+    sets = {}
+    for i, text in texts.items():
+        words = text.lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else {i}
+    least = {i: i for i in texts}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if c == high else c for k, c in least.items()}
+    assert any(i != c for i, c in least.items())
+    assert rows("near-duplicates", docs) == {i: texts[i] for i, c in least.items() if i == c}
+
+    library, pieces, ends = Tokenizer.from_file(entry.WORD_BPE), {}, {}
+    for r in stages["packing"](spark, docs, SF).collect():
+        pieces[r.doc_id, r.piece] = (r.start, r.length, r.ids_crc32)
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    want = {}
+    for i, text in texts.items():
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[i, n] = (at, len(part), zlib.crc32(part.tobytes()))
+    assert pieces == want
+    for places in ends.values():
+        places.sort()
+        assert places[0][0] == 0 and places[-1][1] <= 4096 and all(a[1] == b[0] for a, b in zip(places, places[1:]))
+
+
 def test_toxicity_stage_follows_the_operator(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
