@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import cache_of, map_texts
+from millrace.llm.shared import BoundedTable, cache_of, map_texts
 
 MARK = "▁"
 
@@ -19,34 +19,39 @@ class ChunkTable:
 
     The marker may only stand at the front of a piece, so a word with the markers before it is segmented alike in any
     surroundings. ``__init__`` checks this on the vocabulary and normalizer, and the library gets whole texts where
-    it fails; likewise for the rare texts that hold the marker character itself. The table has at most ``limit`` words
-    and one slice of a batch; when full it starts afresh, which changes no result.
+    it fails; likewise for the rare texts that hold the marker character itself. The table's memory is bounded; when
+    full it keeps the words of the present slice, which changes no result.
     """
 
-    def __init__(self, model_path: str, limit: int = 600_000):
-        self.limit = limit
+    def __init__(self, model_path: str, megabytes: float = 64):
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.splits = not any(MARK in p.lstrip(MARK) for p in pieces) and self._keeps_spaces()
-        self.table: dict[str, bytes] = cache_of("pieces", {})
-        self.changed: dict[str, str] = cache_of("pieces", {})  # words whose decoded form differs from the word
+        self.table: BoundedTable = cache_of("pieces", f"ids {model_path}", BoundedTable(megabytes))
+        # Decoded forms of those of the table's words that decode to another text.
+        self.changed: dict[str, str] = cache_of("pieces", f"changed {model_path}", {})
 
     def _keeps_spaces(self) -> bool:
         """Whether the model's normalizer is the identity but for one marker put in front."""
         sample = "  a  éﬁ 　b\t\n "
         return self.model.normalize(sample) == MARK + sample.replace(" ", MARK)
 
-    def _add(self, missing: list[str]) -> None:
+    def _add(self, missing: list[str], used: set[str]) -> None:
         """Segment words that the table lacks; the library puts one marker in front of what it gets."""
+        fresh, changed = {}, {}
         plain = [word.replace(MARK, " ") for word in missing]
         found = self.model.encode(plain, num_threads=1)
         decoded = self.model.decode(found, num_threads=1)
         for word, spaced, ids, text in zip(missing, plain, found, decoded, strict=True):
             if not word:  # a marker alone, which the library would not put before nothing
                 ids, text = [self.model.piece_to_id(MARK)], ""
-            self.table[word] = array("i", ids).tobytes()
+            fresh[word] = array("i", ids).tobytes()
             if text != spaced:
-                self.changed[word] = text
+                changed[word] = text
+        self.table.add(fresh, lambda: used)
+        self.changed.update(changed)
+        for word in self.changed.keys() - self.table.keys():  # what the table gave up
+            del self.changed[word]
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -76,12 +81,10 @@ class ChunkTable:
                 decoded[i] = self.model.decode(found) if decode else None
             elif text:
                 words[i] = self.words(text)
-        missing = set().union(*words.values()) - self.table.keys()
-        if len(self.table) + len(missing) > self.limit:
-            self.table.clear()
-            self.changed.clear()
-            missing = set().union(*words.values())
-        self._add(sorted(missing))
+        used = set().union(*words.values())
+        missing = used - self.table.keys()
+        if missing:
+            self._add(sorted(missing), used)
         for i, found in words.items():
             ids[i] = b"".join(map(self.table.__getitem__, found))
             if decode and self.changed:

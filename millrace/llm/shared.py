@@ -1,6 +1,7 @@
 """What the operators of this package share: the shared folder, written tables and Arrow batch maps."""
 
 import os
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.scratch import shared_dir, written
 
-__all__ = ["BoundedCache", "cache_of", "keep_caches", "importable_on_workers", "map_texts", "shared_dir", "slices", "written"]
+__all__ = ["BoundedCache", "BoundedTable", "cache_of", "keep_caches", "importable_on_workers", "map_texts", "shared_dir", "slices", "written"]
 
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -67,34 +68,80 @@ def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-_CACHES: list[tuple[str, dict]] = []
+_CACHES: dict[tuple[str, str], dict] = {}
 
 
-def cache_of(group: str, cache: dict) -> dict:
-    """Register a cache that lives as long as the worker process."""
-    _CACHES.append((group, cache))
+def cache_of(group: str, name: str, cache: dict) -> dict:
+    """Register a cache that lives as long as the worker process, in place of an earlier one of that group and name.
+
+    Functions that Spark sends to workers get copies of the module-level objects they mention, so a cache must be
+    reached through a function or class of its module, which workers import.
+    """
+    old = _CACHES.pop((group, name), None)
+    if old is not None:
+        old.clear()
+    _CACHES[group, name] = cache
     return cache
 
 
 def keep_caches(group: str) -> None:
     """Empty the caches of all other groups: a worker that serves one operator after another holds one's at a time."""
-    for name, cache in _CACHES:
-        if name != group:
+    for (owner, _), cache in _CACHES.items():
+        if owner != group:
             cache.clear()
 
 
+def _cost(key, value) -> int:
+    """Bytes of a cached pair, with 100 for the dictionary's place and the memory manager."""
+    return 100 + sys.getsizeof(key) + sys.getsizeof(value)
+
+
 class BoundedCache(dict):
-    """A dictionary that fills itself with ``make(key)`` and starts afresh when it holds ``limit`` entries.
+    """A dictionary that fills itself with ``make(key)`` and starts afresh when it holds about ``megabytes``.
 
-    The results never depend on what is cached; the bound keeps a worker's memory fixed on any vocabulary.
+    Keys and values are counted with their objects' sizes and a dictionary place each. The results never depend on
+    what is cached; the bound keeps a worker's memory fixed on any vocabulary and any length of words.
     """
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, megabytes: float = 48):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, int(megabytes * 2**20), 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.make(key)
+        cost = _cost(key, value)
+        if self.held + cost > self.limit:
             self.clear()
-        value = self[key] = self.make(key)
+        self.held += cost
+        self[key] = value
         return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
+class BoundedTable(dict):
+    """A dictionary that is filled slice by slice and holds about ``megabytes``, or one slice's entries if that is more.
+
+    When it would hold more, it keeps the entries that the present slice uses, so frequent ones stay.
+    """
+
+    def __init__(self, megabytes: float = 64):
+        super().__init__()
+        self.limit, self.held = int(megabytes * 2**20), 0
+
+    def add(self, new: dict, used: Callable[[], set]) -> None:
+        """Add entries; ``used`` gives the keys of the present slice, if they are needed."""
+        cost = sum(map(_cost, new.keys(), new.values()))
+        if self.held + cost > self.limit:
+            kept = {key: self[key] for key in used() if key in self}
+            self.clear()
+            self.update(kept)
+            self.held = sum(map(_cost, kept.keys(), kept.values()))
+        self.held += cost
+        self.update(new)
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0

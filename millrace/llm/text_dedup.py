@@ -12,7 +12,7 @@ from millrace.llm.buckets import block_pairs, least_linked, map_units
 from millrace.llm.components import connected_components
 from millrace.llm.shared import BoundedCache, cache_of, map_texts, written
 
-_word_hash = cache_of("text_dedup", BoundedCache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8")), 500_000))
+_word_hash = cache_of("text_dedup", "words", BoundedCache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8")), 48))
 _ODD = [np.uint64((0xD6E8FEB86659FD93 * (2 * i + 3)) & (2**64 - 1) | 1) for i in range(16)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 

@@ -1,5 +1,6 @@
 """Token counts by byte-pair merging on a heap and a linked list."""
 
+import functools
 import heapq
 import json
 from collections.abc import Iterator
@@ -79,8 +80,9 @@ class MergeCounter:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.odd = regex.compile(r" (?:\s|$)")
-        self.of_part = cache_of("token_counts", BoundedCache(self._part, 200_000))
-        self.after_space = cache_of("token_counts", BoundedCache(lambda part: self._part(" " + part), 700_000))
+        self.of_part = cache_of("token_counts", f"parts {path}", BoundedCache(self._part, 16))
+        spaced = BoundedCache(lambda part: self._part(" " + part), 80)
+        self.after_space = cache_of("token_counts", f"words {path}", spaced)
 
     def _part(self, part: str) -> int:
         total = 0
@@ -102,7 +104,10 @@ class MergeCounter:
         return total
 
 
-_COUNTERS: dict[str, MergeCounter] = {}
+@functools.cache
+def counter_of(path: str) -> MergeCounter:
+    """The one counter of a worker process for a tokenizer file."""
+    return MergeCounter(path)
 
 
 def count_tokens(
@@ -117,7 +122,7 @@ def count_tokens(
     """
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get(tokenizer_path) or _COUNTERS.setdefault(tokenizer_path, MergeCounter(tokenizer_path))
+        counter = counter_of(tokenizer_path)
         for ids, texts in batches:
             texts = [t or "" for t in texts]
             n_tokens = [counter.count(t) for t in texts]

@@ -71,7 +71,7 @@ def fit_toxicity(
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        hashed = BoundedCache(features_of, 100_000)
+        hashed = BoundedCache(features_of, 24)
         for toxic, texts in batches:
             words, ends = [], []
             for text in texts:
@@ -147,7 +147,7 @@ def score_toxicity(
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        weight = BoundedCache(fitted.lookup(), 400_000)
+        weight = BoundedCache(fitted.lookup(), 48)
         bias = fitted.bias
 
         def logit(sentence: str) -> float:

@@ -6,7 +6,7 @@ from array import array
 
 from tokenizers import Tokenizer
 
-from millrace.llm.shared import cache_of
+from millrace.llm.shared import BoundedTable, cache_of
 
 MARK = re.compile(rb"([.,;:!?*&$%#])(?<=[a-z].)")
 COMBINING = re.compile(rb"[\xcc\xcd]")
@@ -16,14 +16,15 @@ class WordIds:
     """Encodes texts as the library does (no special tokens added), with each distinct word encoded once.
 
     Holds for tokenizers that neither keep white space nor join characters across it; ``__init__`` checks this by
-    comparison on a sample, and whole texts go to the library where it fails. The table has a bounded size.
+    comparison on a sample, and whole texts go to the library where it fails. The table's memory is bounded.
     """
 
     _loaded: dict[str, "WordIds"] = {}
 
-    def __init__(self, path: str, limit: int = 750_000):
+    def __init__(self, path: str, megabytes: float = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library, self.limit, self.table = Tokenizer.from_file(path), limit, cache_of("word_ids", {})
+        self.library = Tokenizer.from_file(path)
+        self.table: BoundedTable = cache_of("word_ids", path, BoundedTable(megabytes))
         sample = "Un mot, deux\tmots\n\n 12 é's e ́ <|endoftext|>x ende"
         whole = self.library.encode(sample, add_special_tokens=False).ids
         self.by_word = whole == [i for w in sample.split() for i in self.library.encode(w, add_special_tokens=False).ids]
@@ -58,9 +59,7 @@ class WordIds:
             new = {w: array("I", e.ids).tobytes() for w, e in zip(fresh, coded, strict=True)}
             for i in words:
                 out[i] = b"".join([new[w] if ids is None else ids for w, ids in zip(words[i], out[i], strict=True)])
-            if len(table) + len(new) > self.limit:
-                table.clear()
-            table.update(new)
+            table.add(new, lambda: {w for text in texts for w in self._plain(text.encode("utf-8")).split()})
         return out
 
     @staticmethod

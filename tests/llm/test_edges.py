@@ -86,6 +86,49 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, BYTE_BPE).count() == 0
 
 
+def test_tasks_of_one_worker_share_caches(spark, docs):
+    """Functions reach workers by value: unpickled twice in one process, they must not make caches of their own."""
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    from millrace.llm import shared
+
+    maps, cls = [], type(docs)
+    kept = cls.mapInArrow
+    cls.mapInArrow = lambda self, fn, schema, *a, **b: (maps.append(cloudpickle.dumps(fn)), kept(self, fn, schema, *a, **b))[1]
+    try:
+        token_counts.count_tokens(docs, BYTE_BPE)
+        encode_pieces(docs, PIECE_BPE)
+        packing.cut_pieces(docs.limit(1), WORD_BPE)
+        text_dedup.text_features(docs, 5, 2, 2)
+    finally:
+        cls.mapInArrow = kept
+    assert len(maps) == 4
+    for pickled in maps:
+        sizes = []
+        for _ in range(3):
+            batch = pa.RecordBatch.from_pydict({"key": pa.array([1, 2]), "text": ["some words", "other words"]})
+            if pickled == maps[2]:
+                batch = pa.RecordBatch.from_pydict({"key": [{"doc_id": 1, "row_id": 1}], "text": ["some words"]})
+            list(cloudpickle.loads(pickled)(iter([batch])))
+            sizes.append(len(shared._CACHES))
+        assert sizes[0] == sizes[-1]
+
+
+def test_bounded_caches():
+    from millrace.llm.shared import BoundedCache, BoundedTable
+
+    cache = BoundedCache(lambda w: w.upper(), megabytes=1)
+    assert all(cache[f"{i}" + "x" * 5_000] == f"{i}" + "X" * 5_000 for i in range(1_000))
+    assert 0 < len(cache) < 200 and cache.held <= cache.limit
+    table = BoundedTable(megabytes=0.01)
+    for i in range(50):
+        new = {w: w for w in ("often", f"w{i}a", f"w{i}b") if w not in table}
+        table.add(new, lambda: {"often", f"w{i}a", f"w{i}b"})
+        assert table["often"] == "often" and table[f"w{i}a"] == f"w{i}a"
+    assert len(table) < 70
+
+
 def test_pieces(docs, empty):
     coded = encode_pieces(docs, PIECE_BPE)
     rows = coded.collect()
