@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import BoundedCache, map_texts
 
-_SENTENCE = re.compile(r"[^.!?\n]+")
+_ENDS = ".!?\n"
+_SENTENCE = re.compile(f"[^{_ENDS}]+")
 _EDGES = ".,;:!?\"'()[]{}*&$%#|<>«»"
 
 
@@ -158,9 +159,12 @@ def score_toxicity(
             for text in texts:
                 text = text or ""
                 sentences = [s for s in _SENTENCE.findall(text) if not s.isspace()]
-                if any(map(weight.__getitem__, {*text.split()})):
+                whole = text
+                for mark in _ENDS:
+                    whole = whole.replace(mark, " ")
+                if any(map(weight.__getitem__, {*whole.split()})):
                     z = np.array([logit(s) for s in sentences])
-                else:  # no token has a weight: every sentence scores alike
+                else:  # none of the sentences' tokens has a weight, so all of them score alike
                     z = np.full(len(sentences), bias)
                 score = float(-np.expm1(-np.logaddexp(0, z).sum()))
                 scores.append(score)
