@@ -1,17 +1,17 @@
 """Language identification by hyperdimensional profiles."""
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import map_texts
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 _BITS = 21  # code points need no more
 
 
@@ -45,7 +45,7 @@ class Profiles:
         return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
 
     def codes(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct letter triples of a text (lower case, other characters as one blank) and their counts."""
+        """Distinct triples of a text's letters (Unicode's L, in lower case; all else as one blank) and their counts."""
         letters = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
         if not letters:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
