@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import before, let, part_of, sums_before, text_blocks
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -109,35 +111,33 @@ def _spans(text: Column, kind: Kind) -> Column:
 
     A match starts behind the pieces and matches before it: the text split by the pattern has the pieces between.
     """
-    kinds = "array<struct<start:int,end:int,value:string>>"
-    pieces = F.split(text, kind.pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    parts = F.arrays_zip(pieces.alias("p"), matches.alias("m"))
-
-    def add(state: Column, x: Column) -> Column:
-        start = state["pos"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        out = F.when(x["m"].isNull(), state["out"]).otherwise(F.array_append(state["out"], span))
-        return F.struct(end.alias("pos"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.from_json(F.lit("[]"), kinds).alias("out"))
-    found = F.aggregate(parts, start, add, lambda s: s["out"])
-    found = F.filter(found, lambda s: _confirmed(kind.name, s["value"]))
-
-    def scored(s: Column) -> Column:
+    pieces, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+
+    def confirmed(x: Column) -> Column:
+        steps = F.transform(x["m"], lambda m, i: F.length(F.get(x["p"], i)) + F.length(m))
+        spans = F.transform(
+            sums_before(steps),
+            lambda gone, i: F.struct(
+                (gone + F.length(F.get(x["p"], i))).alias("start"),
+                (gone + F.get(steps, i)).alias("end"),
+                F.get(x["m"], i).alias("value"),
+            ),
+        )
+        return F.filter(spans, lambda s: _confirmed(kind.name, s["value"]))
+
+    def scored(s: Column, blocks: Column) -> Column:
         low = F.greatest(s["start"] - WINDOW, F.lit(0))
-        before = F.lower(F.substring(text, low + 1, s["start"] - low))
-        score = F.lit(kind.score) + F.when(before.rlike(kind.context), kind.near).otherwise(0.0)
+        near = F.lower(part_of(blocks, low, s["start"] - low)).rlike(kind.context)
         return F.struct(
             F.lit(kind.name).alias("kind"),
             s["start"].alias("start"),
             s["end"].alias("end"),
-            F.round(score, 3).alias("score"),
+            F.round(F.lit(kind.score) + F.when(near, kind.near).otherwise(0.0), 3).alias("score"),
             s["value"].alias("value"),
         )
 
-    found = F.transform(found, scored)
+    found = let(F.struct(pieces.alias("p"), matches.alias("m")), confirmed)
+    found = let(found, lambda f: F.when(F.size(f) > 0, let(text_blocks(text), lambda b: F.transform(f, lambda s: scored(s, b)))))
     if not kind.base:
         found = F.filter(found, lambda s: s["score"] >= KEEP)
     return F.when(text.rlike(kind.needs), found)
@@ -166,19 +166,19 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col(f"`{text_col}`")
     ordered = F.array_sort(F.transform(F.col(name), lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
-    def cut(state: Column, s: Column) -> Column:
-        kept = F.substring(text, state["pos"] + 1, F.greatest(s["start"] - state["pos"], F.lit(0)))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        apart = s["start"] >= state["pos"]
-        parts = F.when(apart, F.concat(state["parts"], F.array(kept, mark))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["pos"], s["end"]).alias("pos"), parts.alias("parts"))
+    def cut(spans: Column, blocks: Column) -> Column:
+        done = before(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
 
-    start = F.struct(F.lit(0).alias("pos"), F.from_json(F.lit("[]"), "array<string>").alias("parts"))
+        def parts(s: Column, gone: Column) -> Column:
+            mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(s["start"] >= gone, F.concat(part_of(blocks, gone, s["start"] - gone), mark)).otherwise("")
 
-    def join(state: Column) -> Column:
-        return F.concat(F.array_join(state["parts"], ""), F.substring(text, state["pos"] + 1, F.length(text)))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        rest = part_of(blocks, end, F.length(text) - end)
+        return F.concat(F.array_join(F.zip_with(spans, done, parts), ""), rest)
 
-    changed = F.when(F.size(name) > 0, F.aggregate(ordered, start, cut, join)).otherwise(text)
+    redacted = let(ordered, lambda spans: let(text_blocks(text), lambda blocks: cut(spans, blocks)))
+    changed = F.when(F.size(name) > 0, redacted).otherwise(text)
     return found.withColumn(text_col, changed).drop(name)
 
 
