@@ -167,27 +167,44 @@ def near_duplicate_texts(
     block: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
+    row_col: str | None = None,
 ) -> DataFrame:
     """``(doc_id, class_id, component_id, kept)``: one row for each input row.
 
     ``class_id`` is the smallest id with the same set of shingles, ``component_id`` the smallest id that links of
-    Jaccard similarity ``threshold`` or more (distinct shingles of ``width`` words) lead to, and ``kept`` says that
-    the row is its component's document. Signatures of ``bands`` x ``rows`` places propose pairs: at similarity s a
-    link is found with probability 1 - (1 - s^rows)^bands, 0.9999 at 0.8, however often shingles repeat; more so as a
-    component has many links.
-
-    Rows: a null id has null class and component and is kept; a text without words (null, empty) stays alone;
-    rows that repeat an id share its verdict.
-
-    Scale: copies fall together by digest, with pre-aggregation, before any pair is made. Bands with the same members
-    count once. A bucket of any size is cut into pairs of blocks, all of which are verified, so there is no cap;
-    each unit emits at most one link for each of its texts. Classes, buckets and links are written tables.
+    Jaccard similarity ``threshold`` or more (distinct shingles of ``width`` words) lead to, and ``kept`` is true for
+    one row of each component, the first by id. Signatures of ``bands`` x ``rows`` places propose pairs: those of equal
+    weights propose a link of similarity s with probability 1 - (1 - s^rows)^bands, 0.9999 at 0.8, however often
+    shingles repeat; those weighted by occurrences add to that, and a component often has many links.
+
+    Rows: ids are integers (others raise a TypeError). Texts without words (null, empty) stay alone and are kept.
+    Nothing is decided by id alone: rows that repeat an id stand for their own texts, and of rows that repeat id and
+    text one is kept. A null id comes last in its component; classes and components of null ids only have null numbers.
+    ``row_col`` names a column of distinct long numbers, which the result then has too, to find input rows again.
+
+    Scale: copies fall together by digest, with pre-aggregation, before any pair is made; one row of each class has its
+    shingles sent on. Bands with the same members count once. A bucket of any size is cut into pairs of blocks, all of
+    which are verified, so there is no cap; each unit emits at most one link for each of its texts. Features, classes,
+    buckets and links are written tables.
     """
-    features = written(text_features(docs, width, bands, rows, id_col, text_col), "features")
-    usable = features.where("digest is not null and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer column")
+    number = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), number.alias("row")).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    features = text_features(keyed, width, bands, rows, "key", "text").withColumnRenamed("doc_id", "key")
+    features = written(features.select("key.*", "digest", "bands", "shingles"), "features")
+
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    variants = features.where("digest is not null").groupBy("digest", "bands").agg(F.min(order).alias("first"))
+    variants = written(variants, "variants")
+    classes = variants.groupBy("digest").agg(
+        F.min("first").alias("first"), F.count("*").alias("n"), F.min_by("bands", "first").alias("bands")
+    )
+    classes = written(classes.select("digest", F.col("first.row").alias("node"), F.col("first.doc_id").alias("class_id"), "n", "bands"), "classes")
+    # Texts of one shingle set that repeat shingles differently have different weighted bands: all of them count.
+    several = variants.select("digest", "bands").join(classes.where("n > 1").select("digest", "node"), "digest")
+    several = several.select("node", F.explode("bands").alias("band")).distinct()
+    banded = classes.where("n = 1").select("node", F.explode("bands").alias("band")).unionByName(several)
     found = banded.groupBy("band").agg(
         F.count("*").alias("n"),
         F.min("node").alias("least"),
@@ -197,8 +214,7 @@ def near_duplicate_texts(
     same = ["n", "least", "most", "mark"]
     buckets = written(found.where("n > 1").groupBy(*same).agg(F.min("band").alias("band")), "buckets")
     members = banded.join(buckets.select("band", "n"), "band")
-    payload = usable.select(F.col("doc_id").alias("node"), "shingles")
-    members = members.join(payload, "node")
+    members = members.join(features.select(F.col("row").alias("node"), "shingles"), "node")
     units = block_pairs(members, F.col("n"), F.col("node"), block)
 
     def verify(unit: pa.Table) -> pa.RecordBatch | None:
@@ -206,24 +222,25 @@ def near_duplicate_texts(
         sets = [np.frombuffer(s, np.uint32) for s in unit.column("shingles").to_pylist()]
         if len(nodes) < 2:
             return None
-        order = sorted(range(len(nodes)), key=nodes.__getitem__)
-        nodes, sets = [nodes[i] for i in order], [sets[i] for i in order]
+        at = sorted(range(len(nodes)), key=nodes.__getitem__)
+        nodes, sets = [nodes[i] for i in at], [sets[i] for i in at]
         root = least_linked(similar_pairs(sets, threshold))
         links = [(nodes[i], nodes[r]) for i, r in enumerate(root.tolist()) if i != r]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], node_type) for k in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    node_type = pa.int64()
-    keys = units.select("band", "p", "q", F.col("node").cast("long").alias("node"), "shingles")
-    links = map_units(keys, ["band", "p", "q"], verify, "a long, b long")
+    links = map_units(units.select("band", "p", "q", "node", "shingles"), ["band", "p", "q"], verify, "a long, b long")
     grouped = connected_components(links)
-    verdicts = classes.select("digest", "node").join(grouped, "node", "left")
-    verdicts = verdicts.select("digest", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("c"))
-    verdicts = written(verdicts, "verdicts")
-    out = features.select("doc_id", "digest").join(verdicts, "digest", "left")
-    alone = F.col("doc_id").isNull() | F.col("digest").isNull()
-    out = out.select(
+    verdicts = classes.select("digest", "node", "class_id").join(grouped, "node", "left")
+    verdicts = written(verdicts.withColumn("component", F.coalesce("component", "node")), "verdicts")
+    order = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")
+    first = verdicts.groupBy("component").agg(F.min(order).alias("first"))
+    verdicts = verdicts.join(first.select("component", "first"), "component").select("digest", "class_id", "first")
+    out = features.select("doc_id", "row", "digest").join(written(verdicts, "verdicts"), "digest", "left")
+    alone = F.col("digest").isNull()
+    return out.select(
         F.col("doc_id").alias(id_col),
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.class_id")).alias("component_id"),
+        (alone | (F.col("row") == F.col("first.node"))).alias("kept"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
