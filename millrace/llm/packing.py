@@ -1,6 +1,5 @@
-"""Packing token pieces into sequences: best fit, then a swap-based local search between underfull bins."""
+"""Packing token pieces into sequences: as they come, then a swap-based local search between underfull bins."""
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,88 +19,137 @@ class Packing:
         self.sizes, self.capacity = sizes, capacity
         self.bins: list[list[int]] = []
         self.fill: list[int] = []
+        self.least = -(-sum(sizes) // capacity)  # no packing has fewer bins
+
+    def in_order(self) -> "Packing":
+        """Items as they come, each into the last bin or, if it does not fit, into a new one."""
+        for item, size in enumerate(self.sizes):
+            if not self.bins or self.fill[-1] + size > self.capacity:
+                self.bins.append([])
+                self.fill.append(0)
+            self.bins[-1].append(item)
+            self.fill[-1] += size
+        return self
 
-    def best_fit(self) -> "Packing":
-        """Largest items first, each into the bin that it leaves least room in.
+    def local_search(self) -> "Packing":
+        """Exchange items between underfull bins as long as the sum of squared fills grows, until bins empty.
 
-        Open bins are listed by free room; a bit mask of the rooms that occur finds the least one that is enough.
+        In turn, emptiest first, every underfull bin gives to fuller ones: an item into free room, an item for a smaller
+        one, two items for a smaller one, or an item for two that are smaller. Of the targets the one is taken that is
+        left with the least room. Each exchange adds to the sum of squares. The search goes over all bins again
+        until a round empties none, or no packing could have fewer.
         """
-        by_room: list[list[int]] = [[] for _ in range(self.capacity + 1)]
-        rooms = 0
-        for item in sorted(range(len(self.sizes)), key=lambda i: (-self.sizes[i], i)):
-            size = self.sizes[item]
-            fitting = rooms >> size
-            if fitting:
-                room = size + (fitting & -fitting).bit_length() - 1
-                at = by_room[room].pop()
-                if not by_room[room]:
-                    rooms ^= 1 << room
-                self.bins[at].append(item)
-                self.fill[at] += size
-            else:
-                at, room = len(self.bins), self.capacity
-                self.bins.append([item])
-                self.fill.append(size)
-            by_room[room - size].append(at)
-            rooms |= 1 << (room - size)
+        self.used, before = sum(map(bool, self.bins)), None
+        index = _Targets(self)
+        while self.least < self.used != before:
+            before = self.used
+            for donor in sorted(range(len(self.bins)), key=lambda b: (self.fill[b], b)):
+                if 0 < self.fill[donor] < self.capacity:
+                    index.remove(donor)
+                    while self.bins[donor] and (found := index.best(donor)):
+                        self._exchange(donor, *found, index)
+                    if self.bins[donor]:
+                        index.add(donor)
+                    else:
+                        self.used -= 1
+                if self.used == self.least:
+                    break
+        keep = [i for i, b in enumerate(self.bins) if b]
+        self.bins, self.fill = [self.bins[i] for i in keep], [self.fill[i] for i in keep]
         return self
 
-    def local_search(self, donors: int = 24, rounds: int = 6) -> "Packing":
-        """Move items between underfull bins as long as the sum of squared fills grows, until bins empty.
+    def _exchange(self, donor: int, target: int, out: tuple, back: tuple, index: "_Targets") -> None:
+        index.remove(target)
+        gain = sum(self.sizes[i] for i in out) - sum(self.sizes[i] for i in back)
+        self.bins[donor] = [i for i in self.bins[donor] if i not in out] + [*back]
+        self.bins[target] = [i for i in self.bins[target] if i not in back] + [*out]
+        self.fill[donor] -= gain
+        self.fill[target] += gain
+        index.add(target)
 
-        The emptiest ``donors`` bins give to fuller ones: an item into free room, one item for a smaller one, two
-        for one, or one for two smaller ones. Each exchange fills the fuller bin up as far as it can, so it adds to the
-        sum of squares. Rounds end when nothing moves; the bounds limit the time, never which items are placed.
-        """
-        for _ in range(rounds):
-            order = sorted(range(len(self.bins)), key=self.fill.__getitem__)
-            moved = False
-            for donor in order[:donors]:
-                targets = [b for b in order if self.fill[donor] <= self.fill[b] < self.capacity and b != donor]
-                for target in reversed(targets):
-                    while self.bins[donor] and self.fill[target] < self.capacity and self._improve(donor, target):
-                        moved = True
-                    if not self.bins[donor]:
-                        break
-            keep = [i for i, b in enumerate(self.bins) if b]
-            self.bins, self.fill = [self.bins[i] for i in keep], [self.fill[i] for i in keep]
-            if not moved:
-                break
-        return self
 
-    def _improve(self, donor: int, target: int) -> bool:
-        """Apply the exchange that fills the target most; False if none fills it further."""
-        room, size = self.capacity - self.fill[target], self.sizes
-        give = sorted((size[i], i) for i in self.bins[donor])
-        take = sorted((size[i], i) for i in self.bins[target])
-        whole = self.fill[donor]
-        if whole <= room:  # the donor empties
-            self._exchange(donor, target, [i for _, i in give], [])
-            return True
-        given = [(s, (i,)) for s, i in give]
-        pairs = [(a + b, (i, j)) for n, (a, i) in enumerate(give[:32]) for b, j in give[n + 1 : 32]]
-        taken = [(0, ()), *((s, (i,)) for s, i in take)]
-        double = [(a + b, (i, j)) for n, (a, i) in enumerate(take[:32]) for b, j in take[n + 1 : 32]]
-        best = (0, (), ())
-        for out, back in ((sorted(given), [*taken, *double]), (sorted(pairs), taken)):
-            sizes = [s for s, _ in out]
-            for s, items in back:
-                at = bisect.bisect_right(sizes, s + room) - 1
-                if at >= 0 and sizes[at] - s > best[0]:
-                    best = (sizes[at] - s, out[at][1], items)
-            if best[0] == room:
-                break
-        if best[0] <= 0:
-            return False
-        self._exchange(donor, target, best[1], best[2])
-        return True
+class _Targets:
+    """Underfull bins by what they can take in: the room, and the room with one or two of their items gone.
 
-    def _exchange(self, donor: int, target: int, out, back) -> None:
-        moved = sum(self.sizes[i] for i in out) - sum(self.sizes[i] for i in back)
-        self.bins[donor] = [i for i in self.bins[donor] if i not in set(out)] + [*back]
-        self.bins[target] = [i for i in self.bins[target] if i not in set(back)] + [*out]
-        self.fill[donor] -= moved
-        self.fill[target] += moved
+    A bit mask of the amounts that occur finds the least one that is enough. Bins are listed apart by the bits of their
+    room, since one of little room gains only where less is left. Of items of one size in a bin one is listed.
+    """
+
+    def __init__(self, packing: Packing):
+        self.packing, bits = packing, packing.capacity.bit_length() + 1
+        # By number of items to give back and bits of the room: amount -> {(bin, items): None}, and the mask of amounts.
+        self.places = [[{} for _ in range(bits)] for _ in range(3)]
+        self.masks = [[0] * bits for _ in range(3)]
+        self.listed: dict[int, list] = {}
+        for b in range(len(packing.bins)):
+            self.add(b)
+
+    def add(self, b: int) -> None:
+        room, sizes = self.packing.capacity - self.packing.fill[b], self.packing.sizes
+        if not room or not self.packing.bins[b]:
+            return
+        own = [*{sizes[i]: i for i in self.packing.bins[b]}.items()]
+        entries = [(0, room, (b, ()))]
+        entries += [(1, room + s, (b, (i,))) for s, i in own]
+        entries += [(2, room + s + t, (b, (i, j))) for n, (s, i) in enumerate(own) for t, j in own[:n]]
+        bits = room.bit_length()
+        for level, amount, entry in entries:
+            at = self.places[level][bits].get(amount)
+            if at is None:
+                at = self.places[level][bits][amount] = {}
+                self.masks[level][bits] |= 1 << amount
+            at[entry] = None
+        self.listed[b] = bits, entries
+
+    def remove(self, b: int) -> None:
+        bits, entries = self.listed.pop(b, (0, ()))
+        for level, amount, entry in entries:
+            at = self.places[level][bits][amount]
+            del at[entry]
+            if not at:
+                del self.places[level][bits][amount]
+                self.masks[level][bits] ^= 1 << amount
+
+    def best(self, donor: int) -> tuple | None:
+        """``(target, items out, items back)`` of the exchange that leaves its target the least room; None without one."""
+        sizes, own = self.packing.sizes, {}
+        for i in self.packing.bins[donor]:
+            own.setdefault(sizes[i], []).append(i)
+        single = sorted(((s, (ids[0],)) for s, ids in own.items()), reverse=True)
+        fill, best = self.packing.fill[donor], None
+        for level in (0, 1, 2):
+            for size, out in single:
+                best = self._better(best, level, size, out, fill)
+                if best and best[0] == 0:
+                    return best[1:]
+            if best:  # a kind of exchange that moves fewer items comes first
+                return best[1:]
+        pairs = {s + t: (a[0], b[0]) for n, (s, a) in enumerate(single) for t, b in single[:n]}
+        pairs |= {2 * s: tuple(ids[:2]) for s, ids in own.items() if len(ids) > 1}
+        for size, out in sorted(pairs.items(), reverse=True):
+            best = self._better(best, 1, size, out, fill)
+            if best and best[0] == 0:
+                break
+        return best[1:] if best else None
+
+    def _better(self, best: tuple | None, level: int, size: int, out: tuple, fill: int) -> tuple | None:
+        """The better of ``best`` and the tightest exchange of ``out`` that makes the sum of squares grow."""
+        packing = self.packing
+        # What is left of the target's room must be less than the donor's room, or the sum of squares would not grow.
+        most = best[0] if best else packing.capacity - fill
+        for bits, mask in enumerate(self.masks[level]):
+            mask = mask >> size & (1 << min(most, 1 << bits)) - 1
+            while mask:
+                low = mask & -mask
+                left = low.bit_length() - 1
+                found = next((x for x in self.places[level][bits][size + left] if packing.capacity - packing.fill[x[0]] > left), None)
+                if found:  # else nothing is gained there
+                    best, most = (left, found[0], out, found[1]), left
+                    break
+                mask ^= low
+            if not most:
+                break
+        return best
 
 
 def cut_pieces(
@@ -151,7 +199,7 @@ def assign_sequences(pieces: DataFrame, capacity: int = 4096, pool: int = 16_384
     """``(row_id, piece, sequence_id, offset)`` for every piece, in as few sequences as the method finds.
 
     A piece of full length is a sequence of its own. The others are dealt by a hash into pools of about ``pool``
-    pieces, each packed by best fit and local search; only sizes travel, not ids. A pool has at most a few sequences
+    pieces, each filled in order of the input and packed by local search; only sizes travel, not ids. A pool has at most a few sequences
     more than all pieces together would need, so the loss is a fixed small share at any scale.
     """
     sizes = pieces.select("row_id", "piece", "length")
@@ -162,8 +210,9 @@ def assign_sequences(pieces: DataFrame, capacity: int = 4096, pool: int = 16_384
     rest = rest.withColumn("pool", F.pmod(F.xxhash64("row_id", "piece"), F.lit(pools)))
 
     def pack(table: pa.Table) -> pa.RecordBatch:
+        table = table.sort_by([("row_id", "ascending"), ("piece", "ascending")])
         lengths = table.column("length").to_pylist()
-        packing = Packing(lengths, capacity).best_fit().local_search()
+        packing = Packing(lengths, capacity).in_order().local_search()
         number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for at, items in enumerate(packing.bins):
             place = 0
