@@ -34,6 +34,45 @@ def test_language_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_languages_by_plain_bundling(spark, texts):
+    """Letter vectors permuted, bound and bundled one by one, and cosines, in plain Python."""
+    from millrace.llm import language_id
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.select("doc_id", "lang").collect()
+    rng = {}
+
+    def letter(c):
+        if c not in rng:
+            rng[c] = np.random.default_rng([11, ord(c)]).integers(0, 2, 1024, np.int8) * 2 - 1
+        return rng[c].astype(float)
+
+    known = {}
+
+    def bundled(text):
+        total = np.zeros(1024)
+        spaced = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        letters = " " + " ".join(spaced.split()) + " "
+        for i in range(len(letters) - 2 if letters.strip() else 0):
+            three = letters[i : i + 3]
+            if three not in known:
+                known[three] = np.roll(letter(three[0]), 2) * np.roll(letter(three[1]), 1) * letter(three[2])
+            total += known[three]
+        return total
+
+    vectors = {i: bundled(t) for i, t in texts.items()}
+    names = sorted({r.lang for r in rows if r.lang})
+    learned = {n: sum(vectors[r.doc_id] for r in rows if r.lang == n and zlib.crc32(str(r.doc_id).encode()) % 3 != 1) for n in names}
+    for r in language_id.identify_languages(docs, language_id.fit_languages(docs)).collect():
+        v = vectors[r.doc_id]
+        cosines = {n: float(v @ p / max(np.linalg.norm(v) * np.linalg.norm(p), 1e-12)) for n, p in learned.items()}
+        if not v.any():
+            assert r.lang_pred == "und"
+            continue
+        assert abs(r.score - max(0.0, max(cosines.values()))) < 1e-5
+        assert cosines[r.lang_pred] > max(cosines.values()) - 1e-6
+
+
 def test_token_files(spark, word_ids):
     rows = {r.doc_id: r for r in entry.op2_token_files(spark, SF).collect()}
     start = 0
@@ -78,6 +117,46 @@ def test_quality_verdict_follows_labels(spark):
     assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.1
 
 
+def test_quality_verdict_by_plain_log_ratios(spark, texts):
+    """Multinomials of hashed tokens and pairs, ratios, means and the threshold, in plain Python."""
+    import xxhash
+
+    from millrace.llm import quality
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    odd = [int(x) for x in quality._ODD]
+    mask = 2**64 - 1
+
+    def buckets(text):
+        tokens = [xxhash.xxh64_intdigest(t) for w in re.split(r"[\x20\x09-\x0D]+", text) for t in re.findall(r"\w+|[^\w\s]+", w.lower())]
+        pairs = [(a * odd[0] + b * odd[1]) * odd[2] & mask for a, b in zip(tokens, tokens[1:])]
+        return [h >> 48 for h in [*(t * odd[3] & mask for t in tokens), *pairs]]
+
+    found = {i: buckets(t or "") for i, t in texts.items()}
+    fifths = {r.doc_id: r.fifth for r in quality.trusted_sample(labels, 20_000).selectExpr("doc_id", "pmod(xxhash64(doc_id, 5), 5) fifth").collect()}
+    raw, target = np.ones(1 << 16), np.ones(1 << 16)
+    for i, own in found.items():
+        for b in own:
+            raw[b] += 1
+            target[b] += fifths.get(i, 0) > 0
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    score = {i: sum(ratio[b] for b in own) / (len(own) + 20) for i, own in found.items()}
+    rows = {r.doc_id: r for r in quality.score_quality(docs, model).collect()}
+    assert all(abs(rows[i].score - score[i]) < 1e-9 for i in score)
+    apart = sorted(score[i] for i, fifth in fifths.items() if fifth == 0 and i in rows and not rows[i].base_failed)
+    assert abs(model.threshold - (np.quantile(apart, 0.002) - 0.03)) < 1e-9
+    assert all(r.kept == (not r.base_failed and r.score >= model.threshold) for r in rows.values())
+
+
+def test_quality_threshold_keeps_ties(spark):
+    from millrace.llm import quality
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(30))) for i in range(5)], "doc_id long, text string")
+    model = quality.QualityModel(np.zeros(1 << 16), 16, 20.0, threshold=0.0)
+    assert all(r.kept for r in quality.score_quality(docs, model).collect())
+
+
 def test_token_counts(spark, texts):
     library = Tokenizer.from_file(entry.BYTE_BPE)
     for r in entry.op5_token_counts(spark, SF).collect():
@@ -137,6 +216,23 @@ def test_vectors_drifting_group(spark):
     assert [got[i].n_links for i in ids] == linked.sum(axis=1).tolist()
 
 
+@pytest.mark.parametrize("codes", [90, 396])
+def test_vector_pairs_at_the_threshold_are_found(spark, codes):
+    """Recall of single pairs, which no third vector helps, with as many codes as large tables have."""
+    from millrace.llm.embedding_dedup import near_duplicate_vectors
+
+    rng, rows, n = np.random.default_rng(codes), [], 200
+    for i in range(n):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (0.9801 * a + (1 - 0.9801**2) ** 0.5 * b).tolist(), 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = near_duplicate_vectors(table, codes=codes).where("n_links = 1").count() / (2 * n)
+    assert got >= 0.95
+
+
 def test_texts_equal_brute_force(spark, duck):
     same_rows(entry.op8_text_dedup(spark, SF), duck, entry.ORACLE_SQL["op8_text_dedup"])
 
@@ -242,6 +338,39 @@ def test_personal_data(spark, texts):
     assert all(tuple(r)[1:6] == plain_spans(want[r.doc_id]) for r in got)
 
 
+def test_added_kinds_and_scores(spark):
+    from millrace.llm.pii import find_personal_data
+
+    def account(text):
+        moved = "".join(str(int(c, 36)) for c in text.replace(" ", "")[4:] + text.replace(" ", "")[:4])
+        return int(moved) % 97 == 1
+
+    good, bad = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"
+    assert account(good) and not account(bad)
+    rows = {
+        1: f"bank {good}.",
+        2: f"bank {bad}.",
+        3: "social 123-45-6789",
+        4: "number 123-45-6789",
+        5: "visa 4111 1111 1111 1111",
+        6: "x" * 60 + " 4111111111111111",
+        7: f"mail a@b.co {'y' * 50} 10.0.0.1",
+        8: "social " + "z" * 41 + " 123-45-6789",
+    }
+    got = find_personal_data(spark.createDataFrame([*rows.items()], "doc_id long, text string")).collect()
+    found = {r.doc_id: [(s.kind, r.text[s.start : s.end], s.score) for s in r.spans] for r in got}
+    assert found == {
+        1: [("iban", good, 0.9)],
+        2: [],
+        3: [("ssn", "123-45-6789", 0.7)],
+        4: [],
+        5: [("card", "4111 1111 1111 1111", 0.9)],
+        6: [("card", "4111111111111111", 0.7)],
+        7: [("email", "a@b.co", 0.9), ("ip", "10.0.0.1", 0.6)],
+        8: [],
+    }
+
+
 def test_packing(spark, word_ids):
     rows = entry.op10_packing(spark, SF).collect()
     by, bins = {}, {}
@@ -262,6 +391,37 @@ def test_packing(spark, word_ids):
     assert len(bins) <= 1.01 * sum(r.length for r in rows) / 4096 + 1
 
 
+def test_search_packs_what_order_leaves(word_ids):
+    """The exchanges do the packing: from the order of the input to within 1 % of the least number of bins."""
+    whole = [len(ids) + 1 for ids in word_ids.values()]
+    lengths = [piece for n in whole for piece in [4096] * (n // 4096) + [n % 4096] if 0 < piece < 4096] * 40
+    packing = Packing(lengths, 4096).in_order()
+    begun, squares = len(packing.bins), sum(f * f for f in packing.fill)
+    packing.local_search()
+    assert len(packing.bins) <= 1.01 * packing.least and begun - len(packing.bins) > 0.05 * begun
+    assert sum(f * f for f in packing.fill) > squares
+    assert sorted(i for b in packing.bins for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) == f <= 4096 for b, f in zip(packing.bins, packing.fill, strict=True))
+
+
+def test_search_on_mid_lengths_beats_best_fit():
+    lengths = np.random.default_rng(0).integers(1000, 1901, 600).tolist()
+    rooms = []
+    for size in sorted(lengths, reverse=True):
+        fitting = [i for i, room in enumerate(rooms) if room >= size]
+        if fitting:
+            rooms[min(fitting, key=rooms.__getitem__)] -= size
+        else:
+            rooms.append(4096 - size)
+    assert len(Packing(lengths, 4096).in_order().local_search().bins) < len(rooms)
+
+
+@pytest.mark.parametrize("sizes", [[], [1], [4096], [5] * 900, [4095, 4095, 1, 1], [2049, 2049, 2047, 2047]])
+def test_search_on_few_and_equal_sizes(sizes):
+    packing = Packing(sizes, 4096).in_order().local_search()
+    assert len(packing.bins) == packing.least and sorted(i for b in packing.bins for i in b) == [*range(len(sizes))]
+
+
 def test_local_search_empties_bins():
     packing = Packing([6, 5, 5, 4, 4, 3, 3], 10)
     packing.bins, packing.fill = [[0], [1, 3], [2, 4], [5, 6]], [6, 9, 9, 6]
