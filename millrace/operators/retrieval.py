@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import tokens, truncate_preview, word_count, words
 from millrace.operators.chunking import sub_chunks
+from millrace.sources.scratch import written
 
 K1, B = 1.2, 0.75
 
@@ -49,22 +50,11 @@ def dense_topk(
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, table = sent.value
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                found = np.stack(batch.column(1).to_pylist())
-                found /= np.linalg.norm(found, axis=1, keepdims=True)
-                scores = np.round(table @ found.T, 6)
-                own = batch.column(0).to_numpy()
-                take = min(k, len(own))
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :take]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(ids, take)),
-                        pa.array(own[order].ravel()),
-                        pa.array(np.take_along_axis(scores, order, 1).ravel()),
-                    ],
-                    ["query", "id", "score"],
-                )
+                if batch.num_rows:
+                    own = batch.column(0).to_numpy()
+                    best, at = _nearest(table, batch.column(1), own, k)
+                    columns = [np.repeat(ids, best.shape[1]), own[at].ravel(), best.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "id", "score"])
 
         parts.append(scanned.mapInArrow(search, schema))
     if not parts:
@@ -76,21 +66,51 @@ def dense_topk(
     return best.select(F.col("query").alias(query_id), F.col("id").alias(vec_id), "rank", "score")
 
 
-def bm25_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
-    """Postings ``(term, chunk_id, weight)``: term weight times inverse document frequency.
+def _nearest(table: np.ndarray, vectors: pa.Array, ids: np.ndarray, k: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and row numbers of the ``k`` best of a batch's vectors for each query, ties to the smaller id.
 
-    Two pre-aggregated groupings, one by (term, chunk) and one by term; frequencies join by term, the number and mean
-    length of chunks as one broadcast row.
+    The batch is taken in slices of ``rows``, so a product is no larger than the block of queries by that. Scores in
+    millionths and the place of an id in the batch make one whole number, whose ``k`` smallest are kept.
+    """
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    kept = np.zeros((len(table), 0), np.int64)
+    for low in range(0, len(ids), rows):
+        part = np.stack(vectors.slice(low, rows).to_pylist())
+        part /= np.linalg.norm(part, axis=1, keepdims=True)
+        worse = 1_000_000 - np.rint(table @ part.T * 1e6).astype(np.int64)
+        kept = np.concatenate([kept, worse * len(ids) + place[low : low + rows]], axis=1)
+        if kept.shape[1] > k:
+            kept = np.partition(kept, k - 1, axis=1)[:, :k]
+    kept.sort(axis=1)
+    at = np.argsort(place)[kept % len(ids)]
+    return (1_000_000 - kept // len(ids)) / 1e6, at
+
+
+def bm25_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "chunk_text", terms: DataFrame | None = None) -> DataFrame:
+    """Postings ``(term, chunk_id, weight)``: term weight times inverse document frequency, of all or the given terms.
+
+    Texts are cut into terms once, in a written table, from which the number and mean length of chunks (one row, broadcast)
+    come as well. ``terms(term)`` keeps other terms out of the groupings by (term, chunk) and by term. The postings are a
+    written table, so a join on a frequent term has plain exchanges, which adaptive execution splits.
     """
     rows = chunks.select(chunk_id, tokens(F.col(text)).alias("_t"))
-    terms = rows.select(chunk_id, F.size("_t").alias("len"), F.explode("_t").alias("term"))
-    tf = terms.groupBy("term", chunk_id).agg(F.count("*").alias("f"), F.first("len").alias("len"))
+    rows = written(rows.withColumn("len", F.size("_t")), "terms")
+    found = rows.select(chunk_id, "len", F.explode("_t").alias("term"))
+    if terms is not None:
+        found = found.join(terms.select("term").distinct(), "term", "left_semi")
+    tf = found.groupBy("term", chunk_id).agg(F.count("*").alias("f"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = rows.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("mean"))
+    corpus = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     joined = tf.join(df, "term").join(F.broadcast(corpus), F.lit(True))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return joined.select("term", chunk_id, (idf * weight).alias("weight"))
+    return written(joined.select("term", chunk_id, (idf * weight).alias("weight")), "postings")
+
+
+def question_terms(questions: DataFrame) -> DataFrame:
+    """``(query_id, term)``: the distinct terms of each question."""
+    return questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
 
 
 def bm25_topk(questions: DataFrame, postings: DataFrame, k: int, chunk_id: str = "chunk_id") -> DataFrame:
@@ -98,8 +118,7 @@ def bm25_topk(questions: DataFrame, postings: DataFrame, k: int, chunk_id: str =
 
     An equi-join on the term; scores are rounded to 6 decimals, ties go to the smaller id.
     """
-    asked = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    scored = asked.join(postings, "term").groupBy("query_id", chunk_id).agg(F.round(F.sum("weight"), 6).alias("score"))
+    scored = question_terms(questions).join(postings, "term").groupBy("query_id", chunk_id).agg(F.round(F.sum("weight"), 6).alias("score"))
     return top_k(scored, "query_id", [F.desc("score"), F.asc(chunk_id)], k).select("query_id", chunk_id, "rank", "score")
 
 
@@ -222,11 +241,16 @@ def expand_query(messages: DataFrame, queries: DataFrame, recent: int = 3, terms
     return rows.select("conv_id", query.alias("expanded"))
 
 
-def retrieval_debug(questions: DataFrame, scored: DataFrame, threshold: float, kept: int = 10) -> DataFrame:
-    """Counts per question: sub-chunks, passed, rejected, final, and words sent."""
+def retrieval_debug(
+    questions: DataFrame, scored: DataFrame, threshold: float, kept: int = 10, shown: int = 5, name: str | None = None
+) -> DataFrame:
+    """Per question the counts of sub-chunks, passed, rejected and final ones, and the words sent.
+
+    With a column ``name`` also, as texts, the names of the final sub-chunks in order and of the first ``shown`` rejected.
+    """
     passed = F.col("ce_score") >= threshold
-    order = Window.partitionBy("query_id").orderBy(F.desc("ce_score"), F.asc("parent_rank"), F.asc("sub_order"))
-    rows = scored.withColumn("_place", F.row_number().over(order)).withColumn("_words", word_count(F.col("sub_text")))
+    place = Window.partitionBy("query_id").orderBy(F.desc("ce_score"), F.asc("parent_rank"), F.asc("sub_order"))
+    rows = scored.withColumn("_place", F.row_number().over(place)).withColumn("_words", word_count(F.col("sub_text")))
     final = passed & (F.col("_place") <= kept)
     found = rows.groupBy("query_id").agg(
         F.count("*").alias("total_sub_chunks"),
@@ -235,9 +259,16 @@ def retrieval_debug(questions: DataFrame, scored: DataFrame, threshold: float, k
         F.count_if(final).alias("final_sent"),
         F.coalesce(F.sum(F.when(final, F.col("_words"))), F.lit(0)).alias("words_sent"),
     )
-    out = questions.select("query_id").join(found, "query_id", "left")
     names = [c for c in found.columns if c != "query_id"]
-    return out.select("query_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
+    out = questions.select("query_id").join(found, "query_id", "left")
+    out = out.select("query_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
+    if name is None:
+        return out
+    finals = ordered_text(rows.where(final), "query_id", "_place", F.col(name), ",", kept, "finals")
+    rejected = top_k(rows.where(~passed), "query_id", [F.asc("_place")], shown, "_nth")
+    rejected = ordered_text(rejected, "query_id", "_nth", F.col(name), ",", shown, "first_rejected")
+    out = out.join(finals, "query_id", "left").join(rejected, "query_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("finals", "first_rejected")})
 
 
 def ordered_text(rows: DataFrame, key: str, order: str, line: Column, joiner: str, most: int, name: str) -> DataFrame:
@@ -249,7 +280,7 @@ def ordered_text(rows: DataFrame, key: str, order: str, line: Column, joiner: st
 
 
 def format_vector_context(ranked: DataFrame, most: int = 10) -> DataFrame:
-    """The numbered sources of each question, as one text."""
+    """The numbered sources of each question, as one text (fixed values: its words and marks)."""
     percent = F.format_string("%.2f%%", F.col("similarity") * 100)
     line = F.concat(
         F.lit("**Kaynak "), F.col("rank").cast("string"), F.lit("** ("), "source", F.lit(", Benzerlik: "), percent, F.lit("):\n"), "text", F.lit("\n")
@@ -260,6 +291,7 @@ def format_vector_context(ranked: DataFrame, most: int = 10) -> DataFrame:
 def build_messages(questions: DataFrame, vector_context: DataFrame, graph_context: DataFrame, template: str) -> DataFrame:
     """``(query_id, system, user)``: the template with its two places filled in; questions without sources get a note."""
     rows = questions.join(vector_context, "query_id", "left").join(graph_context, "query_id", "left")
+    # The notes that stand for missing sources and facts.
     vector = F.coalesce("vector_context", F.lit("İlgili belge parçası bulunamadı."))
     graph = F.coalesce("graph_context", F.lit("İlişkili bilgi bulunamadı."))
     system = F.replace(F.replace(F.lit(template), F.lit("{sources}"), vector), F.lit("{facts}"), graph)

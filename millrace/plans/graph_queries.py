@@ -207,16 +207,23 @@ def e11(spark, d):
 
 
 QUESTIONS_SQL = "asked AS (SELECT c_custkey AS query_id, concat('what of ', c_name, ' and ', n_name, ' ?') AS question, c_name, n_name FROM customer JOIN nation ON n_nationkey = c_custkey % 25 WHERE c_custkey % 50 = 0)"
-FACTS_SQL = f"""
-    {GRAPH_SQL}, {QUESTIONS_SQL}, ent AS (SELECT query_id, 0 AS i, c_name AS seed FROM asked UNION ALL SELECT query_id, 1, n_name FROM asked WHERE NOT contains(n_name, ' ')
-        UNION ALL SELECT query_id, 1, unnest(string_split(n_name, ' ')) FROM asked WHERE contains(n_name, ' ')),
+# Facts of the entities in ``ent(query_id, i, seed)``: neighbours up to two edges away, and paths between entities.
+TRIPLETS_SQL = """
     one AS (SELECT DISTINCT ent.seed, b AS entity, rel AS relation, e FROM ent JOIN ways ON a = ent.seed),
     rel AS (SELECT seed, entity, relation FROM one UNION SELECT seed, w.b, relation FROM one JOIN ways w ON w.a = one.entity AND w.e <> one.e),
     related AS (SELECT * FROM rel QUALIFY row_number() OVER (PARTITION BY seed ORDER BY entity, relation) <= 10),
-    t AS (SELECT query_id, 1 AS kind, i, entity AS o, 'triplet' AS type, [seed, entity] AS nodes, [relation] AS rels FROM ent JOIN related USING (seed)),
+    triplets AS (SELECT query_id, 1 AS kind, i, entity AS o, 'triplet' AS type, [seed, entity] AS nodes, [relation] AS rels FROM ent JOIN related USING (seed))
+"""
+ENTITY_FACTS_SQL = f"""
+    {TRIPLETS_SQL}, facts AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY kind, i, o, rels) AS place, type, nodes, rels FROM triplets QUALIFY place <= 5)
+"""
+FACTS_SQL = f"""
+    {GRAPH_SQL}, {QUESTIONS_SQL}, ent AS (SELECT query_id, 0 AS i, c_name AS seed FROM asked UNION ALL SELECT query_id, 1, n_name FROM asked WHERE NOT contains(n_name, ' ')
+        UNION ALL SELECT query_id, 1, unnest(string_split(n_name, ' ')) FROM asked WHERE contains(n_name, ' ')),
+    {TRIPLETS_SQL},
     pairs AS (SELECT DISTINCT x.seed AS src, y.seed AS dst FROM ent x JOIN ent y ON x.query_id = y.query_id AND x.seed <> y.seed), {_PATHS_SQL},
     p AS (SELECT x.query_id, 0 AS kind, x.i, lpad(y.i::VARCHAR, 6, '0') AS o, 'path' AS type, nodes, rels FROM ent x JOIN ent y ON x.query_id = y.query_id AND x.seed <> y.seed JOIN paths ON src = x.seed AND dst = y.seed),
-    facts AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY kind, i, o, rels) AS place, type, nodes, rels FROM (SELECT * FROM p UNION ALL SELECT * FROM t) QUALIFY place <= 5)
+    facts AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY kind, i, o, rels) AS place, type, nodes, rels FROM (SELECT * FROM p UNION ALL SELECT * FROM triplets) QUALIFY place <= 5)
 """
 
 

@@ -24,7 +24,7 @@ QUESTIONS_SQL = f"""
         FROM documents WHERE doc_id % 50 = 0)
 """
 CHUNKS_SQL = f"""
-    c0 AS ({sql_windows('documents')}), chunks AS (SELECT doc_id * 1000 + chunk_order AS chunk_id, * FROM c0)
+    c0 AS ({sql_windows('documents')}), chunks AS (SELECT struct_pack(d := doc_id, o := chunk_order) AS chunk_id, * FROM c0)
 """
 BM25_SQL = f"""
     t AS (SELECT chunk_id, {SQL_TOKENS.format('chunk_text')} AS ts FROM chunks),
@@ -44,25 +44,15 @@ DENSE_SQL = """
 # Dense ranks stand for documents with the vector's id, lexical ranks for the document of the best chunk.
 FUSED_SQL = f"""
     {QUESTIONS_SQL}, {CHUNKS_SQL}, {BM25_SQL}, {DENSE_SQL},
-    lexical AS (SELECT query_id, chunk_id // 1000 AS doc_id, min(rank) AS r FROM bm25 GROUP BY 1, 2),
+    lexical AS (SELECT query_id, chunk_id.d AS doc_id, min(rank) AS r, arg_min(chunk_id.o, rank) AS o FROM bm25 GROUP BY 1, 2),
     lists AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM lexical
         UNION ALL SELECT query_id, vec_id, rank FROM dense),
     fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM lists GROUP BY 1, 2),
     fused AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, score FROM fu QUALIFY rank <= 10)
 """
+# The chunk that the question's words found; a document that only its vector found gives chunk 0.
 HYDRATED_SQL = f"""
-    {FUSED_SQL}, hydrated AS (SELECT f.query_id, f.rank, f.score AS similarity, c.chunk_id, c.chunk_text, d.source, f.doc_id
-        FROM fused f JOIN chunks c ON c.chunk_id = f.doc_id * 1000 JOIN documents d ON d.doc_id = f.doc_id)
-"""
-# The chunk that the question's words found, whose id has two parts; a document that only its vector found gives chunk 0.
-FOUND_SQL = f"""
-    {QUESTIONS_SQL}, c0 AS ({sql_windows('documents')}), chunks AS (SELECT struct_pack(d := doc_id, o := chunk_order) AS chunk_id, * FROM c0),
-    {BM25_SQL}, {DENSE_SQL},
-    lexical AS (SELECT query_id, chunk_id.d AS doc_id, min(rank) AS r, arg_min(chunk_id.o, rank) AS o FROM bm25 GROUP BY 1, 2),
-    lists AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM lexical
-        UNION ALL SELECT query_id, vec_id, rank FROM dense),
-    fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM lists GROUP BY 1, 2),
-    fused AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, score FROM fu QUALIFY rank <= 10),
+    {FUSED_SQL},
     hydrated AS (SELECT f.query_id, f.rank, f.score AS similarity, c.chunk_id, c.chunk_order, c.chunk_text, d.source, f.doc_id, l.o IS NOT NULL AS by_words
         FROM fused f LEFT JOIN lexical l ON l.query_id = f.query_id AND l.doc_id = f.doc_id
         JOIN chunks c ON c.doc_id = f.doc_id AND c.chunk_order = coalesce(l.o, 0) JOIN documents d ON d.doc_id = f.doc_id)
@@ -76,7 +66,6 @@ RANKED_SQL = f"""
     {SCORED_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC, parent_rank, sub_order) AS rank
         FROM scored WHERE ce_score >= 0.25 QUALIFY rank <= 10)
 """
-FOUND_RANKED_SQL = RANKED_SQL.replace(HYDRATED_SQL, FOUND_SQL)
 CONFIDENCE_SQL = f"""
     {RANKED_SQL}, confidence AS (SELECT q.query_id, max(ce_score) AS max_ce, round(avg(ce_score), 6) AS mean_ce, count(ce_score) AS passed_chunks
         FROM questions q LEFT JOIN ranked r ON r.query_id = q.query_id GROUP BY 1),
@@ -91,8 +80,9 @@ def questions(spark, d):
 
 
 def chunks(spark, d):
+    """All chunks, whose id is the document's and the chunk's number."""
     rows = window_chunks(table(spark, d, "documents"))
-    return rows.select((F.col("doc_id") * 1000 + F.col("chunk_order")).alias("chunk_id"), *rows.columns)
+    return rows.select(F.struct("doc_id", "chunk_order").alias("chunk_id"), *rows.columns)
 
 
 def dense(spark, d):
@@ -100,47 +90,48 @@ def dense(spark, d):
     return R.dense_topk(vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors, 20)
 
 
-def bm25(spark, d):
-    return R.bm25_topk(questions(spark, d), R.bm25_index(chunks(spark, d)), 20)
+def bm25(spark, d, rows=None):
+    asked = questions(spark, d)
+    index = R.bm25_index(chunks(spark, d) if rows is None else rows, terms=R.question_terms(asked).select("term"))
+    return R.bm25_topk(asked, index, 20)
 
 
-def fused(spark, d):
-    lexical = bm25(spark, d).groupBy("query_id", F.expr("chunk_id div 1000").alias("doc_id")).agg(F.min("rank").alias("r"))
-    lexical = R.top_k(lexical, "query_id", [F.asc("r")], 20)
-    return R.rrf_fuse([lexical, dense(spark, d).withColumnRenamed("vec_id", "doc_id")], 10, item="doc_id")
+def found_chunks(hits):
+    """The best chunk ``o`` of each document that words found, and its rank ``r``; a written table."""
+    rows = hits.select("query_id", "chunk_id.*", "rank").groupBy("query_id", "doc_id")
+    return written(rows.agg(F.min("rank").alias("r"), F.min_by("chunk_order", "rank").alias("o")), "lexical")
+
 
+def fused(spark, d, best=None):
+    best = found_chunks(bm25(spark, d)) if best is None else best
+    lexical = R.top_k(best, "query_id", [F.asc("r")], 20)
+    return R.rrf_fuse([lexical, dense(spark, d).withColumnRenamed("vec_id", "doc_id")], 10, item="doc_id")
 
-def hydrated(spark, d):
-    hits = fused(spark, d).select("query_id", "rank", F.col("score").alias("similarity"), (F.col("doc_id") * 1000).alias("chunk_id"))
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return R.hydrate(hits, chunks(spark, d).select("chunk_id", "doc_id", "chunk_text"), docs)
 
+def hydrated(spark, d, hits=None, rows=None):
+    """Hits with the best chunk of each document that BM25 found; ``by_words`` is false where chunk 0 stands in.
 
-def hydrated_found(spark, d):
-    """Hits with the best chunk of each document that BM25 found; ``by_words`` is false where chunk 0 stands in."""
-    rows = window_chunks(table(spark, d, "documents"))
-    rows = rows.select(F.struct("doc_id", "chunk_order").alias("chunk_id"), "doc_id", "chunk_order", "chunk_text")
-    found = R.bm25_topk(questions(spark, d), R.bm25_index(rows), 20).select("query_id", "chunk_id.*", "rank")
-    best = found.groupBy("query_id", "doc_id").agg(F.min("rank").alias("r"), F.min_by("chunk_order", "rank").alias("o"))
-    best = written(best, "lexical")  # read twice below
-    lexical = R.top_k(best, "query_id", [F.asc("r")], 20)
-    hits = R.rrf_fuse([lexical, dense(spark, d).withColumnRenamed("vec_id", "doc_id")], 10, item="doc_id")
-    hits = hits.join(best.select("query_id", "doc_id", "o"), ["query_id", "doc_id"], "left").select(
+    The chunk table is written once and read by the index and by the join with the hits.
+    """
+    rows = written(chunks(spark, d), "chunks") if rows is None else rows
+    best = found_chunks(bm25(spark, d, rows) if hits is None else hits)
+    found = fused(spark, d, best).join(best.select("query_id", "doc_id", "o"), ["query_id", "doc_id"], "left").select(
         "query_id",
         "rank",
         F.col("score").alias("similarity"),
-        F.struct("doc_id", F.coalesce("o", F.lit(0)).cast(rows.schema["chunk_order"].dataType).alias("chunk_order")).alias("chunk_id"),
+        F.struct("doc_id", F.coalesce("o", F.lit(0)).cast("long").alias("chunk_order")).alias("chunk_id"),
         F.col("o").isNotNull().alias("by_words"),
     )
-    return R.hydrate(hits, rows, table(spark, d, "documents").select("doc_id", "source"))
+    documents = table(spark, d, "documents").select("doc_id", "source")
+    return R.hydrate(found, rows.select("chunk_id", "doc_id", "chunk_order", "chunk_text"), documents)
 
 
 def scored(spark, d):
     return R.score_sub_chunks(hydrated(spark, d), questions(spark, d))
 
 
-def ranked(spark, d):
-    return R.rerank_sub_chunks(hydrated(spark, d), questions(spark, d), threshold=0.25)
+def ranked(spark, d, hits=None, rows=None):
+    return R.rerank_sub_chunks(hydrated(spark, d, hits, rows), questions(spark, d), threshold=0.25)
 
 
 def gate(spark, d):
@@ -152,9 +143,9 @@ def d1(spark, d):
     return dense(spark, d)
 
 
-@query("d2_bm25_topk", f"WITH {QUESTIONS_SQL}, {CHUNKS_SQL}, {BM25_SQL} SELECT query_id, chunk_id, rank, score FROM bm25")
+@query("d2_bm25_topk", f"WITH {QUESTIONS_SQL}, {CHUNKS_SQL}, {BM25_SQL} SELECT query_id, chunk_id.d AS doc_id, chunk_id.o AS chunk_order, rank, score FROM bm25")
 def d2(spark, d):
-    return bm25(spark, d)
+    return bm25(spark, d).select("query_id", "chunk_id.*", "rank", "score")
 
 
 @query("d3_rrf_fuse", f"WITH {FUSED_SQL} SELECT query_id, doc_id, rank, score FROM fused")
@@ -167,14 +158,14 @@ def d4(spark, d):
     return R.search_with_scores(fused(spark, d).withColumnRenamed("doc_id", "chunk_id"))
 
 
-@query("d5_hydrate", f"WITH {HYDRATED_SQL} SELECT query_id, rank, similarity, chunk_id, doc_id, chunk_text, source FROM hydrated")
+@query("d5_hydrate", f"WITH {HYDRATED_SQL} SELECT query_id, rank, similarity, doc_id, chunk_order, chunk_text, source FROM hydrated")
 def d5(spark, d):
-    return hydrated(spark, d).select("query_id", "rank", "similarity", "chunk_id", "doc_id", "chunk_text", "source")
+    return hydrated(spark, d).select("query_id", "rank", "similarity", "doc_id", "chunk_order", "chunk_text", "source")
 
 
-@query("d5_hydrate_found", f"WITH {FOUND_SQL} SELECT query_id, rank, similarity, doc_id, chunk_order, by_words, chunk_text, source FROM hydrated")
+@query("d5_hydrate_found", f"WITH {HYDRATED_SQL} SELECT query_id, rank, similarity, doc_id, chunk_order, by_words, chunk_text, source FROM hydrated")
 def d5_found(spark, d):
-    return hydrated_found(spark, d).select("query_id", "rank", "similarity", "doc_id", "chunk_order", "by_words", "chunk_text", "source")
+    return hydrated(spark, d).select("query_id", "rank", "similarity", "doc_id", "chunk_order", "by_words", "chunk_text", "source")
 
 
 @query(
@@ -206,12 +197,12 @@ def d7(spark, d):
     "d8_context_window",
     f"""
     WITH {CHUNKS_SQL} SELECT h.doc_id, h.chunk_order AS hit_order, c.chunk_order, c.word_count FROM chunks h JOIN chunks c
-        ON h.doc_id = c.doc_id AND c.chunk_order BETWEEN h.chunk_order - 1 AND h.chunk_order + 1 WHERE h.chunk_id % 3 = 0
+        ON h.doc_id = c.doc_id AND c.chunk_order BETWEEN h.chunk_order - 1 AND h.chunk_order + 1 WHERE h.doc_id % 50 = 0
     """,
 )
 def d8(spark, d):
-    rows = chunks(spark, d).select("chunk_id", "doc_id", "chunk_order", "word_count")
-    out = R.context_window(rows.where("chunk_id % 3 = 0"), rows)
+    rows = written(chunks(spark, d).select("doc_id", "chunk_order", "word_count"), "chunks")
+    out = R.context_window(rows.where("doc_id % 50 = 0"), rows)
     return out.select("doc_id", "hit_order", "chunk_order", "word_count")
 
 
@@ -231,23 +222,26 @@ def d8_all(spark, d):
     return out.select("doc_id", "hit_order", F.explode("near").alias("c")).select("doc_id", "hit_order", "c.*")
 
 
-@query("d9_rerank_sub_chunks", f"WITH {RANKED_SQL} SELECT query_id, rank, parent_chunk_id, sub_order, sub_text, ce_score FROM ranked")
+@query(
+    "d9_rerank_sub_chunks",
+    f"WITH {RANKED_SQL} SELECT query_id, rank, concat(parent_chunk_id.d, ':', parent_chunk_id.o) AS parent, sub_order, sub_text, similarity, ce_score FROM ranked",
+)
 def d9(spark, d):
-    return ranked(spark, d).select("query_id", "rank", "parent_chunk_id", "sub_order", "sub_text", "ce_score")
+    parent = F.concat_ws(":", "parent_chunk_id.doc_id", "parent_chunk_id.chunk_order")
+    return ranked(spark, d).select("query_id", "rank", parent.alias("parent"), "sub_order", "sub_text", "similarity", "ce_score")
 
 
 @query(
     "d9_rerank_found",
-    f"WITH {FOUND_RANKED_SQL} SELECT query_id, rank, parent_chunk_id.d AS doc_id, parent_chunk_id.o AS chunk_order, sub_order, sub_text, ce_score FROM ranked",
+    f"WITH {RANKED_SQL} SELECT query_id, rank, parent_chunk_id.d AS doc_id, parent_chunk_id.o AS chunk_order, sub_order, sub_text, ce_score FROM ranked",
 )
 def d9_found(spark, d):
-    rows = R.rerank_sub_chunks(hydrated_found(spark, d), questions(spark, d), threshold=0.25)
-    return rows.select("query_id", "rank", "parent_chunk_id.*", "sub_order", "sub_text", "ce_score")
+    return ranked(spark, d).select("query_id", "rank", "parent_chunk_id.*", "sub_order", "sub_text", "ce_score")
 
 
-@query("d10_no_rerank_fallback", f"WITH {HYDRATED_SQL} SELECT query_id, rank, chunk_id, source FROM hydrated WHERE rank <= 5")
+@query("d10_no_rerank_fallback", f"WITH {HYDRATED_SQL} SELECT query_id, rank, doc_id, chunk_order, source FROM hydrated WHERE rank <= 5")
 def d10(spark, d):
-    return R.no_rerank_fallback(hydrated(spark, d), 5).select("query_id", "rank", "chunk_id", "source")
+    return R.no_rerank_fallback(hydrated(spark, d), 5).select("query_id", "rank", "doc_id", "chunk_order", "source")
 
 
 @query("d11_confidence_summary", f"WITH {CONFIDENCE_SQL} SELECT query_id, max_ce, mean_ce, passed_chunks FROM confidence")
@@ -277,24 +271,51 @@ def d13(spark, d):
     return R.expand_query(messages, messages.select("conv_id").distinct().withColumn("query", F.lit("about the ther of it")))
 
 
+# The name of the customer whose number is the question's stands behind the question, so that it names a graph entity.
+NAMED_SQL = """
+    named AS (SELECT query_id, concat_ws(' ', question, c_name) AS question, c_name FROM questions LEFT JOIN customer ON c_custkey = query_id),
+    ent AS (SELECT query_id, 0 AS i, c_name AS seed FROM named WHERE c_name IS NOT NULL)
+"""
+CONTEXT_SQL = f"""
+    {NAMED_SQL}, {GQ.GRAPH_SQL}, {GQ.ENTITY_FACTS_SQL},
+    graph AS (SELECT query_id, string_agg(concat('• ', nodes[1], ' → [', rels[1], '] → ', nodes[2]), chr(10) ORDER BY place) AS graph_context, count(*) AS n_facts FROM facts GROUP BY 1)
+"""
+
+
+def named_questions(spark, d):
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), "c_name")
+    asked = questions(spark, d).join(names, "query_id", "left")
+    return asked.select("query_id", F.concat_ws(" ", "question", "c_name").alias("question"))
+
+
+def facts(spark, d, asked):
+    """Graph facts of the entities that the questions name; a written table."""
+    edges = written(GQ.edges(spark, d), "edges")
+    return written(G.graph_facts(asked, GQ.nodes(spark, d), edges), "facts")
+
+
 @query(
     "d14_hybrid_retrieve",
     f"""
-    WITH {CONFIDENCE_SQL}, l AS (SELECT query_id, string_agg(concat(parent_chunk_id, '.', sub_order), ',' ORDER BY rank) AS sources, count(*) AS total_sources FROM ranked GROUP BY 1)
-    SELECT q.query_id, q.question, coalesce(l.sources, '') AS sources, coalesce(l.total_sources, 0) AS total_sources, g.level
-    FROM questions q JOIN gate g USING (query_id) LEFT JOIN l USING (query_id)
+    WITH {CONFIDENCE_SQL}, {CONTEXT_SQL},
+    l AS (SELECT query_id, string_agg(concat(parent_chunk_id.d, ':', parent_chunk_id.o, '.', sub_order), ',' ORDER BY rank) AS sources, count(*) AS total_sources FROM ranked GROUP BY 1)
+    SELECT q.query_id, q.question, coalesce(l.sources, '') AS sources, coalesce(l.total_sources, 0) AS total_sources, g.level,
+        coalesce(graph_context, '') AS graph_context, coalesce(n_facts, 0) AS n_facts
+    FROM questions q JOIN gate g USING (query_id) LEFT JOIN l USING (query_id) LEFT JOIN graph USING (query_id)
     """,
 )
 def d14(spark, d):
-    label = F.concat_ws(".", F.col("parent_chunk_id").cast("string"), F.col("sub_order").cast("string"))
+    place = F.concat_ws(":", "parent_chunk_id.doc_id", "parent_chunk_id.chunk_order")
     rows = written(ranked(spark, d), "ranked")  # read three times below
-    listed = R.ordered_text(rows, "query_id", "rank", label, ",", 10, "sources")
+    listed = R.ordered_text(rows, "query_id", "rank", F.concat_ws(".", place, "sub_order"), ",", 10, "sources")
     counted = rows.groupBy("query_id").agg(F.count("*").alias("total_sources"))
     level = R.confidence_gate(R.confidence_summary(questions(spark, d), rows), 0.5, 2).select("query_id", "level")
+    known = facts(spark, d, named_questions(spark, d))
+    context = G.format_graph_context(known).join(known.groupBy("query_id").agg(F.count("*").alias("n_facts")), "query_id")
     out = questions(spark, d).join(level, "query_id").join(listed, "query_id", "left").join(counted, "query_id", "left")
-    return out.withColumns(
-        {"sources": F.coalesce("sources", F.lit("")), "total_sources": F.coalesce("total_sources", F.lit(0)).cast("long")}
-    )
+    out = out.join(context, "query_id", "left")
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("sources", "graph_context")}
+    return out.withColumns({**texts, **{c: F.coalesce(c, F.lit(0)).cast("long") for c in ("total_sources", "n_facts")}})
 
 
 @query(
@@ -312,40 +333,52 @@ def d15(spark, d):
 @query(
     "d16_retrieval_debug",
     f"""
-    WITH {SCORED_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC, parent_rank, sub_order) AS place FROM scored)
+    WITH {SCORED_SQL}, p AS (SELECT *, concat(parent_chunk_id.d, ':', parent_chunk_id.o, '.', sub_order, '=', format('{{:.6f}}', ce_score)) AS name,
+        row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC, parent_rank, sub_order) AS place FROM scored),
+    z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS nth FROM p WHERE ce_score < 0.25),
+    hits AS (SELECT query_id, string_agg(concat(doc_id, ':', chunk_order), ',' ORDER BY rank) AS hits FROM hydrated GROUP BY 1)
     SELECT q.query_id, count(p.query_id) AS total_sub_chunks, count(*) FILTER (WHERE ce_score >= 0.25) AS passed_threshold,
         count(*) FILTER (WHERE ce_score < 0.25) AS rejected_by_threshold, count(*) FILTER (WHERE ce_score >= 0.25 AND place <= 10) AS final_sent,
-        coalesce(sum(len({SQL_WORDS.format('sub_text')})) FILTER (WHERE ce_score >= 0.25 AND place <= 10), 0)::BIGINT AS words_sent
-    FROM questions q LEFT JOIN p ON p.query_id = q.query_id GROUP BY 1
+        coalesce(sum(len({SQL_WORDS.format('sub_text')})) FILTER (WHERE ce_score >= 0.25 AND place <= 10), 0)::BIGINT AS words_sent,
+        coalesce(string_agg(name, ',' ORDER BY place) FILTER (WHERE ce_score >= 0.25 AND place <= 10), '') AS finals,
+        coalesce((SELECT string_agg(name, ',' ORDER BY place) FROM z WHERE z.query_id = q.query_id AND nth <= 5), '') AS first_rejected,
+        coalesce(any_value(h.hits), '') AS hits
+    FROM questions q LEFT JOIN p ON p.query_id = q.query_id LEFT JOIN hits h ON h.query_id = q.query_id GROUP BY 1
     """,
 )
 def d16(spark, d):
-    return R.retrieval_debug(questions(spark, d), scored(spark, d), 0.25)
+    asked, found = questions(spark, d), written(hydrated(spark, d), "hydrated")
+    place = F.concat_ws(":", "parent_chunk_id.doc_id", "parent_chunk_id.chunk_order")
+    rows = R.score_sub_chunks(found, asked).withColumn(
+        "name", F.concat(F.concat_ws(".", place, "sub_order"), F.lit("="), F.format_string("%.6f", "ce_score"))
+    )
+    hits = R.ordered_text(found, "query_id", "rank", F.concat_ws(":", "doc_id", "chunk_order"), ",", 10, "hits")
+    out = R.retrieval_debug(asked, rows, 0.25, name="name").join(hits, "query_id", "left")
+    return out.withColumn("hits", F.coalesce("hits", F.lit("")))
 
 
 _TEMPLATE = "Kaynaklar:\n{sources}\nBilgi:\n{facts}"
-_LISTED = "SELECT query_id, rank, ce_score, parent_chunk_id // 1000 AS doc_id, sub_text AS text, similarity FROM ranked"
+_LISTED = "SELECT query_id, rank, ce_score, parent_chunk_id.d AS doc_id, sub_text AS text, similarity FROM ranked"
 
 
 def cited_rows(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 3 == 0, "HTML").alias("document_type"))
-    rows = ranked(spark, d).withColumn("doc_id", F.expr("parent_chunk_id div 1000")).withColumnRenamed("sub_text", "text")
+    rows = ranked(spark, d).withColumn("doc_id", F.col("parent_chunk_id.doc_id")).withColumnRenamed("sub_text", "text")
     return rows.join(docs, "doc_id")
 
 
 @query(
     "d17_build_messages",
     f"""
-    WITH {RANKED_SQL}, l AS ({_LISTED}), x AS (SELECT l.query_id, string_agg(concat('**Kaynak ', rank, '** (', source, ', Benzerlik: ', format('{{:.2f}}%', similarity * 100), '):', chr(10), l.text, chr(10)), chr(10) ORDER BY rank) AS s
+    WITH {RANKED_SQL}, {CONTEXT_SQL}, l AS ({_LISTED}), x AS (SELECT l.query_id, string_agg(concat('**Kaynak ', rank, '** (', source, ', Benzerlik: ', format('{{:.2f}}%', similarity * 100), '):', chr(10), l.text, chr(10)), chr(10) ORDER BY rank) AS s
         FROM l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1)
-    SELECT q.query_id, concat('Kaynaklar:', chr(10), coalesce(s, 'İlgili belge parçası bulunamadı.'), chr(10), 'Bilgi:', chr(10), 'İlişkili bilgi bulunamadı.') AS system, question AS "user"
-    FROM questions q LEFT JOIN x USING (query_id)
+    SELECT q.query_id, concat('Kaynaklar:', chr(10), coalesce(s, 'İlgili belge parçası bulunamadı.'), chr(10), 'Bilgi:', chr(10), coalesce(graph_context, 'İlişkili bilgi bulunamadı.')) AS system, question AS "user"
+    FROM questions q LEFT JOIN x USING (query_id) LEFT JOIN graph USING (query_id)
     """,
 )
 def d17(spark, d):
     context = R.format_vector_context(cited_rows(spark, d))
-    none = context.select("query_id", F.lit(None).cast("string").alias("graph_context")).limit(0)
-    return R.build_messages(questions(spark, d), context, none, _TEMPLATE)
+    return R.build_messages(questions(spark, d), context, G.format_graph_context(facts(spark, d, named_questions(spark, d))), _TEMPLATE)
 
 
 @query(
@@ -375,8 +408,7 @@ def d18(spark, d):
 @query("d19_assemble_response")
 def d19(spark, d):
     asked = questions(spark, d)
-    facts = G.graph_facts(asked, GQ.nodes(spark, d), written(GQ.edges(spark, d), "edges"))
-    return R.assemble_response(asked, R.citations(cited_rows(spark, d)), gate(spark, d), facts)
+    return R.assemble_response(asked, R.citations(cited_rows(spark, d)), gate(spark, d), facts(spark, d, asked))
 
 
 @query(
