@@ -1,10 +1,17 @@
 """Chunking: word windows, sentence groups, and structure-aware chunks of numbered regulations."""
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice, pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from millrace.functions.arrays import sums_before
 from millrace.functions.text import clean_amendments, clean_text, clean_title, is_repealed, strip, word_count, words
+from millrace.sources.scratch import written
 
 # Heading, chapter, paragraph and annex patterns of numbered regulations.
 HEADING = r"(?m)(?d)^\s*([0-9]+\.[0-9]+(?:\.[0-9]+)?(?:\.[A-ZÇĞİÖŞÜ])?(?:-[0-9]+)?)\s*[-–]?\s*(.+?)$"
@@ -152,13 +159,8 @@ def split_sections(docs: DataFrame, cleaned: bool = True) -> DataFrame:
     rows = docs.select("doc_id", pieces.alias("p"), heads.alias("h")).where(F.size("h") > 0)
     first = F.length(F.element_at("p", 1))
     zipped = F.arrays_zip(F.col("h").alias("head"), F.slice("p", 2, F.size("h")).alias("body"))
-    start = F.struct(first.alias("pos"), F.from_json(F.lit("[]"), "array<int>").alias("out"))
-
-    def add(state: Column, x: Column) -> Column:
-        after = state["pos"] + F.length(x["head"]) + F.length(x["body"])
-        return F.struct(after.alias("pos"), F.array_append(state["out"], state["pos"]).alias("out"))
-
-    starts = F.aggregate(zipped, start, add, lambda s: s["out"])
+    sizes = F.transform(zipped, lambda x: F.length(x["head"]) + F.length(x["body"]))
+    starts = F.transform(sums_before(sizes), lambda n: first + n)
     rows = rows.select("doc_id", F.posexplode(F.arrays_zip(zipped.alias("z"), starts.alias("start"))).alias("index", "x"))
     head, body = F.col("x.z.head"), F.col("x.z.body")
     number = F.regexp_extract(head, HEADING, 1)
@@ -180,16 +182,12 @@ def chapters(docs: DataFrame) -> DataFrame:
     """``(doc_id, pos, chapter)`` of every chapter heading."""
     pieces, heads = F.split("text", CHAPTER, -1), F.regexp_extract_all("text", F.lit(CHAPTER), F.lit(0))
     rows = docs.select("doc_id", pieces.alias("p"), heads.alias("h")).where(F.size("h") > 0)
-    numbered = F.transform(
-        F.col("h"),
-        lambda h, i: F.struct(
-            F.aggregate(F.slice(F.col("p"), 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)).alias("before"),
-            F.aggregate(F.slice(F.col("h"), 1, i), F.lit(0), lambda a, x: a + F.length(x)).alias("heads"),
-            h.alias("h"),
-        ),
+    steps = F.zip_with(F.slice("p", 1, F.size("h")), "h", lambda p, h: F.length(p) + F.length(h))
+    marks = F.transform(
+        sums_before(steps), lambda n, i: F.struct((n + F.length(F.get("p", i))).alias("pos"), F.get("h", i).alias("chapter"))
     )
-    rows = rows.select("doc_id", F.explode(numbered).alias("x"))
-    return rows.select("doc_id", (F.col("x.before") + F.col("x.heads")).cast("long").alias("pos"), F.col("x.h").alias("chapter"))
+    rows = rows.select("doc_id", F.explode(marks).alias("x"))
+    return rows.select("doc_id", F.col("x.pos").cast("long").alias("pos"), "x.chapter")
 
 
 def chapter_as_of(sections: DataFrame, found: DataFrame) -> DataFrame:
@@ -208,56 +206,53 @@ MERGED = (
 )
 
 
-def merge_sections(rows: list[dict], most: int, threshold: int) -> list[dict]:
-    """The ordered fold over one document's sections: drop header-only and repealed ones, join small neighbours.
+def merge_sections(rows: Iterable[dict], most: int, threshold: int) -> Iterator[dict]:
+    """Sections in order, one document after another, with small neighbours joined and empty headers and repealed ones gone.
 
-    A group takes the number, title, level and start of its first member and joins the contents by a blank line.
+    A section joins the open group if the group has under ``threshold`` words, or if the section has and both fit into
+    ``most``; a dropped section closes the group. A group takes the number, title, level and start of its first member
+    and joins the contents by a blank line.
     """
 
-    def dropped(i: int) -> bool:
-        nxt = rows[i + 1]["section_number"] if i + 1 < len(rows) else ""
-        number = rows[i]["section_number"]
-        header = rows[i]["word_count"] < threshold and nxt.startswith((number + ".", number + "-"))
-        return header or rows[i]["repealed"]
-
-    out, i = [], 0
-    while i < len(rows):
-        if dropped(i):
-            i += 1
-            continue
-        group, total, j = [rows[i]], rows[i]["word_count"], i + 1
-        while j < len(rows):
-            if dropped(j):
-                j += 1
-                break
-            size = rows[j]["word_count"]
-            fits, small = total + size <= most, total < threshold or size < threshold
-            if not (small and fits or total < threshold and not fits):
-                break
-            group.append(rows[j])
-            total += size
-            j += 1
-        merged = {k: v for k, v in group[0].items() if k != "repealed"}
-        merged["is_merged"] = len(group) > 1
-        merged["merged_sections"] = [g["section_number"] for g in group] if len(group) > 1 else []
+    def closed(group: list[dict]) -> dict:
+        out = {k: v for k, v in group[0].items() if k != "repealed"} | {"is_merged": len(group) > 1, "merged_sections": []}
         if len(group) > 1:
-            merged["content"] = "\n\n".join(g["content"] for g in group)
-            merged["word_count"] = len(merged["content"].split())
-        out.append(merged)
-        i = j
-    return out
+            text = "\n\n".join(g["content"] for g in group)
+            out |= {"merged_sections": [g["section_number"] for g in group], "content": text, "word_count": len(text.split())}
+        return out
+
+    group, total = [], 0
+    for row, following in pairwise(chain(rows, [None])):
+        document, number, size = row.get("doc_id"), row["section_number"], row["word_count"]
+        beneath = following is not None and following.get("doc_id") == document
+        beneath = beneath and following["section_number"].startswith((f"{number}.", f"{number}-"))
+        dropped = row["repealed"] or (beneath and size < threshold)
+        joins = total < threshold or (size < threshold and total + size <= most)
+        if group and (dropped or document != group[0].get("doc_id") or not joins):
+            yield closed(group)
+            group, total = [], 0
+        if not dropped:
+            group.append(row)
+            total += size
+    if group:
+        yield closed(group)
 
 
 def merge_small_sections(sections: DataFrame, most: int = 350, threshold: int = 75) -> DataFrame:
-    """Merge the sections of each document; one document's sections are one group, documents run in parallel."""
+    """:func:`merge_sections` over every document.
+
+    Documents are dealt to partitions and stream through in order, so a task holds a batch and a group.
+    """
+    rows = sections.withColumn("repealed", is_repealed(F.col("content"))).repartition("doc_id")
     names = [c.split()[0] for c in MERGED.split(", ")]
-    rows = sections.withColumn("repealed", is_repealed(F.col("content")))
+    schema = to_arrow_schema(StructType.fromDDL(MERGED))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("index").to_dict("records")
-        return pd.DataFrame(merge_sections(ordered, most, threshold), columns=names)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = merge_sections((row for batch in batches for row in batch.to_pylist()), most, threshold)
+        while part := list(islice(merged, 1000)):
+            yield pa.RecordBatch.from_pylist(part, schema)
 
-    return rows.groupBy("doc_id").applyInPandas(fold, MERGED)
+    return rows.select(*names[:8], "repealed").sortWithinPartitions("doc_id", "index").mapInArrow(merge, MERGED)
 
 
 def short_title(title: Column, most: int = 60) -> Column:
@@ -390,7 +385,7 @@ def structure_chunk_documents(
 
     ``legacy_merged_chapter`` looks a merged section's chapter up at position 0 instead of at its own start.
     """
-    sections = split_sections(docs)
+    sections = written(split_sections(docs), "sections")  # read for titles, units and the fallback
     titles = sections.select("doc_id", "section_number", "section_title")
     if merge_small:
         units = merge_small_sections(sections, most, threshold)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 
+from millrace.functions.text import words
 from millrace.operators import chunking as C
 from millrace.plans.ingest_queries import SQL_HTML, sql_windows
 from millrace.plans.registry import query, table
@@ -134,30 +135,54 @@ def c7(spark, d):
     return rows.select("doc_id", "index", "is_parent", ((F.col("word_count") < 75) & F.col("is_parent")).alias("header_only"))
 
 
-@query(
-    "c8_chapter_as_of",
-    rf"""
-    WITH {SECTIONS_SQL}, c AS (
+CHAPTERED_SQL = rf"""
+    {SECTIONS_SQL}, c AS (
         SELECT doc_id, unnest(regexp_extract_all(text, '(BİRİNCİ|İKİNCİ) BÖLÜM', 0)) AS chapter, unnest(regexp_split_to_array(text, '(BİRİNCİ|İKİNCİ) BÖLÜM')[:-2]) AS before,
             generate_subscripts(regexp_extract_all(text, '(BİRİNCİ|İKİNCİ) BÖLÜM', 0), 1) AS i FROM n),
     q AS (SELECT doc_id, chapter, sum(length(before)) OVER w + coalesce(sum(length(chapter)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-          FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i))
-    SELECT s.doc_id, s.index, q.chapter FROM sections s ASOF LEFT JOIN q ON s.doc_id = q.doc_id AND s.char_start >= q.pos
-    """,
-)
+          FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    chaptered AS (SELECT s.*, q.chapter FROM sections s ASOF LEFT JOIN q ON s.doc_id = q.doc_id AND s.char_start >= q.pos)
+"""
+
+
+@query("c8_chapter_as_of", f"WITH {CHAPTERED_SQL} SELECT doc_id, index, chapter FROM chaptered")
 def c8(spark, d):
     return C.chapter_as_of(sections(spark, d), C.chapters(numbered_documents(spark, d))).select("doc_id", "index", "chapter")
 
 
+# Every second section is cut to its first few words, with a repeal note behind them.
 @query(
     "c9_is_repealed",
-    f"WITH {SECTIONS_SQL} SELECT doc_id, index, word_count < 5 AS repealed FROM sections",
+    f"WITH {SECTIONS_SQL} SELECT doc_id, index, CASE WHEN index % 2 = 0 THEN least(index % 9, word_count) ELSE word_count END < 5 AS repealed FROM sections",
 )
 def c9(spark, d):
-    return sections(spark, d).select("doc_id", "index", C.is_repealed(F.col("content")).alias("repealed"))
+    few = F.array_join(F.slice(words(F.col("content")), F.lit(1), (F.col("index") % 9).cast("int")), " ")
+    noted = F.concat(few, F.lit(" (Mülga:RG-1/1/2020-31000) (12)"))
+    text = F.when(F.col("index") % 2 == 0, noted).otherwise(F.col("content"))
+    return sections(spark, d).select("doc_id", "index", C.is_repealed(text).alias("repealed"))
+
+
+# The fold over a document's sections, one place in all documents at a time: a section is in the group that ``start`` opened.
+MERGED_SQL = rf"""
+    cleaned AS (SELECT * REPLACE (len({SQL_WORDS.format('content')})::BIGINT AS word_count) FROM (SELECT * REPLACE (
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\((?:Değişik|Değişik ibare|Ek|Ek ibare|Mülga|Mülga ibare)[^)]+\)\s*(?:\([0-9]+\))?', '', 'g'),
+            '(^|[^\n])\([0-9]{{2,3}}\)', '\1', 'g'), '  +', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content) FROM sections)),
+    w AS (SELECT *, len({SQL_WORDS.format(r"regexp_replace(content, '\((?:Mülga)[^)]+\)\s*(?:\([0-9]+\))?', '', 'g')")}) < 5 OR (word_count < 75 AND coalesce(
+        starts_with(nxt, concat(section_number, '.')) OR starts_with(nxt, concat(section_number, '-')), false)) AS dropped
+        FROM (SELECT *, lead(section_number) OVER (PARTITION BY doc_id ORDER BY index) AS nxt FROM cleaned)),
+    fold(doc_id, i, start, total) AS (
+        SELECT doc_id, index, CASE WHEN NOT dropped THEN index END, word_count FROM w WHERE index = 0
+        UNION ALL SELECT w.doc_id, w.index, CASE WHEN dropped THEN NULL WHEN start IS NOT NULL AND (total < 75 OR (word_count < 75 AND total + word_count <= 350)) THEN start ELSE w.index END,
+            CASE WHEN start IS NOT NULL AND NOT dropped AND (total < 75 OR (word_count < 75 AND total + word_count <= 350)) THEN total + word_count ELSE word_count END
+        FROM fold JOIN w ON w.doc_id = fold.doc_id AND w.index = i + 1),
+    m AS (SELECT f.doc_id, f.start AS index, string_agg(content, concat(chr(10), chr(10)) ORDER BY i) AS content, count(*) > 1 AS is_merged, list(section_number ORDER BY i) AS numbers
+        FROM fold f JOIN w ON w.doc_id = f.doc_id AND w.index = i WHERE start IS NOT NULL GROUP BY 1, 2),
+    merged AS (SELECT m.doc_id, m.index, w.section_number, w.section_title, m.content, len({SQL_WORDS.format('m.content')})::BIGINT AS word_count, w.level, w.char_start, m.is_merged,
+        CASE WHEN is_merged THEN numbers ELSE []::VARCHAR[] END AS merged_sections FROM m JOIN w ON w.doc_id = m.doc_id AND w.index = m.index)
+"""
 
 
-@query("c10_merge_small_sections")
+@query("c10_merge_small_sections", f"WITH RECURSIVE {SECTIONS_SQL}, {MERGED_SQL} SELECT * FROM merged")
 def c10(spark, d):
     return C.merge_small_sections(C.split_sections(numbered_documents(spark, d)))
 
@@ -165,20 +190,20 @@ def c10(spark, d):
 @query(
     "c11_context_header",
     rf"""
-    WITH {SECTIONS_SQL}, t AS (SELECT doc_id, section_number, any_value(section_title) AS title FROM sections GROUP BY ALL),
+    WITH {CHAPTERED_SQL}, t AS (SELECT doc_id, section_number, any_value(section_title) AS title FROM sections GROUP BY ALL),
     chain AS (SELECT doc_id, index, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, index, list_filter([
         CASE WHEN level >= 3 THEN regexp_extract(section_number, '^([0-9]+\.[0-9]+)\.', 1) END,
         CASE WHEN level >= 4 THEN regexp_extract(section_number, '^([0-9]+\.[0-9]+\.[0-9]+)\.', 1) END,
         CASE WHEN level = 5 THEN regexp_replace(section_number, '-[0-9]+$', '') END], lambda x: x IS NOT NULL) AS ps FROM sections)),
     lines AS (SELECT c.doc_id, c.index, string_agg(concat('[', p, ': ', CASE WHEN length(title) > 60 THEN concat(title[1:60], '...') ELSE title END, ']'), chr(10) ORDER BY i) AS above
         FROM chain c JOIN t ON t.doc_id = c.doc_id AND t.section_number = c.p GROUP BY 1, 2)
-    SELECT s.doc_id, s.index, concat_ws(chr(10), above, concat('[SECTION: ', section_number, ' - ',
+    SELECT s.doc_id, s.index, concat_ws(chr(10), concat('[BÖLÜM: ', chapter, ']'), above, concat('[SECTION: ', section_number, ' - ',
         CASE WHEN length(section_title) > 60 THEN concat(section_title[1:60], '...') ELSE section_title END, ']')) AS context_header
-    FROM sections s LEFT JOIN lines l ON l.doc_id = s.doc_id AND l.index = s.index
+    FROM chaptered s LEFT JOIN lines l ON l.doc_id = s.doc_id AND l.index = s.index
     """,
 )
 def c11(spark, d):
-    rows = sections(spark, d).withColumn("chapter", F.lit(None).cast("string"))
+    rows = C.chapter_as_of(sections(spark, d), C.chapters(numbered_documents(spark, d)))
     out = C.with_context_header(rows, rows.select("doc_id", "section_number", "section_title"))
     return out.select("doc_id", "index", "context_header")
 
@@ -203,7 +228,25 @@ def c13(spark, d):
     return rows.select("doc_id", F.regexp_extract("text", C.PARAGRAPH_NUMBER, 1).alias("fikra"), "text")
 
 
-@query("c14_pack_sentences")
+def sql_packed(parts: str, size: str, most: int, joiner: str) -> str:
+    """Documents' ``parts`` packed in order to groups of at most ``most`` by ``size`` (of ``y``), joined by ``joiner``."""
+    return f"""
+        SELECT doc_id, unnest(g) AS chunk_text, generate_subscripts(g, 1) - 1 AS chunk_order FROM (SELECT doc_id, list_append(r.done, r.cur) AS g FROM (
+            SELECT doc_id, list_reduce(list_transform({parts}, lambda y: {{'done': []::VARCHAR[], 'cur': y, 'n': {size}}}), lambda a, b: CASE WHEN a.n + b.n > {most}
+                THEN {{'done': list_append(a.done, a.cur), 'cur': b.cur, 'n': b.n}} ELSE {{'done': a.done, 'cur': concat(a.cur, '{joiner}', b.cur), 'n': a.n + b.n}} END) AS r FROM documents))
+    """
+
+
+SENTENCES_SQL = r"string_split(regexp_replace(text, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1))"
+
+
+@query(
+    "c14_pack_sentences",
+    f"""
+    WITH p AS ({sql_packed(SENTENCES_SQL, f"len({SQL_WORDS.format('y')})", 350, ' ')})
+    SELECT doc_id, chunk_order, chunk_text, len({SQL_WORDS.format('chunk_text')})::BIGINT AS word_count FROM p
+    """,
+)
 def c14(spark, d):
     return C.pack_sentences(table(spark, d, "documents"))
 
@@ -271,7 +314,7 @@ def c19(spark, d):
     return C.sub_chunks(C.window_chunks(table(spark, d, "documents"))).select("doc_id", "chunk_order", "sub_order", "sub_text")
 
 
-@query("c20_char_budget_chunks")
+@query("c20_char_budget_chunks", sql_packed("string_split(replace(text, '. ', '.|'), '|')", "length(y)", 3000, ""))
 def c20(spark, d):
     return C.char_budget_chunks(table(spark, d, "documents"))
 
