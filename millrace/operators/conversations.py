@@ -29,13 +29,14 @@ def owned_conversation(conversations: DataFrame, owners: DataFrame) -> DataFrame
 
 
 def apply_conversation_changes(
-    conversations: DataFrame, messages: DataFrame, feedback: DataFrame, changes: DataFrame
+    conversations: DataFrame, messages: DataFrame, feedback: DataFrame, changes: DataFrame, greeting: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fold a change log into conversations, messages and feedback.
 
     ``changes(conv_id, seq, op, title, text)`` with op create, rename, message or delete. The last create or rename
     gives the title; a delete after everything else removes the conversation and cascades to messages and feedback;
-    ``updated_seq`` is the last change that counts. Conversations of the table have sequence 0.
+    ``updated_seq`` is the last change that counts. Conversations of the table have sequence 0. With ``greeting`` every
+    create adds it as a message of the assistant.
     """
     ended = changes.groupBy("conv_id").agg(
         F.max("seq").alias("last"), F.coalesce(F.max(F.when(F.col("op") == "delete", F.col("seq"))), F.lit(-1)).alias("deleted")
@@ -48,6 +49,9 @@ def apply_conversation_changes(
     convs = rows.where(alive).select("conv_id", "title", F.coalesce("last", F.lit(0)).cast("long").alias("updated_seq"))
     gone = ended.select("conv_id", "deleted")
     added = changes.where("op = 'message'").select("conv_id", F.col("seq").alias("turn"), F.lit("user").alias("role"), "text")
+    if greeting is not None:
+        created = changes.where("op = 'create'").select("conv_id", F.col("seq").alias("turn"))
+        added = added.unionByName(created.select("conv_id", "turn", F.lit("assistant").alias("role"), F.lit(greeting).alias("text")))
     old = messages.select("conv_id", F.lit(0).cast("long").alias("_s"), "turn", "role", "text")
     everything = old.unionByName(added.select("conv_id", F.col("turn").alias("_s"), (F.col("turn") + 1_000_000).alias("turn"), "role", "text"))
     kept = everything.join(gone, "conv_id", "left").where(F.col("deleted").isNull() | (F.col("_s") > F.col("deleted")))
@@ -107,7 +111,18 @@ def answer_cache_lookup(questions: DataFrame, answers: DataFrame, now: Column, t
     rows = questions.withColumn("key", cache_key(F.col("question"))).join(newest, "key", "left")
     fresh = (F.unix_micros(now) - F.unix_micros(F.col("a.created_at").cast("timestamp"))) < ttl_seconds * 1_000_000
     hit = F.coalesce(F.col("standalone") & fresh, F.lit(False))
-    return rows.select("query_id", "question", "key", F.when(hit, F.col("a.response")).alias("response"), hit.alias("hit"))
+    return rows.select("query_id", "question", "standalone", "key", F.when(hit, F.col("a.response")).alias("response"), hit.alias("hit"))
+
+
+def answer_cache_write_back(lookups: DataFrame, fresh: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """The cache with the answers that missed: ``answers`` and, for each key of a standalone question that missed, one fresh one.
+
+    ``lookups`` come from :func:`answer_cache_lookup` with their ``standalone`` column, ``fresh(query_id, response)`` are the
+    answers given to what missed. Of several questions of one key the smallest ``query_id`` gives the answer.
+    """
+    missed = lookups.where("standalone AND NOT hit").join(fresh.select("query_id", F.col("response").alias("_r")), "query_id")
+    rows = missed.groupBy("key").agg(F.min_by("_r", "query_id").alias("response")).withColumn("created_at", now)
+    return answers.select("key", "response", "created_at").unionByName(rows.select("key", "response", "created_at"))
 
 
 def embedding_dedupe(texts: DataFrame, embed, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

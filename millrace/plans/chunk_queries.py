@@ -330,6 +330,21 @@ def c21(spark, d):
     return C.annex_references(numbered_documents(spark, d))
 
 
+@query(
+    "c21_letter_items",
+    """
+    WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents))
+    SELECT doc_id, chr((97 + i % 5)::INTEGER) AS letter, count(*) AS n FROM l GROUP BY 1, 2
+    """,
+)
+def c21_letters(spark, d):
+    """Every line that is not blank gets a letter by its number."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    marked = F.transform(lines, lambda x, i: F.concat(F.get(F.array(*[F.lit(c) for c in "abcde"]), i % 5), F.lit(") "), x))
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("text"))
+    return C.letter_items(docs)
+
+
 @query("c22_structure_chunk_documents")
 def c22(spark, d):
     return C.structure_chunk_documents(numbered_documents(spark, d))

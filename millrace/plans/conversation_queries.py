@@ -70,12 +70,15 @@ _CHANGES_SQL = """
 @query(
     "g4_apply_conversation_changes",
     f"""
-    WITH {CONV_SQL}, {_CHANGES_SQL}, e AS (SELECT conv_id, max(seq) AS last, coalesce(max(seq) FILTER (WHERE op = 'delete'), -1) AS deleted FROM changes GROUP BY 1),
+    WITH {CONV_SQL}, {FEEDBACK_SQL}, {_CHANGES_SQL}, e AS (SELECT conv_id, max(seq) AS last, coalesce(max(seq) FILTER (WHERE op = 'delete'), -1) AS deleted FROM changes GROUP BY 1),
     t AS (SELECT conv_id, title, 0 AS seq FROM convs UNION ALL SELECT conv_id, title, seq FROM changes WHERE op IN ('create', 'rename')),
     n AS (SELECT conv_id, max_by(title, seq) AS title FROM t GROUP BY 1),
     c AS (SELECT n.conv_id, n.title, coalesce(e.last, 0) AS updated_seq, coalesce(deleted, -2) AS deleted FROM n LEFT JOIN e USING (conv_id) WHERE deleted IS NULL OR deleted < last),
-    m AS (SELECT conv_id, 0 AS s FROM conversations UNION ALL SELECT conv_id, seq FROM changes WHERE op = 'message')
-    SELECT c.conv_id, c.title, c.updated_seq, count(m.s) AS n_messages FROM c LEFT JOIN m ON m.conv_id = c.conv_id AND m.s > c.deleted GROUP BY ALL
+    m AS (SELECT conv_id, 0 AS s, turn, role FROM conversations UNION ALL SELECT conv_id, seq, seq + 1000000, CASE op WHEN 'create' THEN 'assistant' ELSE 'user' END FROM changes WHERE op IN ('message', 'create')),
+    kept AS (SELECT c.conv_id, m.turn, m.role FROM c JOIN m ON m.conv_id = c.conv_id AND m.s > c.deleted),
+    fb AS (SELECT f.conv_id, count(*) AS n FROM feedback f SEMI JOIN kept k ON k.conv_id = f.conv_id AND k.turn = f.turn GROUP BY 1)
+    SELECT c.conv_id, c.title, c.updated_seq, (SELECT count(*) FROM kept k WHERE k.conv_id = c.conv_id) AS n_messages,
+        (SELECT count(*) FROM kept k WHERE k.conv_id = c.conv_id AND turn > 1000000 AND role = 'assistant') AS n_greetings, coalesce(fb.n, 0) AS n_feedback FROM c LEFT JOIN fb USING (conv_id)
     """,
 )
 def g4(spark, d):
@@ -89,10 +92,14 @@ def g4(spark, d):
         F.concat(F.lit("title "), number).alias("title"),
         F.concat(F.lit("text "), number).alias("text"),
     )
-    changed, kept, _ = V.apply_conversation_changes(convs(spark, d), messages(spark, d), feedback(spark, d), changes)
-    counted = kept.groupBy("conv_id").agg(F.count("*").alias("n"))
-    out = changed.join(counted, "conv_id", "left")
-    return out.select("conv_id", "title", "updated_seq", F.coalesce("n", F.lit(0)).cast("long").alias("n_messages"))
+    changed, kept, rated = V.apply_conversation_changes(
+        convs(spark, d), messages(spark, d), feedback(spark, d), changes, greeting="Welcome."
+    )
+    greeted = F.count_if((F.col("text") == "Welcome.") & (F.col("role") == "assistant"))
+    counted = kept.groupBy("conv_id").agg(F.count("*").alias("n_messages"), greeted.alias("n_greetings"))
+    out = changed.join(counted, "conv_id", "left").join(rated.groupBy("conv_id").agg(F.count("*").alias("n_feedback")), "conv_id", "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_messages", "n_greetings", "n_feedback")]
+    return out.select("conv_id", "title", "updated_seq", *numbers)
 
 
 @query(
@@ -168,7 +175,7 @@ _LOOKUPS_SQL = """
 """
 
 
-def lookups(spark, d):
+def cache_inputs(spark, d):
     told = table(spark, d, "events").select("event_id", "ts", (F.col("event_id") % 120).alias("conv_id"), (F.col("event_id") % 6).alias("turn"))
     answers = told.join(messages(spark, d), ["conv_id", "turn"]).select(
         cache_key(F.col("text")).alias("key"), F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("response"), F.col("ts").alias("created_at")
@@ -176,12 +183,34 @@ def lookups(spark, d):
     asked = messages(spark, d).where("role = 'user'").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), (F.col("turn") < 3).alias("standalone")
     )
-    return V.answer_cache_lookup(asked, answers, F.lit("2024-01-31 00:00:00").cast("timestamp"), 86_400)
+    return asked, answers
+
+
+def lookups(spark, d):
+    return V.answer_cache_lookup(*cache_inputs(spark, d), F.lit("2024-01-31 00:00:00").cast("timestamp"), 86_400)
 
 
 @query("g11_answer_cache_lookup", f"WITH {_LOOKUPS_SQL} SELECT query_id, question, key, CASE WHEN hit THEN response END AS response, hit FROM lookups")
 def g11(spark, d):
-    return lookups(spark, d)
+    return lookups(spark, d).drop("standalone")
+
+
+# What missed is answered and written back; the same questions asked again then find it.
+@query(
+    "g11_answer_cache_write_back",
+    f"""
+    WITH {_LOOKUPS_SQL}, s AS (SELECT l.*, a.standalone FROM lookups l JOIN asked a USING (query_id)),
+    missed AS (SELECT key, concat('new ', min(query_id)) AS response FROM s WHERE standalone AND NOT hit GROUP BY 1)
+    SELECT s.query_id, s.key, CASE WHEN s.hit THEN s.response WHEN s.standalone THEN m.response END AS response, s.standalone AS hit FROM s LEFT JOIN missed m USING (key)
+    """,
+)
+def g11_back(spark, d):
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    asked, answers = cache_inputs(spark, d)
+    first = V.answer_cache_lookup(asked, answers, now, 86_400)
+    fresh = first.where("NOT hit").select("query_id", F.concat(F.lit("new "), F.col("query_id").cast("string")).alias("response"))
+    cache = V.answer_cache_write_back(first, fresh, answers, now)
+    return V.answer_cache_lookup(asked, cache, now, 86_400).select("query_id", "key", "response", "hit")
 
 
 @query(

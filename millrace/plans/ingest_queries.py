@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from millrace.operators.chunking import structure_chunk_documents, window_chunks
+from millrace.operators.graph import parse_triplets
+from millrace.plans import graph_queries as GQ
 from millrace.plans.registry import query, table
 from millrace.plans.text_queries import SQL_CLEAN
 from millrace.sources import files, tables
@@ -13,7 +15,8 @@ SQL_HTML = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
 for _name in files.EXCLUDED:
     SQL_HTML = rf"regexp_replace({SQL_HTML}, '(?is)<{_name}\b[^>]*>.*?</{_name}\s*>', ' ', 'g')"
 SQL_HTML = rf"regexp_replace({SQL_HTML}, '(?s)<[^>]*>', ' ', 'g')"
-for _entity, _char in files.ENTITIES.items():
+# The references that the pages have; the ampersand last, as they are not nested.
+for _entity, _char in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}.items():
     SQL_HTML = f"replace({SQL_HTML}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
 SQL_HTML = rf"trim(regexp_replace({SQL_HTML}, '\s+', ' ', 'g'))"
 
@@ -130,8 +133,9 @@ def a10(spark, d):
 def a11(spark, d):
     rows = points(spark, d)
     changed = rows.where("vec_id % 4 = 0").withColumn("label", F.col("label") + 100)
-    fresh = changed.unionByName(changed.withColumn("vec_id", F.col("vec_id") + 1_000_000))
-    return tables.upsert_points(rows, fresh).select("vec_id", "label")
+    fresh = changed.unionByName(changed.withColumn("vec_id", F.col("vec_id") + 1_000_000)).withColumn("seq", F.lit(2))
+    earlier = changed.withColumns({"label": F.col("label") + 1_000, "seq": F.lit(1)})  # overwritten by the later row of its key
+    return tables.upsert_points(rows, fresh.unionByName(earlier), order="seq").select("vec_id", "label")
 
 
 @query("a12_delete_points", "SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0")
@@ -182,15 +186,18 @@ def a15(spark, d):
 
 @query(
     "a16_ingest_stats",
-    """
+    f"""
+    WITH {GQ.REPLIES_SQL}, given AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text END AS t FROM documents),
+    good AS (SELECT doc_id, t AS text FROM given WHERE length(t) >= 100), chunks AS ({sql_windows('good')})
     SELECT count(*) FILTER (WHERE t IS NOT NULL AND length(t) >= 100) AS processed, count(*) FILTER (WHERE length(t) < 100) AS skipped,
-        count(*) FILTER (WHERE t IS NULL) AS errors,
-        sum(CASE WHEN length(t) >= 100 THEN ceil(length(t) / 3000.0) ELSE 0 END)::BIGINT AS pieces
-    FROM (SELECT CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text END AS t FROM documents)
+        count(*) FILTER (WHERE t IS NULL) AS errors, (SELECT count(*) FROM chunks) AS chunks,
+        (SELECT count(*) FROM parsed SEMI JOIN good USING (doc_id)) AS triplets
+    FROM given
     """,
 )
 def a16(spark, d):
-    return tables.ingest_stats(table(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 17 != 0, F.col("text"))))
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("text"))
+    return tables.ingest_stats(docs, window_chunks, parse_triplets(GQ.replies(spark, d)))
 
 
 @query(
@@ -210,12 +217,37 @@ def a19(spark, d):
     "SELECT doc_id, source, lang, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents",
 )
 def a20(spark, d):
-    from pyspark.sql import Window
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    return tables.numbered(rows, ["source"], [F.desc("doc_id")])
 
-    newest = Window.partitionBy("source").orderBy(F.desc("doc_id"))
-    return table(spark, d, "documents").select(
-        "doc_id", "source", "lang", "n_chars", F.row_number().over(newest).cast("long").alias("place")
-    )
+
+# Questions as JSON files of one array for each language, read back as a table.
+@query("a17_read_questions", "SELECT doc_id AS id, concat('what says ', doc_id) AS question, source FROM documents WHERE doc_id % 50 = 0")
+def a17(spark, d):
+    rows = table(spark, d, "documents").where("doc_id % 50 = 0")  # the stated query set
+    entry = F.struct(F.col("doc_id").alias("id"), F.concat(F.lit("what says "), F.col("doc_id").cast("string")).alias("question"), "source")
+    lists = rows.groupBy("lang").agg(F.to_json(F.collect_list(entry)).alias("value"))
+    path = shared_dir(spark, "questions")
+    lists.write.partitionBy("lang").text(path)
+    return files.read_json_table(spark, path, "id long, question string, source string").select("id", "question", "source")
+
+
+# One report for each kind of event, and one file that is no JSON.
+@query(
+    "a18_list_reports",
+    """
+    SELECT event_type AS name, count(*) AS n, round(avg(value), 4) AS mean, false AS corrupt FROM events GROUP BY 1
+    UNION ALL SELECT NULL, NULL, NULL, true
+    """,
+)
+def a18(spark, d):
+    folder = shared_dir(spark, "reports")
+    found = table(spark, d, "events").groupBy(F.col("event_type").alias("name"), F.col("event_type").alias("kind"))
+    reports = found.agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    reports.select("kind", F.to_json(F.struct("name", "n", "mean")).alias("value")).write.partitionBy("kind").text(folder)
+    spark.range(1).select(F.lit("{no json").alias("value")).write.text(f"{folder}/kind=broken")
+    listed = files.list_reports(spark, folder, "name string, n long, mean double", r"^part-.*\.txt$")
+    return listed.select("name", "n", "mean", "corrupt")
 
 
 def document_files(spark, d):

@@ -1,15 +1,19 @@
 """File discovery, text extraction and JSON reports."""
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.arrays import let
 from millrace.functions.text import strip
 
 SUFFIXES = ("pdf", "txt", "html", "htm", "md")
 #: Elements whose content is not text of the page, removed one name at a time.
 EXCLUDED = ("script", "style", "nav", "footer", "header")
-#: Character references that are decoded, ampersand last.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+#: Named character references that are decoded: those of HTML 4, ``apos``, and a plain blank for the one that does not break.
+ENTITIES = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+_REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def scan_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
@@ -50,15 +54,34 @@ def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def decode_references(text: Column) -> Column:
+    """Named and numeric character references as the characters they stand for, each once; others stay as they are."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def character(ref: Column) -> Column:
+        body = F.substring(ref, 3, F.length(ref) - 3)
+        hexadecimal = F.substring(ref, 3, 1).isin("x", "X")
+        point = F.conv(F.when(hexadecimal, F.substring(body, 2, 8)).otherwise(body), 10, 10).cast("long")
+        point = F.when(hexadecimal, F.conv(F.substring(body, 2, 8), 16, 10).cast("long")).otherwise(point)
+        valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        name = F.try_element_at(named, F.substring(ref, 2, F.length(ref) - 2))
+        return F.coalesce(F.when(F.substring(ref, 2, 1) == "#", number).otherwise(name), ref)
+
+    def joined(x: Column) -> Column:
+        return F.array_join(F.transform(x["p"], lambda p, i: F.concat(p, F.coalesce(character(F.get(x["r"], i)), F.lit("")))), "")
+
+    parts = F.struct(F.split(text, _REFERENCE, -1).alias("p"), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)).alias("r"))
+    return F.when(text.contains("&"), let(parts, joined)).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     """Text nodes joined by blanks: comments, excluded elements and markup dropped, white space collapsed."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     for name in EXCLUDED:
         out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return strip(F.regexp_replace(out, r"\s+", " "))
+    return strip(F.regexp_replace(decode_references(out), r"\s+", " "))
 
 
 def extract_text(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

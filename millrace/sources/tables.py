@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import written
+
 
 def min_text_gate(docs: DataFrame, least: int = 100) -> DataFrame:
     """Rows whose text is not null and has ``least`` characters or more."""
@@ -43,9 +45,16 @@ def sanitize_payload(rows: DataFrame, scalars: list[str], others: list[str], tex
     return rows.select(*flat, *nested, F.coalesce(F.col(text), F.lit("")).alias("chunk_text"))
 
 
-def upsert_points(points: DataFrame, fresh: DataFrame, key: str = "vec_id") -> DataFrame:
-    """``fresh`` rows replace those of equal key; idempotent. Repeated keys in ``fresh`` keep one row."""
-    once = fresh.dropDuplicates([key])
+def upsert_points(points: DataFrame, fresh: DataFrame, key: str = "vec_id", order: str | None = None) -> DataFrame:
+    """``fresh`` rows replace those of equal key; idempotent.
+
+    Of a repeated key in ``fresh`` the row of greatest ``order`` stays, of equal ones (or without ``order``) the greatest
+    row, so that runs and retries agree. ``order`` is a column of ``fresh`` that need not be one of ``points``.
+    """
+    rest = [c for c in points.columns if c != key]
+    row = F.struct(*([F.col(order).alias("_order")] if order else []), *rest)
+    once = fresh.groupBy(key).agg(F.max(row).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    once = once.select(points.columns)
     return points.join(once.select(key), key, "left_anti").unionByName(once)
 
 
@@ -74,16 +83,40 @@ def incremental_skip(chunks: DataFrame, points: DataFrame, force: bool = False,
     return chunks if force else chunks.join(points.select(key), key, "left_anti")
 
 
-def ingest_stats(docs: DataFrame, least: int = 100) -> DataFrame:
-    """One row: documents processed, chunks, skipped and failed. A null text is an error of its document only."""
+def ingest_stats(docs: DataFrame, chunk, triplets: DataFrame, least: int = 100) -> DataFrame:
+    """One row: documents processed, skipped and failed, the chunks of those processed, and their triplets.
+
+    ``chunk`` maps documents to chunks, ``triplets(doc_id)`` are what the model replies held. A null text is an error
+    of its document only, too short a text is skipped; neither has chunks, nor do its triplets count.
+    """
     failed = F.col("text").isNull()
     short = ~failed & (F.length("text") < least)
-    return docs.agg(
-        F.count_if(~failed & ~short).alias("processed"),
-        F.count_if(short).alias("skipped"),
-        F.count_if(failed).alias("errors"),
-        F.sum(F.when(~failed & ~short, F.ceil(F.length("text") / 3000)).otherwise(0)).cast("long").alias("pieces"),
+    good = docs.where(~failed & ~short)
+    counted = docs.agg(
+        F.count_if(~failed & ~short).alias("processed"), F.count_if(short).alias("skipped"), F.count_if(failed).alias("errors")
+    )
+    chunks = chunk(good).agg(F.count("*").alias("chunks"))
+    found = triplets.join(good.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("triplets"))
+    return counted.join(chunks, F.lit(True)).join(found, F.lit(True))  # one row each
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """Add the place of each row, from 1, among those of equal ``keys`` (of all rows without keys) in the given order.
+
+    Rows are dealt by ranges of keys and order and written; each range numbers its own, and the counts of the ranges
+    before, one row for each range and key, are added. So no task gets a whole key, whatever share of the rows it has.
+    """
+    ranged = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    gone = counts.select(
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_gone"), *[F.col(k).alias(f"_of_{k}") for k in ["_range", *keys]]
     )
+    inside = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in ["_range", *keys]]
+    place = (F.col("_own") + F.col("_gone")).cast("long")
+    return inside.join(gone, same).select(*rows.columns, place.alias(name))
 
 
 def newest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -108,3 +108,39 @@ def test_answer_stream_equals_batch(spark, tmp_path):
     assert set(got) - {"zz"} == set(batch)
     for name in ("answer", "metadata", "confidence", "citations", "total_ms", "tokens", "status"):
         assert {k: getattr(got[k], name) for k in batch} == {k: getattr(v, name) for k, v in batch.items()}
+
+
+def test_character_references(spark):
+    from millrace.sources.files import html_to_text
+
+    pages = {
+        "a &eacute; b": "a é b",
+        "&#233;&#xE9;&#x1F600;": "éé😀",
+        "&amp;lt; &lt;b&gt;": "&lt; <b>",
+        "&unknown; & &#0; &#xD800;": "&unknown; & &#0; &#xD800;",
+        "x&nbsp;y &apos;&quot;": "x y '\"",
+    }
+    rows = spark.createDataFrame([*pages.items()], "html string, want string").select(html_to_text(F.col("html")).alias("got"), "want")
+    assert all(r.got == r.want for r in rows.collect())
+
+
+def test_upsert_takes_the_last_write(spark):
+    from millrace.sources.tables import upsert_points
+
+    points = spark.createDataFrame([(1, "a"), (2, "b")], "vec_id long, label string")
+    fresh = spark.createDataFrame([(2, "x", 3), (2, "z", 2), (3, "p", 1), (3, "q", 1)], "vec_id long, label string, seq long")
+    got = {tuple(r) for r in upsert_points(points, fresh, order="seq").collect()}
+    assert got == {(1, "a"), (2, "x"), (3, "q")}
+
+
+def test_numbering_equals_a_window(spark):
+    from pyspark.sql import Window
+
+    from millrace.sources.tables import numbered
+
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("v"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 5 > 0, "few").alias("k"))
+    for keys in (["k"], []):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("v"))).cast("long")
+        want = {tuple(r) for r in rows.withColumn("place", place).collect()}
+        assert {tuple(r) for r in numbered(rows, keys, [F.desc("v")]).collect()} == want
+    assert numbered(rows.limit(0), ["k"], [F.desc("v")]).count() == 0
