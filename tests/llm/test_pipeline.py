@@ -9,6 +9,8 @@ import sys
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -85,6 +87,52 @@ def test_stages_against_plain_python(spark):
         assert places[0][0] == 0 and places[-1][1] <= 4096 and all(a[1] == b[0] for a, b in zip(places, places[1:]))
 
 
+CLASHING = ["row", "key", "score", "kept", "spans", "ids", "node", "_row0"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows of documents with nulls, empty and repeated texts, repeated ids and columns that operators name so too."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    good = base.where("lang = 'en'").orderBy(F.length("text").desc()).first().asDict()
+    rows = [(None, good["text"]), (-1, None), (-2, ""), (-3, " \n "), (-4, good["text"]), (-4, good["text"]), (-5, "write to a@b.co")]
+    schema = "doc_id long, text string"
+    added = spark.createDataFrame(rows, schema).selectExpr("doc_id", "text", "NULL AS lang", "NULL AS source", "length(text) AS n_chars")
+    docs = base.where(F.col("doc_id") == good["doc_id"]).unionByName(added).withColumn("n_chars", F.col("n_chars").cast("long"))
+    return docs.withColumns({c: F.lit("x") for c in CLASHING}), good
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, odd, name):
+    docs, good = odd
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = stage(spark, docs, SF).collect()
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    if name != "packing":
+        assert [*rows[0].asDict()] == docs.columns
+    texts = sorted((r.doc_id or 0, r.text) for r in rows if r.text and r.text.strip()) if name != "packing" else None
+    if name == "quality rules":  # short and empty texts go, equal ones are judged alike
+        assert len({r.text for r in rows}) <= 1 and len(rows) in (0, 4)
+    elif name == "toxicity":
+        assert len(rows) in (8, 4) and {-1, -2, -3, -5} <= {r.doc_id for r in rows}
+    elif name == "near-duplicates":  # the smallest id of the four equal texts, once
+        assert texts == [(-5, "write to a@b.co"), (-4, good["text"])] and len(rows) == 5
+    elif name == "personal data":
+        assert len(rows) == 8 and {r.doc_id: r.text for r in rows}[-5] == "write to [EMAIL]"
+        assert {r.doc_id: r.n_chars for r in rows}[-1] is None and {r.doc_id: r.n_chars for r in rows}[-5] == 16
+    else:
+        assert {r.doc_id for r in rows} == {None, -1, -2, -3, -4, -5, good["doc_id"]}
+        assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+        assert {r.length for r in rows if r.doc_id in (-1, -2)} == {1}
+
+
+def test_no_text_is_lost_to_a_repeated_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, b), (4, a), (4, b)], "doc_id long, text string")
+    kept = corpus_pipeline.remove_near_duplicates(spark, docs, SF).collect()
+    assert sorted(map(tuple, kept)) == [(1, b), (4, a)]
+
+
 def test_toxicity_stage_follows_the_operator(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
