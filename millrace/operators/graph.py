@@ -63,22 +63,33 @@ def related_entities(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth
 
     A trail uses no edge twice; ``relation`` is the trail's first edge. Distinct rows in order of entity and relation,
     ``limit`` for each seed (the report's size). Frontiers join the edge table by node, bounded by the seeds.
+
+    With a limit the last step meets only the first neighbours of each node: an entity has a place among a seed's first
+    ``limit`` rows only if fewer than that come before it by way of the same node, and a trail shuts out at most
+    ``depth`` - 1 of them. So a hub in the middle of trails adds a few rows, not all its links.
     """
     ways = both_ways(edges)
     trail = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(None).cast("string").alias("relation"), F.array().cast("array<bigint>").alias("used"))
     found = None
-    for _ in range(depth):
-        ahead = trail.join(ways, trail["node"] == ways["a"]).where(~F.array_contains("used", F.col("edge")))
-        trail = ahead.select(
-            "seed",
-            F.col("b").alias("node"),
-            F.coalesce("relation", "rel").alias("relation"),
-            F.array_append("used", F.col("edge")).alias("used"),
-        )
-        here = trail.select("seed", F.col("node").alias("entity"), "relation").distinct()
+    for step in range(1, depth + 1):
+        relation = F.coalesce("relation", "rel").alias("relation")
+        if step == depth > 1 and limit is not None:
+            pairs = ways.groupBy("a", "b").agg(F.slice(F.sort_array(F.collect_set("edge")), 1, depth).alias("edges"))
+            place = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+            first = pairs.withColumn("_p", place).where(F.col("_p") < limit + depth)
+            ahead = trail.join(first, trail["node"] == first["a"]).where(F.size(F.array_except("edges", "used")) > 0)
+            here = ahead.select("seed", F.col("b").alias("entity"), "relation").distinct()
+        else:
+            ahead = trail.join(ways, trail["node"] == ways["a"]).where(~F.array_contains("used", F.col("edge")))
+            trail = ahead.select("seed", F.col("b").alias("node"), relation, F.array_append("used", F.col("edge")).alias("used"))
+            here = trail.select("seed", F.col("node").alias("entity"), "relation").distinct()
         found = here if found is None else found.unionByName(here)
+    rows = found.distinct()
+    if limit is not None:  # each row has a label at least, so later ones cannot come in
+        place = F.row_number().over(Window.partitionBy("seed").orderBy("entity", "relation"))
+        rows = rows.withColumn("_p", place).where(F.col("_p") <= limit).drop("_p")
     labels = nodes.select(F.col("name").alias("entity"), "label")
-    out = found.distinct().join(labels, "entity", "left").select("seed", "entity", "relation", "label")
+    out = rows.join(labels, "entity", "left").select("seed", "entity", "relation", "label")
     if limit is None:
         return out
     place = F.row_number().over(Window.partitionBy("seed").orderBy("entity", "relation", "label"))
