@@ -233,8 +233,9 @@ def near_duplicate_texts(
     verdicts = classes.select("digest", "node", "class_id").join(grouped, "node", "left")
     verdicts = written(verdicts.withColumn("component", F.coalesce("component", "node")), "verdicts")
     order = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")
-    first = verdicts.groupBy("component").agg(F.min(order).alias("first"))
-    verdicts = verdicts.join(first.select("component", "first"), "component").select("digest", "class_id", "first")
+    # Written, so that the join has plain exchanges and a component of very many classes can be split.
+    first = written(verdicts.groupBy("component").agg(F.min(order).alias("first")), "firsts")
+    verdicts = verdicts.join(first, "component").select("digest", "class_id", "first")
     out = features.select("doc_id", "row", "digest").join(written(verdicts, "verdicts"), "digest", "left")
     alone = F.col("digest").isNull()
     return out.select(
