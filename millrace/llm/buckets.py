@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import importable_on_workers, keep_caches
+from millrace.llm.shared import importable_on_workers, keep_caches, short_batches
 
 
 def block_pairs(members: DataFrame, size: Column, node: Column, block: int) -> DataFrame:
@@ -31,6 +31,7 @@ def map_units(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Reco
     The rows are dealt by the keys and sorted within partitions; a task holds one batch and one group.
     """
     importable_on_workers(rows.sparkSession)
+    short_batches(rows.sparkSession)
     dealt = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +55,8 @@ def map_units(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Reco
                 held.append(batch.slice(start, end - start))
         if held:
             yield from _some(fn(pa.Table.from_batches(held)))
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return dealt.mapInArrow(run, schema)
 

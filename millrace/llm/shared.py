@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.scratch import shared_dir, written
 
-__all__ = ["BoundedCache", "BoundedTable", "cache_of", "keep_caches", "importable_on_workers", "map_texts", "shared_dir", "slices", "written"]
+__all__ = ["BoundedCache", "BoundedTable", "cache_of", "keep_caches", "importable_on_workers", "map_texts", "shared_dir", "short_batches", "slices", "written"]
 
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -23,6 +23,16 @@ def importable_on_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT, *filter(None, paths)])
 
 
+def short_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Lower the session's default of 64 MB for an Arrow batch; a session with a setting of its own keeps that.
+
+    The JVM and the worker each hold a batch several times over while they convert it, for each task of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:  # nobody has set it
+        spark.conf.set(name, most)
+
+
 def map_texts(
     docs: DataFrame,
     fn: Callable[[Iterator[tuple[pa.Array, list[str | None]]]], Iterator[pa.RecordBatch]],
@@ -39,6 +49,7 @@ def map_texts(
     Both forms need no shuffle. ``uses`` names the group of worker caches that ``fn`` needs; all others are emptied.
     """
     importable_on_workers(docs.sparkSession)
+    short_batches(docs.sparkSession)
     if carry_row:
         narrow = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"))
         where = docs.columns.index(text_col)
@@ -56,8 +67,11 @@ def map_texts(
                     key = part.column(0)
                     texts = part.column(1) if where is None else key.field(where)
                     yield key, texts.to_pylist()
+                del batch, part, key, texts
+                pa.default_memory_pool().release_unused()
 
         yield from fn(pairs())
+        pa.default_memory_pool().release_unused()  # the worker stays, its buffers need not
 
     return narrow.mapInArrow(run, f"key {key_type}, {schema}")
 
