@@ -156,7 +156,7 @@ def split_sections(docs: DataFrame, cleaned: bool = True) -> DataFrame:
     between headings; only documents with headings make rows.
     """
     pieces, heads = F.split("text", HEADING, -1), F.regexp_extract_all("text", F.lit(HEADING), F.lit(0))
-    rows = docs.select("doc_id", pieces.alias("p"), heads.alias("h")).where(F.size("h") > 0)
+    rows = docs.select("doc_id", pieces.alias("p"), heads.alias("h"))  # documents without headings explode to no rows
     first = F.length(F.element_at("p", 1))
     zipped = F.arrays_zip(F.col("h").alias("head"), F.slice("p", 2, F.size("h")).alias("body"))
     sizes = F.transform(zipped, lambda x: F.length(x["head"]) + F.length(x["body"]))
@@ -173,6 +173,7 @@ def split_sections(docs: DataFrame, cleaned: bool = True) -> DataFrame:
         (clean_amendments(content) if cleaned else content).alias("content"),
         F.col("x.start").cast("long").alias("char_start"),
     )
+    rows = rows.repartition("doc_id")  # serves the window below and what later goes by document
     last = Window.partitionBy("doc_id", "section_number").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("section_title", F.last("own_title").over(last)).drop("own_title")
     return rows.withColumn("word_count", word_count(F.col("content"))).withColumn("level", section_level(F.col("section_number")).cast("long"))
@@ -181,7 +182,7 @@ def split_sections(docs: DataFrame, cleaned: bool = True) -> DataFrame:
 def chapters(docs: DataFrame) -> DataFrame:
     """``(doc_id, pos, chapter)`` of every chapter heading."""
     pieces, heads = F.split("text", CHAPTER, -1), F.regexp_extract_all("text", F.lit(CHAPTER), F.lit(0))
-    rows = docs.select("doc_id", pieces.alias("p"), heads.alias("h")).where(F.size("h") > 0)
+    rows = docs.select("doc_id", pieces.alias("p"), heads.alias("h"))
     steps = F.zip_with(F.slice("p", 1, F.size("h")), "h", lambda p, h: F.length(p) + F.length(h))
     marks = F.transform(
         sums_before(steps), lambda n, i: F.struct((n + F.length(F.get("p", i))).alias("pos"), F.get("h", i).alias("chapter"))
