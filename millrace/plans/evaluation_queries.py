@@ -230,7 +230,20 @@ def report(spark, d):
     return rows.select(F.struct("*").alias("summary"))
 
 
-@query("f15_assemble_report")
+@query(
+    "f15_assemble_report",
+    f"""
+    {RANKS_SQL}, {_JUDGED_SQL}, m1 AS ({METRICS_SQL} FROM r1), m2 AS ({METRICS_SQL} FROM r2), a1 AS (SELECT {AVERAGES} FROM m1), a2 AS (SELECT {AVERAGES} FROM m2),
+    l AS (SELECT count(value)::DOUBLE AS n, round(avg(value), 1) AS mean_ms, round(median(value), 1) AS median_ms, round(quantile_disc(value, 0.95), 1) AS p95_ms,
+        round(quantile_disc(value, 0.99), 1) AS p99_ms, round(min(value), 1) AS min_ms, round(max(value), 1) AS max_ms FROM events),
+    g AS (SELECT round(avg(faithfulness), 3) AS avg_faithfulness, round(avg(answer_relevance), 3) AS avg_answer_relevance, round(avg(context_precision), 3) AS avg_context_precision,
+        round(avg(context_recall), 3) AS avg_context_recall, count(faithfulness)::DOUBLE AS evaluated FROM judged),
+    u1 AS (UNPIVOT a1 ON COLUMNS(*) INTO NAME metric VALUE value), u2 AS (UNPIVOT a2 ON COLUMNS(*) INTO NAME metric VALUE value),
+    ul AS (UNPIVOT l ON COLUMNS(*) INTO NAME metric VALUE value), ug AS (UNPIVOT g ON COLUMNS(*) INTO NAME metric VALUE value)
+    SELECT concat('retrieval.stage1_vector.', metric) AS path, value FROM u1 UNION ALL SELECT concat('retrieval.stage2_full_pipeline.', metric), value FROM u2
+    UNION ALL SELECT concat('retrieval.latency.', metric), value FROM ul UNION ALL SELECT concat('generation.', metric), value FROM ug
+    """,
+)
 def f15(spark, d):
     return E.report_values(report(spark, d))
 
