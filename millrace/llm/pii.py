@@ -119,7 +119,7 @@ def _spans(text: Column, kind: Kind) -> Column:
             sums_before(steps),
             lambda gone, i: F.struct(
                 (gone + F.length(F.get(x["p"], i))).alias("start"),
-                (gone + F.get(steps, i)).alias("end"),
+                (gone + F.length(F.get(x["p"], i)) + F.length(F.get(x["m"], i))).alias("end"),
                 F.get(x["m"], i).alias("value"),
             ),
         )
