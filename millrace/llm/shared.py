@@ -105,9 +105,7 @@ def keep_caches(group: str) -> None:
             cache.clear()
 
 
-def _cost(key, value) -> int:
-    """Bytes of a cached pair, with 100 for the dictionary's place and the memory manager."""
-    return 100 + sys.getsizeof(key) + sys.getsizeof(value)
+PLACE = 100  # bytes that a pair takes in a dictionary and in the memory manager, besides its objects
 
 
 class BoundedCache(dict):
@@ -123,7 +121,7 @@ class BoundedCache(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        cost = _cost(key, value)
+        cost = PLACE + sys.getsizeof(key) + sys.getsizeof(value)
         if self.held + cost > self.limit:
             self.clear()
         self.held += cost
@@ -147,15 +145,19 @@ class BoundedTable(dict):
 
     def add(self, new: dict, used: Callable[[], set]) -> None:
         """Add entries; ``used`` gives the keys of the present slice, if they are needed."""
-        cost = sum(map(_cost, new.keys(), new.values()))
+        cost = self._size(new)
         if self.held + cost > self.limit:
             kept = {key: self[key] for key in used() if key in self}
             self.clear()
             self.update(kept)
-            self.held = sum(map(_cost, kept.keys(), kept.values()))
+            self.held = self._size(kept)
         self.held += cost
         self.update(new)
 
+    @staticmethod
+    def _size(pairs: dict) -> int:
+        return sum(map(sys.getsizeof, pairs)) + sum(map(sys.getsizeof, pairs.values())) + PLACE * len(pairs)
+
     def clear(self) -> None:
         super().clear()
         self.held = 0

@@ -21,7 +21,7 @@ class WordIds:
 
     _loaded: dict[str, "WordIds"] = {}
 
-    def __init__(self, path: str, megabytes: float = 64):
+    def __init__(self, path: str, megabytes: float = 140):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.table: BoundedTable = cache_of("word_ids", path, BoundedTable(megabytes))
