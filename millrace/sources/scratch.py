@@ -25,3 +25,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`written` gave and a later one has replaced; what still reads it then fails."""
+    files = df.inputFiles()
+    if not files:
+        return
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
