@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import embedding_dedup, language_id, packing, pii, quality, text_dedup, token_counts, token_files, toxicity
+from millrace.llm import (
+    clustering,
+    embedding_dedup,
+    filter_audit,
+    language_id,
+    packing,
+    piece_hashing,
+    pii,
+    quality,
+    text_dedup,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from millrace.llm.piece_codec import encode_pieces
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -71,6 +84,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks, letters = filter_audit.failure_masks(_table(spark, sf_dir, "documents"))
+    return filter_audit.audit_orders(filter_audit.mask_cells(masks, _table(spark, sf_dir, "labels")), letters)
+
+
+def op12_piece_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_hashing.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,9 +114,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_text_dedup": op8_text_dedup,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_piece_hashing": op12_piece_hashing,
+    "op13_clustering": op13_clustering,
     "pipeline": pipeline,
 }
 
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """All rounds of exact k-means as a chain of tables, every vector compared with every centroid."""
+    steps = [
+        """v AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        )""",
+        f"""c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, e) - 1 AS cluster, e AS c
+            FROM (SELECT e, sha256('2:' || vec_id) AS h FROM v ORDER BY h, e LIMIT {k})
+        )""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+            SELECT vec_id, e, min(struct_pack(distance, cluster)) AS m FROM (
+                SELECT vec_id, e, c{i}.cluster, list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+                FROM v, c{i}
+            ) GROUP BY vec_id, e
+        )""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+                SELECT c{i}.cluster, coalesce(u.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+                    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+                        SELECT m.cluster AS cluster, i, sum(e[i])::BIGINT AS s, count(*) AS n
+                        FROM a{i}, range(1, 65) r(i) GROUP BY m.cluster, i
+                    ) GROUP BY cluster
+                ) u ON u.cluster = c{i}.cluster
+            )""")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, m.cluster::INTEGER AS cluster, m.distance AS distance,
+            sum(m.distance) OVER (PARTITION BY m.cluster)::BIGINT AS cluster_inertia, sum(m.distance) OVER ()::BIGINT AS inertia,
+            sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = m.cluster"""
+
 ORACLE_SQL: dict[str, str] = {
     # Exact counterparts; cosines of 64 float components, as in the operator, in double precision.
     "op7_embedding_dedup": """
@@ -126,4 +190,40 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(component_id, d.doc_id) AS component_id,
             coalesce(component_id, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
     """,
+    # Failure masks by document, then every order of the letters, each step counted on its own.
+    "op11_filter_audit": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), marked AS (
+            SELECT d.*, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+                coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d
+        ), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+        cells AS (
+            SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n,
+                count(good.doc_id) AS good, count(toxic.doc_id) AS toxic
+            FROM marked LEFT JOIN good ON good.doc_id = marked.doc_id LEFT JOIN toxic ON toxic.doc_id = marked.doc_id GROUP BY ALL
+        ), letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders(filter_order, applied, befores, bits) AS (
+            SELECT '', 0, [0][1:0], [0][1:0] UNION ALL
+            SELECT filter_order || letter, applied + bit, list_append(befores, applied), list_append(bits, bit)
+            FROM orders, letters WHERE applied & bit = 0
+        ), steps AS (
+            SELECT filter_order, unnest(range(1, 6)) AS step, unnest(befores) AS before, unnest(bits) AS bit FROM orders WHERE applied = 31
+        ), counted AS (
+            SELECT part, filter_order, step, bit,
+                sum(CASE WHEN mask & (before + bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM cells, steps GROUP BY part, filter_order, step, bit
+        )
+        SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM counted
+    """,
+    # Every vector against every centroid, in whole numbers, round by round.
+    "op13_clustering": _clustering_sql(),
 }
