@@ -6,10 +6,10 @@ from millrace.operators.chunking import structure_chunk_documents, window_chunks
 from millrace.operators.graph import parse_triplets
 from millrace.plans import graph_queries as GQ
 from millrace.plans.registry import query, table
-from millrace.plans.text_queries import SQL_CLEAN
+from millrace.plans.text_queries import SQL_CLEAN, SQL_WORDS
 from millrace.sources import files, tables
 from millrace.sources.scratch import shared_dir
-from millrace.streaming import streams
+from millrace.streaming import documents as D
 
 SQL_HTML = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
 for _name in files.EXCLUDED:
@@ -286,15 +286,42 @@ def a4(spark, d):
     )
 
 
+def arrivals(spark, parts):
+    """The folder of a stream that has taken in the given batches, one after another."""
+    folder = shared_dir(spark, "stream")
+    for rows in parts:
+        rows.select("doc_id", "text").write.mode("append").parquet(f"{folder}/in")  # a stream reads a folder
+        D.stream_new_documents(
+            spark, f"{folder}/in", "doc_id long, text string", f"{folder}/registry", f"{folder}/chunks", f"{folder}/checkpoint", structure_chunk_documents
+        ).awaitTermination()
+    return folder
+
+
 @query(
     "i1_stream_new_documents",
     "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text",
 )
 def i1(spark, d):
-    folder = shared_dir(spark, "stream")
-    table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{folder}/in")  # a stream reads a folder
-    registry = f"{folder}/registry"
-    streams.stream_new_documents(
-        spark, f"{folder}/in", "doc_id long, text string", registry, f"{folder}/chunks", f"{folder}/checkpoint", structure_chunk_documents
-    ).awaitTermination()
-    return spark.read.parquet(registry).select("doc_id", "content_hash")
+    folder = arrivals(spark, [table(spark, d, "documents")])
+    return D.current_contents(spark, f"{folder}/registry").select("doc_id", "content_hash")
+
+
+@query(
+    "i1_stream_changed_documents",
+    f"""
+    WITH now AS (SELECT doc_id, CASE WHEN toxic = 1 THEN NULL WHEN quality = 0 THEN concat(text, ' (revised)') ELSE text END AS text
+        FROM documents LEFT JOIN labels USING (doc_id)),
+    held AS (SELECT text, min(doc_id) AS doc_id, count(*) AS holders FROM now WHERE text IS NOT NULL GROUP BY 1)
+    SELECT doc_id, sha256(text) AS content_hash, holders, sum(len({SQL_WORDS.format("text")}))::BIGINT AS words FROM held GROUP BY ALL
+    """,
+)
+def i1_changed(spark, d):
+    """All documents; then poor ones come again with another text and toxic ones are withdrawn. What retrieval may read."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    again = docs.join(table(spark, d, "labels"), "doc_id").where("quality = 0 OR toxic = 1")
+    text = F.when(F.col("toxic") == 1, F.lit(None)).otherwise(F.concat("text", F.lit(" (revised)")))
+    folder = arrivals(spark, [docs, again.select("doc_id", text.alias("text"))])
+    contents = D.current_contents(spark, f"{folder}/registry")
+    chunks = D.current_chunks(spark, f"{folder}/registry", f"{folder}/chunks")
+    words = chunks.groupBy("content_hash").agg(F.sum("word_count").alias("words"))
+    return contents.join(words, "content_hash").select("doc_id", "content_hash", "holders", "words")

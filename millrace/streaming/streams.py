@@ -1,47 +1,14 @@
-"""Structured Streaming forms: new documents, the query log, and answer events."""
+"""Structured Streaming forms of the query log and of answer events."""
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def stream_new_documents(
-    spark: SparkSession, folder: str, schema: str, registry: str, chunks: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame]
-) -> StreamingQuery:
-    """Register documents that arrive as Parquet files, unless their content is known, and append their chunks.
-
-    Every micro-batch is deduplicated by content hash against the registry and within itself. A batch that is
-    replayed after a failure first removes what it wrote under its number, so each document counts once.
-    """
-    arriving = spark.readStream.schema(schema).parquet(folder)
-
-    def append(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        hashed = batch.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
-        first = hashed.groupBy("content_hash").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d"))
-        try:
-            known = session.read.schema("content_hash string, doc_id long, batch long").parquet(registry).where(F.col("batch") != number)
-        except Exception as missing:  # the first batch finds no registry
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            known = None
-        fresh = first if known is None else first.join(known.select("content_hash"), "content_hash", "left_anti")
-        rows = fresh.select("content_hash", "d.doc_id", "d.text").withColumn("batch", F.lit(number).cast("long"))
-        rows = rows.persist()
-        pieces = chunk(rows.select("doc_id", "text")).withColumn("batch", F.lit(number).cast("long"))
-        for table, path in ((pieces, chunks), (rows.select("content_hash", "doc_id", "batch"), registry)):
-            # Replaces this batch's own partition only.
-            table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-        rows.unpersist()
-
-    return arriving.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def log_windows(log: DataFrame, minutes: int = 10, late: str = "1 hour") -> DataFrame:
     """Count and mean latency of the query log per event-time window; the same for a batch and a stream.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.chunking import window_chunks
 from millrace.sources import files
-from millrace.streaming import streams
+from millrace.streaming import documents, streams
 from tests.conftest import SF
 
 
@@ -49,16 +49,17 @@ def test_stream_of_documents_equals_batch(spark, tmp_path):
     docs.where("doc_id % 2 = 0").write.parquet(inbox)
 
     def run():
-        streams.stream_new_documents(spark, inbox, "doc_id long, text string", registry, chunks, checkpoint, window_chunks).awaitTermination()
+        documents.stream_new_documents(spark, inbox, "doc_id long, text string", registry, chunks, checkpoint, window_chunks).awaitTermination()
 
     run()
     docs.where("doc_id % 2 = 1").unionByName(docs.where("doc_id % 2 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000)).write.mode("append").parquet(inbox)
     run()
     run()  # nothing new
-    got = spark.read.parquet(registry)
+    got = documents.current_contents(spark, registry)
     want = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256)).count().count()
     assert got.count() == got.select("content_hash").distinct().count() == want
-    assert spark.read.parquet(chunks).count() == window_chunks(docs.join(got.select("doc_id"), "doc_id", "left_semi")).count()
+    assert documents.current_documents(spark, registry).count() == docs.count() + docs.where("doc_id % 2 = 0").count()
+    assert documents.current_chunks(spark, registry, chunks).count() == window_chunks(docs.join(got.select("doc_id"), "doc_id", "left_semi")).count()
 
 
 def test_log_stream_equals_batch(spark, tmp_path):
