@@ -1,15 +1,9 @@
 """Chunking: word windows, sentence groups, and structure-aware chunks of numbered regulations."""
 
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice, pairwise
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from millrace.functions.arrays import sums_before
+from millrace.functions.arrays import chain, falling_powers, first_from, furthest, greedy_starts, let, sums_before
 from millrace.functions.text import clean_amendments, clean_text, clean_title, is_repealed, strip, word_count, words
 from millrace.sources.scratch import written
 
@@ -73,28 +67,22 @@ def sub_chunks(chunks: DataFrame, size: int = 120, overlap: int = 30, least: int
 def pack_greedy(parts: Column, size_of, budget: Column, joiner: str) -> Column:
     """Ordered greedy packing of an array of strings: a group closes when the next part would exceed the budget.
 
-    A part over the budget stays whole. Returns an array of joined groups.
+    A part over the budget stays whole. Returns an array of joined groups. Where groups begin is found from the sizes
+    alone; the texts of a group are joined once.
     """
-    start = F.struct(
-        F.from_json(F.lit("[]"), "array<string>").alias("done"),
-        F.from_json(F.lit("[]"), "array<string>").alias("cur"),
-        F.lit(0).cast("long").alias("n"),
-    )
 
-    def add(state: Column, part: Column) -> Column:
-        size = size_of(part).cast("long")
-        full = (state["n"] + size > budget) & (F.size(state["cur"]) > 0)
-        done = F.when(full, F.array_append(state["done"], F.array_join(state["cur"], joiner))).otherwise(state["done"])
-        cur = F.when(full, F.array(part)).otherwise(F.array_append(state["cur"], part))
-        n = F.when(full, size).otherwise(state["n"] + size)
-        return F.struct(done.alias("done"), cur.alias("cur"), n.alias("n"))
-
-    def end(state: Column) -> Column:
-        return F.when(F.size(state["cur"]) > 0, F.array_append(state["done"], F.array_join(state["cur"], joiner))).otherwise(
-            state["done"]
+    def join(x: Column) -> Column:
+        last = F.size(x["parts"])
+        return F.transform(
+            x["starts"],
+            lambda s, g: F.array_join(F.slice(x["parts"], s + 1, F.coalesce(F.get(x["starts"], g + 1), last) - s), joiner),
         )
 
-    return F.aggregate(parts, start, add, end)
+    def grouped(p: Column) -> Column:
+        sizes = F.transform(p, lambda t: size_of(t).cast("int"))
+        return let(F.struct(p.alias("parts"), greedy_starts(sizes, budget.cast("int")).alias("starts")), join)
+
+    return let(parts, lambda p: F.when(p.isNotNull(), grouped(p)))
 
 
 def pack_sentences(docs: DataFrame, most: int = 350) -> DataFrame:
@@ -201,59 +189,72 @@ def chapter_as_of(sections: DataFrame, found: DataFrame) -> DataFrame:
     return rows.where("_section = 1").drop("_pos", "_section")
 
 
-MERGED = (
-    "doc_id long, index long, section_number string, section_title string, content string, word_count long, level long, "
-    "char_start long, is_merged boolean, merged_sections array<string>"
-)
+def merged_groups(sections: Column, most: int, threshold: int) -> Column:
+    """``array<struct<first, n>>``: the groups that small neighbouring sections of a document form, by place and number.
+
+    ``sections`` are structs in order with ``section_number``, ``word_count`` and ``repealed``. Repealed sections and small
+    ones that only head the next one are dropped and part groups. A section joins the open group if the group has under
+    ``threshold`` words, or if the section has and both fit into ``most``. So a group that begins at i ends before the first
+    dropped place, or before the first place from which on it has ``threshold`` words where a section is large or does not
+    fit: places that sums of words and searches in them give, without a fold over the sections.
+    """
+    dropped = F.transform(
+        sections,
+        lambda x, i: x["repealed"] | (is_parent(x["section_number"], F.get(sections, i + 1)["section_number"]) & (x["word_count"] < threshold)),
+    )
+    sizes = F.transform(sections, lambda x: x["word_count"].cast("int"))
+    n = F.size(sections)
+    facts = F.struct(
+        dropped.alias("dropped"),
+        first_from(dropped, n).alias("gap"),
+        first_from(F.transform(sizes, lambda w: w >= threshold), n).alias("large"),
+        sums_before(F.concat(sizes, F.array(F.lit(0)))).alias("sums"),
+        falling_powers(n + 1).alias("powers"),
+    )
 
+    def following(x: Column) -> Column:
+        def end(i: Column) -> Column:
+            words = F.get(x["sums"], i)
+            filled = F.least(n, furthest(x["sums"], i, words + (threshold - 1), x["powers"]) + 1)
+            over = F.greatest(filled, furthest(x["sums"], i, words + most, x["powers"]))
+            stop = F.least(F.get(x["gap"], i + 1), F.get(x["large"], filled), over)
+            return F.when(F.get(x["dropped"], i), i + 1).otherwise(stop)
 
-def merge_sections(rows: Iterable[dict], most: int, threshold: int) -> Iterator[dict]:
-    """Sections in order, one document after another, with small neighbours joined and empty headers and repealed ones gone.
+        return F.transform(x["dropped"], lambda _, i: end(i))
 
-    A section joins the open group if the group has under ``threshold`` words, or if the section has and both fit into
-    ``most``; a dropped section closes the group. A group takes the number, title, level and start of its first member
-    and joins the contents by a blank line.
-    """
+    def groups(x: Column) -> Column:
+        def cut(f: Column) -> Column:
+            starts = F.filter(chain(f), lambda p: ~F.get(x["dropped"], p))
+            return F.transform(starts, lambda p: F.struct(p.alias("first"), (F.get(f, p) - p).alias("n")))
 
-    def closed(group: list[dict]) -> dict:
-        out = {k: v for k, v in group[0].items() if k != "repealed"} | {"is_merged": len(group) > 1, "merged_sections": []}
-        if len(group) > 1:
-            text = "\n\n".join(g["content"] for g in group)
-            out |= {"merged_sections": [g["section_number"] for g in group], "content": text, "word_count": len(text.split())}
-        return out
-
-    group, total = [], 0
-    for row, following in pairwise(chain(rows, [None])):
-        document, number, size = row.get("doc_id"), row["section_number"], row["word_count"]
-        beneath = following is not None and following.get("doc_id") == document
-        beneath = beneath and following["section_number"].startswith((f"{number}.", f"{number}-"))
-        dropped = row["repealed"] or (beneath and size < threshold)
-        joins = total < threshold or (size < threshold and total + size <= most)
-        if group and (dropped or document != group[0].get("doc_id") or not joins):
-            yield closed(group)
-            group, total = [], 0
-        if not dropped:
-            group.append(row)
-            total += size
-    if group:
-        yield closed(group)
+        return let(following(x), cut)
+
+    return let(facts, groups)
 
 
 def merge_small_sections(sections: DataFrame, most: int = 350, threshold: int = 75) -> DataFrame:
-    """:func:`merge_sections` over every document.
+    """Sections with small neighbours joined, and empty headers and repealed ones gone; see :func:`merged_groups`.
 
-    Documents are dealt to partitions and stream through in order, so a task holds a batch and a group.
+    A group takes the number, title, level and start of its first member and joins the contents by a blank line. A
+    document's sections meet in one row, as the document was before it was cut; texts are joined once for each group.
     """
-    rows = sections.withColumn("repealed", is_repealed(F.col("content"))).repartition("doc_id")
-    names = [c.split()[0] for c in MERGED.split(", ")]
-    schema = to_arrow_schema(StructType.fromDDL(MERGED))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = merge_sections((row for batch in batches for row in batch.to_pylist()), most, threshold)
-        while part := list(islice(merged, 1000)):
-            yield pa.RecordBatch.from_pylist(part, schema)
-
-    return rows.select(*names[:8], "repealed").sortWithinPartitions("doc_id", "index").mapInArrow(merge, MERGED)
+    names = ["index", "section_number", "section_title", "content", "word_count", "level", "char_start"]
+    rows = sections.withColumn("repealed", is_repealed(F.col("content")))
+    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*names, "repealed"))).alias("s"))
+    rows = rows.select("doc_id", "s", F.explode(merged_groups(F.col("s"), most, threshold)).alias("g"))
+    rows = rows.select("doc_id", F.slice("s", F.col("g.first") + 1, F.col("g.n")).alias("m"))
+    merged = F.size("m") > 1
+    rows = rows.withColumn("text", F.array_join("m.content", "\n\n"))
+    first = F.get("m", F.lit(0))
+    return rows.select(
+        "doc_id",
+        *[first[c].alias(c) for c in names[:3]],
+        F.col("text").alias("content"),
+        F.when(merged, word_count(F.col("text"))).otherwise(first["word_count"]).alias("word_count"),
+        *[first[c].alias(c) for c in names[5:]],
+        merged.alias("is_merged"),
+        F.when(merged, F.col("m.section_number")).otherwise(F.array().cast("array<string>")).alias("merged_sections"),
+    )
 
 
 def short_title(title: Column, most: int = 60) -> Column:

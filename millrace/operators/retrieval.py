@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import tokens, truncate_preview, word_count, words
 from millrace.operators.chunking import sub_chunks
-from millrace.sources.scratch import written
+from millrace.sources.scratch import importable_on_workers, written
 
 K1, B = 1.2, 0.75
 
@@ -30,6 +30,7 @@ def dense_topk(
     Scores are rounded to 6 decimals and ties go to the smaller id. Null or zero vectors match nothing.
     """
     spark = queries.sparkSession
+    importable_on_workers(spark)
     sound = F.exists("embedding", lambda x: x != 0)
     asked = queries.where(sound).select(F.col(query_id).alias("q"), F.col("embedding").cast("array<double>").alias("v"))
     n = asked.count()
@@ -52,7 +53,7 @@ def dense_topk(
             for batch in batches:
                 if batch.num_rows:
                     own = batch.column(0).to_numpy()
-                    best, at = _nearest(table, batch.column(1), own, k)
+                    best, at = nearest(table, batch.column(1), own, k)
                     columns = [np.repeat(ids, best.shape[1]), own[at].ravel(), best.ravel()]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "id", "score"])
 
@@ -66,7 +67,7 @@ def dense_topk(
     return best.select(F.col("query").alias(query_id), F.col("id").alias(vec_id), "rank", "score")
 
 
-def _nearest(table: np.ndarray, vectors: pa.Array, ids: np.ndarray, k: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def nearest(table: np.ndarray, vectors: pa.Array, ids: np.ndarray, k: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Scores and row numbers of the ``k`` best of a batch's vectors for each query, ties to the smaller id.
 
     The batch is taken in slices of ``rows``, so a product is no larger than the block of queries by that. Scores in

@@ -8,7 +8,7 @@ from millrace.operators import chunking as C
 from millrace.plans.ingest_queries import SQL_HTML, sql_windows
 from millrace.plans.registry import query, table
 from millrace.plans.text_queries import SQL_WORDS
-from millrace.sources.scratch import written
+from millrace.sources.scratch import spread, written
 from millrace.sources.files import html_to_text
 
 # Documents with generated chapters, headings and paragraph markers: every line that is not blank gets a heading or marker by
@@ -44,7 +44,7 @@ def numbered_documents(spark, d):
 
     docs = table(spark, d, "documents").where(F.size(lines) > 0)
     text = F.concat(F.lit("BİRİNCİ BÖLÜM\n"), F.array_join(F.transform(lines, mark), "\n"), F.lit("\n"))
-    return written(docs.select("doc_id", text.alias("text")), "numbered")  # made once, read by several operators
+    return written(spread(docs.select("doc_id", "text")).select("doc_id", text.alias("text")), "numbered")  # made once, read by several operators
 
 
 @query("c1_window_chunks", sql_windows("documents"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from millrace.functions.text import cache_key
 from millrace.operators import conversations as V
 from millrace.plans.registry import query, table
-from millrace.streaming.streams import log_windows, rollup_stream_events
+from millrace.sources.scratch import shared_dir
+from millrace.streaming.streams import ANSWER, log_windows, rollup_stream_events, stream_answers
 
 # Conversations belong to user conv_id % 7. Feedback comes from events: message (conv_id, turn) by the event's number.
 CONV_SQL = "convs AS (SELECT DISTINCT conv_id, conv_id % 7 AS user_id, concat('talk ', conv_id) AS title FROM conversations)"
@@ -40,10 +41,10 @@ def feedback(spark, d):
 
 @query(
     "g1_conversation_list",
-    f"WITH {CONV_SQL} SELECT c.conv_id, user_id, title, count(m.turn) AS message_count, max_by(m.text, m.turn) AS last_message FROM convs c LEFT JOIN (SELECT * FROM conversations WHERE role <> 'system' AND conv_id % 9 > 0) m USING (conv_id) GROUP BY ALL",
+    f"WITH {CONV_SQL} SELECT c.conv_id, user_id, title, count(m.turn) AS message_count, max_by(m.text, m.turn) AS last_message FROM convs c LEFT JOIN conversations m USING (conv_id) GROUP BY ALL",
 )
 def g1(spark, d):
-    return V.conversation_list(convs(spark, d), messages(spark, d).where("role <> 'system' AND conv_id % 9 > 0"))
+    return V.conversation_list(convs(spark, d), messages(spark, d))
 
 
 @query(
@@ -54,10 +55,10 @@ def g2(spark, d):
     return V.recent_messages(messages(spark, d))
 
 
-@query("g3_owned_conversation", f"WITH {CONV_SQL} SELECT * FROM convs WHERE conv_id % 3 = 0 AND user_id = conv_id % 2")
+@query("g3_owned_conversation", f"WITH {CONV_SQL} SELECT * FROM convs WHERE user_id = conv_id % 2")
 def g3(spark, d):
     rows = convs(spark, d)
-    asked = rows.where("conv_id % 3 = 0").select("conv_id", (F.col("conv_id") % 2).alias("user_id"))
+    asked = rows.select("conv_id", (F.col("conv_id") % 2).alias("user_id"))
     return V.owned_conversation(rows, asked).select("conv_id", "user_id", "title")
 
 
@@ -265,3 +266,43 @@ def i3(spark, d):
         request.alias("request_id"), number.alias("seq"), "ts", mapped.alias("type"), F.concat(F.lit("t"), (number % 100).cast("string"), F.lit(" ")).alias("data")
     )
     return rollup_stream_events(events)
+
+
+@query(
+    "i3_stream_answers",
+    """
+    WITH s AS (SELECT concat('u', user_id, '-', dayofyear(ts)) AS request_id, event_id AS seq, ts, concat('t', event_id % 100, ' ') AS data,
+            CASE WHEN user_id % 5 > 0 AND event_id = max(event_id) OVER (PARTITION BY user_id, dayofyear(ts)) THEN 'done'
+            ELSE CASE event_type WHEN 'click' THEN 'chunk' WHEN 'view' THEN 'chunk' WHEN 'signup' THEN 'metadata' WHEN 'purchase' THEN 'citations' ELSE 'confidence' END END AS type FROM events)
+    SELECT request_id, coalesce(string_agg(data, '' ORDER BY seq) FILTER (WHERE type = 'chunk'), '') AS answer, min_by(data, seq) FILTER (WHERE type = 'metadata') AS metadata, min_by(data, seq) FILTER (WHERE type = 'confidence') AS confidence,
+        max_by(data, seq) FILTER (WHERE type = 'citations') AS citations, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS total_ms, count(*) FILTER (WHERE type = 'chunk') AS tokens,
+        CASE WHEN bool_or(type = 'done') THEN 'done' ELSE 'open' END AS status, 0::BIGINT AS late FROM s GROUP BY 1
+    """,
+)
+def i3_stream(spark, d):
+    """The stream of answer events: a request's last event ends it, but for those of every fifth user, which time out.
+
+    Events arrive in two halves by day; one event a year later moves the watermark past all others.
+    """
+    rows = table(spark, d, "events").withColumn("day", F.dayofyear("ts"))
+    last = rows.groupBy("user_id", "day").agg(F.max("event_id").alias("event_id")).where("user_id % 5 > 0").withColumn("last", F.lit(True))
+    kind = F.col("event_type")
+    kinds = F.when(kind.isin("click", "view"), "chunk").when(kind == "signup", "metadata").when(kind == "purchase", "citations").otherwise("confidence")
+    events = rows.join(last, ["user_id", "day", "event_id"], "left").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.col("day").cast("string")).alias("request_id"),
+        F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("last"), "done").otherwise(kinds).alias("type"),
+        F.concat(F.lit("t"), (F.col("event_id") % 100).cast("string"), F.lit(" ")).alias("data"),
+        "day",
+    )
+    middle = rows.agg(F.percentile_approx("day", 0.5)).first()[0] or 0
+    end = rows.agg(F.max("ts").cast("timestamp").alias("ts")).where("ts IS NOT NULL")
+    end = end.select(F.lit("end").alias("request_id"), F.lit(0).cast("long").alias("seq"), (F.col("ts") + F.expr("INTERVAL 366 DAYS")).alias("ts"), F.lit("done").alias("type"), F.lit("").alias("data"))
+    folder = shared_dir(spark, "answers")
+    for part in (events.where(F.col("day") <= middle), events.where(F.col("day") > middle), end):
+        part.select("request_id", "seq", "ts", "type", "data").write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema("request_id string, seq long, ts timestamp, type string, data string").parquet(f"{folder}/in")
+        sink = stream_answers(arriving).writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        sink.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.schema(ANSWER).parquet(f"{folder}/out").where("request_id <> 'end'")

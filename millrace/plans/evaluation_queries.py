@@ -28,25 +28,24 @@ def _with_relevant(spark, d):
     return RQ.questions(spark, d).withColumn("relevant", F.col("query_id"))
 
 
-def ranks(spark, d, stage, hits=None, rows=None):
+def ranks(spark, d, stage, hits=None):
     """The rank of each question's document among the chunks that words found (1) or the reranked parents (2)."""
     if stage == 1:
         hits = RQ.bm25(spark, d) if hits is None else hits
         ranked = hits.select("query_id", F.col("chunk_id.doc_id").alias("item"), "rank")
     else:
-        ranked = E.dedupe_ranked_parents(parents(spark, d, hits, rows), "item")
+        ranked = E.dedupe_ranked_parents(parents(spark, d, hits), "item")
     return E.find_rank(_with_relevant(spark, d), ranked)
 
 
-def parents(spark, d, hits=None, rows=None):
-    return RQ.ranked(spark, d, hits, rows).select("query_id", F.col("parent_chunk_id.doc_id").alias("item"), "rank")
+def parents(spark, d, hits=None):
+    return RQ.ranked(spark, d, hits).select("query_id", F.col("parent_chunk_id.doc_id").alias("item"), "rank")
 
 
 def both_stages(spark, d):
-    """Average metrics of both stages over one chunk table and one search."""
-    rows = written(RQ.chunks(spark, d), "chunks")
-    hits = written(RQ.bm25(spark, d, rows), "hits")
-    return [E.average_metrics(E.ir_metrics(ranks(spark, d, stage, hits, rows))) for stage in (1, 2)]
+    """Average metrics of both stages over one search."""
+    hits = written(RQ.bm25(spark, d), "hits")
+    return [E.average_metrics(E.ir_metrics(ranks(spark, d, stage, hits))) for stage in (1, 2)]
 
 
 @query("f1_hit_at_k", f"{RANKS_SQL} SELECT query_id, rank, (rank BETWEEN 1 AND 5)::INT::DOUBLE AS hit5 FROM r1")
@@ -59,34 +58,18 @@ def f2(spark, d):
     return ranks(spark, d, 1).select("query_id", E.reciprocal_rank(F.col("rank")).alias("rr"))
 
 
-@query(
-    "f3_average_precision",
-    f"""
-    WITH {RQ.DENSE_SQL}, wanted AS (SELECT q.vec_id AS query_id, v.vec_id AS item FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0 AND v.vec_id % 3 = 0),
-    hits AS (SELECT d.query_id, row_number() OVER (PARTITION BY d.query_id ORDER BY rank)::DOUBLE / rank AS p FROM dense d JOIN wanted w ON w.query_id = d.query_id AND w.item = d.vec_id),
-    s AS (SELECT query_id, sum(p) AS s FROM hits GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM wanted GROUP BY 1)
-    SELECT n.query_id, round(coalesce(s, 0) / n, 9) AS ap FROM n LEFT JOIN s USING (query_id)
-    """,
-)
-def f3(spark, d):
-    vectors = table(spark, d, "embeddings").select("vec_id", "label")
-    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    wanted = vectors.where("vec_id % 3 = 0").join(asked, "label").select("query_id", F.col("vec_id").alias("item"))
-    found = E.average_precision(wanted, RQ.dense(spark, d).withColumnRenamed("vec_id", "item"))
-    return found.withColumn("ap", F.round("ap", 9))
-
-
-@query(
-    "f3_average_precision_all",
-    f"""
+_AVERAGE_PRECISION = f"""
     WITH {RQ.DENSE_SQL}, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
     hits AS (SELECT d.query_id, row_number() OVER (PARTITION BY d.query_id ORDER BY rank)::DOUBLE / rank AS p
         FROM dense d JOIN embeddings q ON q.vec_id = d.query_id JOIN embeddings v ON v.vec_id = d.vec_id WHERE q.label = v.label),
     s AS (SELECT query_id, sum(p) AS s FROM hits GROUP BY 1)
     SELECT vec_id AS query_id, round(coalesce(s, 0) / n, 9) AS ap FROM embeddings JOIN n USING (label) LEFT JOIN s ON query_id = vec_id WHERE vec_id % 50 = 0
-    """,
-)
-def f3_all(spark, d):
+    """
+
+
+@query("f3_average_precision", _AVERAGE_PRECISION)
+@query("f3_average_precision_all", _AVERAGE_PRECISION)
+def f3(spark, d):
     """All vectors of a query's label are relevant: counted by label, and the label compared on retrieved rows only."""
     vectors = table(spark, d, "embeddings").select("vec_id", "label")
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")

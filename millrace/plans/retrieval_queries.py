@@ -4,17 +4,18 @@ Questions are cut from every document whose id is divisible by 50: the first eig
 whole text where there is one line only). The document is the relevant one.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import citation_markers, words
+from millrace.operators import cells as C
 from millrace.operators import graph as G
+from millrace.operators import postings as P
 from millrace.operators import retrieval as R
-from millrace.operators.chunking import window_chunks
 from millrace.plans import graph_queries as GQ
 from millrace.plans.chunk_queries import sql_sub_chunks
 from millrace.plans.ingest_queries import sql_windows
 from millrace.plans.registry import query, table
+from millrace.plans.stored import dense_cells, lexical_index, stored_chunks
 from millrace.plans.text_queries import SQL_WORDS
 from millrace.sources.scratch import written
 
@@ -79,21 +80,13 @@ def questions(spark, d):
     return docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(words(line), 1, 8), " ").alias("question"))
 
 
-def chunks(spark, d):
-    """All chunks, whose id is the document's and the chunk's number."""
-    rows = window_chunks(table(spark, d, "documents"))
-    return rows.select(F.struct("doc_id", "chunk_order").alias("chunk_id"), *rows.columns)
-
-
 def dense(spark, d):
     vectors = table(spark, d, "embeddings")
     return R.dense_topk(vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), vectors, 20)
 
 
-def bm25(spark, d, rows=None):
-    asked = questions(spark, d)
-    index = R.bm25_index(chunks(spark, d) if rows is None else rows, terms=R.question_terms(asked).select("term"))
-    return R.bm25_topk(asked, index, 20)
+def bm25(spark, d):
+    return P.stored_topk(questions(spark, d), lexical_index(spark, d), 20)
 
 
 def found_chunks(hits):
@@ -108,13 +101,9 @@ def fused(spark, d, best=None):
     return R.rrf_fuse([lexical, dense(spark, d).withColumnRenamed("vec_id", "doc_id")], 10, item="doc_id")
 
 
-def hydrated(spark, d, hits=None, rows=None):
-    """Hits with the best chunk of each document that BM25 found; ``by_words`` is false where chunk 0 stands in.
-
-    The chunk table is written once and read by the index and by the join with the hits.
-    """
-    rows = written(chunks(spark, d), "chunks") if rows is None else rows
-    best = found_chunks(bm25(spark, d, rows) if hits is None else hits)
+def hydrated(spark, d, hits=None):
+    """Hits with the best chunk of each document that BM25 found; ``by_words`` is false where chunk 0 stands in."""
+    best = found_chunks(bm25(spark, d) if hits is None else hits)
     found = fused(spark, d, best).join(best.select("query_id", "doc_id", "o"), ["query_id", "doc_id"], "left").select(
         "query_id",
         "rank",
@@ -123,15 +112,15 @@ def hydrated(spark, d, hits=None, rows=None):
         F.col("o").isNotNull().alias("by_words"),
     )
     documents = table(spark, d, "documents").select("doc_id", "source")
-    return R.hydrate(found, rows.select("chunk_id", "doc_id", "chunk_order", "chunk_text"), documents)
+    return R.hydrate(found, stored_chunks(spark, d).select("chunk_id", "doc_id", "chunk_order", "chunk_text"), documents)
 
 
 def scored(spark, d):
     return R.score_sub_chunks(hydrated(spark, d), questions(spark, d))
 
 
-def ranked(spark, d, hits=None, rows=None):
-    return R.rerank_sub_chunks(hydrated(spark, d, hits, rows), questions(spark, d), threshold=0.25)
+def ranked(spark, d, hits=None):
+    return R.rerank_sub_chunks(hydrated(spark, d, hits), questions(spark, d), threshold=0.25)
 
 
 def gate(spark, d):
@@ -143,6 +132,15 @@ def d1(spark, d):
     return dense(spark, d)
 
 
+@query("d1_cells_recall")
+def d1_cells(spark, d):
+    """The search by cells held against the exact one: recall, and the cells that its queries read."""
+    asked, read = table(spark, d, "embeddings").where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), []
+    found = C.cells_topk(asked, dense_cells(spark, d), 20, report=read)
+    out = C.recall(found, dense(spark, d)).withColumn("cells_read", F.lit(sum(n for n, _ in read)))
+    return out.withColumn("cells", F.lit(sum(n for _, n in read)))
+
+
 @query("d2_bm25_topk", f"WITH {QUESTIONS_SQL}, {CHUNKS_SQL}, {BM25_SQL} SELECT query_id, chunk_id.d AS doc_id, chunk_id.o AS chunk_order, rank, score FROM bm25")
 def d2(spark, d):
     return bm25(spark, d).select("query_id", "chunk_id.*", "rank", "score")
@@ -190,36 +188,20 @@ def d6(spark, d):
 @query("d7_document_chunks", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_order, word_count FROM chunks WHERE doc_id % 50 = 0")
 def d7(spark, d):
     chosen = table(spark, d, "documents").where("doc_id % 50 = 0")
-    return R.document_chunks(chunks(spark, d), chosen).select("doc_id", "chunk_order", "word_count")
+    return R.document_chunks(stored_chunks(spark, d), chosen).select("doc_id", "chunk_order", "word_count")
 
 
-@query(
-    "d8_context_window",
-    f"""
+_CONTEXT_WINDOW = f"""
     WITH {CHUNKS_SQL} SELECT h.doc_id, h.chunk_order AS hit_order, c.chunk_order, c.word_count FROM chunks h JOIN chunks c
-        ON h.doc_id = c.doc_id AND c.chunk_order BETWEEN h.chunk_order - 1 AND h.chunk_order + 1 WHERE h.doc_id % 50 = 0
-    """,
-)
-def d8(spark, d):
-    rows = written(chunks(spark, d).select("doc_id", "chunk_order", "word_count"), "chunks")
-    out = R.context_window(rows.where("doc_id % 50 = 0"), rows)
-    return out.select("doc_id", "hit_order", "chunk_order", "word_count")
+        ON h.doc_id = c.doc_id AND c.chunk_order BETWEEN h.chunk_order - 1 AND h.chunk_order + 1
+    """
 
 
-@query(
-    "d8_context_window_all",
-    f"""
-    WITH {CHUNKS_SQL} SELECT h.doc_id, h.chunk_order AS hit_order, c.chunk_order, c.word_count FROM chunks h JOIN chunks c
-        ON h.doc_id = c.doc_id AND c.chunk_order BETWEEN h.chunk_order - 1 AND h.chunk_order + 1
-    """,
-)
-def d8_all(spark, d):
-    rows = window_chunks(table(spark, d, "documents")).select("doc_id", "chunk_order", "word_count")
-    place = Window.partitionBy("doc_id").orderBy("chunk_order")
-    own = F.struct("chunk_order", "word_count")
-    near = F.array_compact(F.array(F.lag(own).over(place), own, F.lead(own).over(place)))
-    out = rows.select("doc_id", F.col("chunk_order").alias("hit_order"), near.alias("near"))
-    return out.select("doc_id", "hit_order", F.explode("near").alias("c")).select("doc_id", "hit_order", "c.*")
+@query("d8_context_window", _CONTEXT_WINDOW)
+@query("d8_context_window_all", _CONTEXT_WINDOW)
+def d8(spark, d):
+    rows = stored_chunks(spark, d).select("doc_id", "chunk_order", "word_count")
+    return R.context_window(rows, rows).select("doc_id", "hit_order", "chunk_order", "word_count")
 
 
 @query(

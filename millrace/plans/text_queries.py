@@ -101,38 +101,17 @@ def b9(spark, d):
     return table(spark, d, "documents").select("doc_id", *previews, F.round(F.col("n_chars") / 7.0, 4).alias("score"))
 
 
-@query(
-    "b10_citation_markers",
-    r"""
-    WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text[1:50] ELSE
-        concat(text[1:50], ' [', doc_id % 5, '][', doc_id % 7, '] [N] [12]') END AS answer FROM documents)
-    SELECT doc_id, array_to_string(regexp_extract_all(answer, '\[([0-9]+)\]', 1), ',') AS markers,
-        len(regexp_extract_all(answer, '\[([0-9]+)\]', 1)) > 0 AS has_markers FROM a
-    """,
-)
-def b10(spark, d):
-    five, seven = (F.col("doc_id") % 5).cast("string"), (F.col("doc_id") % 7).cast("string")
-    start = F.substring("text", 1, 50)
-    marked = F.concat(start, F.lit(" ["), five, F.lit("]["), seven, F.lit("] [N] [12]"))
-    answer = F.when(F.col("doc_id") % 3 == 0, start).otherwise(marked)
-    markers = T.citation_markers(answer)
-    return table(spark, d, "documents").select(
-        "doc_id",
-        F.array_join(markers.cast("array<string>"), ",").alias("markers"),
-        (F.size(markers) > 0).alias("has_markers"),
-    )
-
-
-@query(
-    "b10_citation_markers_whole",
-    r"""
+_MARKERS = r"""
     WITH a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE
         concat(text, ' [', doc_id % 5, '][', doc_id % 7, '] [N] [12]') END AS answer FROM documents)
     SELECT doc_id, array_to_string(regexp_extract_all(answer, '\[([0-9]+)\]', 1), ',') AS markers,
         len(regexp_extract_all(answer, '\[([0-9]+)\]', 1)) > 0 AS has_markers FROM a
-    """,
-)
-def b10_whole(spark, d):
+    """
+
+
+@query("b10_citation_markers", _MARKERS)
+@query("b10_citation_markers_whole", _MARKERS)
+def b10(spark, d):
     five, seven = (F.col("doc_id") % 5).cast("string"), (F.col("doc_id") % 7).cast("string")
     marked = F.concat(F.col("text"), F.lit(" ["), five, F.lit("]["), seven, F.lit("] [N] [12]"))
     markers = T.citation_markers(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(marked))

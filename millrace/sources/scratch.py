@@ -1,11 +1,23 @@
-"""Tables written in the folder that the driver and all executors share, to cut lineage."""
+"""Tables written in the folder that the driver and all executors share, to cut lineage; the workers' Python path."""
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable_on_workers(spark: SparkSession) -> None:
+    """Put this library on the Python path of the workers, where it is not installed there."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _PACKAGE_ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT, *filter(None, paths)])
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``, which the driver and all executors share.
 
@@ -27,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan anew where it has fewer splits than the session has cores, as a table in one small file has.
+
+    Tables of more splits, where a shuffle would cost and gain nothing, are as they were.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`written` gave and a later one has replaced; what still reads it then fails."""
     files = df.inputFiles()

@@ -1,12 +1,13 @@
 """Structured Streaming forms of the query log and of answer events."""
 
-import io
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from millrace.sources.scratch import importable_on_workers
 
 
 def log_windows(log: DataFrame, minutes: int = 10, late: str = "1 hour") -> DataFrame:
@@ -49,9 +50,57 @@ def rollup_stream_events(events: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_done", "_error")
 
 
+EVENT = "seq long, ms long, type string, data string"
 ANSWER = "request_id string, answer string, metadata string, confidence string, citations string, total_ms long, tokens long, status string, late long"
 
 
+class AnswerEvents(StatefulProcessor):
+    """The events of one request, gathered until it ends: a list state that grows by what arrives, and a timer.
+
+    A batch appends its events and reads none of the earlier ones, unless it brings the end; then the row is made, the list
+    is cleared and only a count of late events stays, until the timer removes it.
+    """
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", EVENT)
+        self.late = handle.getValueState("late", "late long")  # exists once the request's row has been given
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows))
+        fresh = fresh.assign(ms=fresh["ts"].astype("datetime64[ms]").astype("int64"))
+        if self.late.exists():
+            self.late.update((self.late.get()[0] + len(fresh),))
+        else:
+            self.events.appendList([*fresh[["seq", "ms", "type", "data"]].itertuples(index=False, name=None)])
+            if fresh["type"].isin(["done", "error"]).any():
+                held = self._held()
+                yield _answer_row(key[0], held, "error" if (held["type"] == "error").any() else "done", 0)
+                self.events.clear()
+                self.late.update((0,))
+        newest = max(timerValues.getCurrentWatermarkInMs(), int(fresh["ms"].max()))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(newest + self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.late.exists():
+            yield _answer_row(key[0], self._held(), "open", 0)
+        elif late := self.late.get()[0]:
+            yield _answer_row(key[0], pd.DataFrame(columns=["seq", "ms", "type", "data"]), "late", late)
+        self.events.clear()
+        self.late.clear()
+
+    def close(self) -> None:
+        pass
+
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame([*self.events.get()], columns=["seq", "ms", "type", "data"])
+
+
 def stream_answers(events: DataFrame, wait: str = "10 minutes", wait_ms: int = 600_000) -> DataFrame:
     """The streaming form of :func:`rollup_stream_events`: one row per request, when it ends.
 
@@ -59,38 +108,15 @@ def stream_answers(events: DataFrame, wait: str = "10 minutes", wait_ms: int = 6
     without an end is emitted as ``open`` once the watermark, ``wait`` behind the newest event, is ``wait_ms`` past its
     last event. Events that arrive after the row was emitted are counted; a request whose late events run out is
     reported again with status ``late`` and their number. State is removed by the timer, so it never outlives its use.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            held, closed, late = state.get
-            state.remove()
-            if not closed:
-                yield _answer_row(key[0], pd.read_json(io.StringIO(held), orient="records", dtype=False), "open", 0)
-            elif late:
-                yield _answer_row(key[0], pd.DataFrame(columns=["seq", "ms", "type", "data"]), "late", late)
-            return
-        held, closed, late = state.get if state.exists else ("[]", False, 0)
-        fresh = pd.concat(list(batches))
-        fresh = fresh.assign(ms=fresh["ts"].astype("int64") // (1000 if fresh["ts"].dtype.str.endswith("[us]") else 1_000_000))
-        newest = int(fresh["ms"].max())
-        fresh = fresh[["seq", "ms", "type", "data"]]
-        if closed:
-            late += len(fresh)
-        else:
-            old = pd.read_json(io.StringIO(held), orient="records", dtype=False)
-            both = pd.concat([old, fresh]) if len(old) else fresh
-            ends = both["type"].isin(["done", "error"])
-            closed = bool(ends.any())
-            held = "[]" if closed else both.to_json(orient="records")
-            if closed:
-                yield _answer_row(key[0], both, "error" if (both["type"] == "error").any() else "done", 0)
-        state.update((held, closed, late))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + wait_ms)
 
+    The session's state store is set to the RocksDB one, which lists and timers need; a checkpoint of another store cannot
+    be continued.
+    """
+    spark = events.sparkSession
+    importable_on_workers(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = events.select("request_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "data").withWatermark("ts", wait)
-    kept = "held string, closed boolean, late long"
-    return rows.groupBy("request_id").applyInPandasWithState(step, ANSWER, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("request_id").transformWithStateInPandas(AnswerEvents(wait_ms), ANSWER, "append", "eventTime")
 
 
 def _answer_row(request: str, events: pd.DataFrame, status: str, late: int) -> pd.DataFrame:
