@@ -1,6 +1,5 @@
 """What the operators of this package share: the shared folder, written tables and Arrow batch maps."""
 
-import os
 import sys
 from collections.abc import Callable, Iterator
 
@@ -8,20 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.scratch import shared_dir, written
+from millrace.sources.scratch import importable_on_workers, shared_dir, written
 
 __all__ = ["BoundedCache", "BoundedTable", "cache_of", "keep_caches", "importable_on_workers", "map_texts", "shared_dir", "short_batches", "slices", "written"]
 
-_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def importable_on_workers(spark: SparkSession) -> None:
-    """Put this library on the Python path of the workers, where it is not installed there."""
-    environment = spark.sparkContext.environment
-    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if _PACKAGE_ROOT not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT, *filter(None, paths)])
-
 
 def short_batches(spark: SparkSession, most: str = "8m") -> None:
     """Lower the session's default of 64 MB for an Arrow batch; a session with a setting of its own keeps that.
