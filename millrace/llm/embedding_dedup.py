@@ -1,6 +1,7 @@
 """Near-duplicate embeddings: spherical-cap filters from random product codes, a join on filters, verification."""
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.buckets import block_pairs, least_linked, map_units
 from millrace.llm.components import connected_components
-from millrace.llm.shared import importable_on_workers, written
+from millrace.llm.shared import importable_on_workers, short_batches, written
 
 
 class CapFilters:
@@ -17,7 +18,8 @@ class CapFilters:
 
     A vector belongs to every filter whose cap holds it (inner product at least the cap's height), and to its
     ``least`` best filters where fewer do. The height is set so that a random vector exceeds ``expected`` filters of
-    a table on average. Listing them sorts the two blocks' products and stops where no sum can reach the height.
+    a table on average, whatever the size of the codebooks. Listing them looks only at codes that reach the height with
+    the other block's best one.
     """
 
     def __init__(self, dims: int, codes: int, tables: int = 2, expected: float = 10.0, least: int = 6, seed: int = 5):
@@ -29,36 +31,60 @@ class CapFilters:
             self.rotations.append(np.linalg.qr(rng.normal(size=(dims, dims)))[0])
             books = [rng.normal(size=(codes, d)) for d in (self.half, dims - self.half)]
             self.books.append([b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12) for b in books])
-        probe = rng.normal(size=(400, dims))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        first, second = self._products(probe, 0)
-        pick = rng.integers(0, codes, (2, 400, 500))
-        sums = np.take_along_axis(first, pick[0], 1) + np.take_along_axis(second, pick[1], 1)
-        self.height = float(np.quantile(sums, max(0.0, 1 - expected / codes**2)))
+        probe = rng.normal(size=(512, dims))
+        self.height = self._height(probe / np.linalg.norm(probe, axis=1, keepdims=True), expected)
+
+    def _height(self, probe: np.ndarray, expected: float, products: int = 1 << 21) -> float:
+        """The height that ``expected`` sums of a probe's two products reach on average, by bisection over counts of all sums.
+
+        Of each block the 1024 greatest products are kept, more than such sums can come from.
+        """
+        rows, kept = max(1, products // self.codes), min(1024, self.codes)
+        pairs = (self._products(probe[low : low + rows], 0) for low in range(0, len(probe), rows))
+        parts = [[np.sort(np.partition(x, -kept, axis=1)[:, -kept:], axis=1) for x in pair] for pair in pairs]
+        first, order = (np.concatenate(x) for x in zip(*parts, strict=True))
+        least, most = 0.0, float(first.max() + order.max())
+        for _ in range(40):
+            middle = (least + most) / 2
+            reaching = 0
+            for one, two in zip(first, order, strict=True):
+                lead = one[one >= middle - two[-1]]  # others reach it with no second product
+                reaching += len(lead) * len(two) - int(np.searchsorted(two, middle - lead).sum())
+            least, most = (middle, most) if reaching > expected * len(first) else (least, middle)
+        return most
 
     def _products(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         turned = unit @ self.rotations[table]
         one, two = self.books[table]
         return turned[:, : self.half] @ one.T, turned[:, self.half :] @ two.T
 
-    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Sorted filter numbers of each row of unit vectors."""
+    def decode(self, unit: np.ndarray, products: int = 1 << 21) -> list[np.ndarray]:
+        """Sorted filter numbers of each row of unit vectors; slices of rows keep to about ``products`` products at a time."""
+        rows = max(1, products // self.codes)
+        if len(unit) > rows:
+            return [f for low in range(0, len(unit), rows) for f in self.decode(unit[low : low + rows], products)]
         out: list[list[np.ndarray]] = [[] for _ in unit]
         for table in range(self.tables):
             first, second = self._products(unit, table)
-            order_one, order_two = np.argsort(-first, axis=1), np.argsort(-second, axis=1)
-            for r in range(len(unit)):
-                one, two = first[r, order_one[r]], second[r, order_two[r]]
-                top = one[: self.least, None] + two[None, : self.least]
-                height = min(self.height, np.partition(top, -self.least, axis=None)[-self.least])
-                lead = np.searchsorted(-one, -(height - two[0]), side="right")
-                ends = np.searchsorted(-two, -(height - one[:lead]), side="right")
-                i = np.repeat(order_one[r, :lead], ends)
-                j = order_two[r, np.arange(ends.sum()) - np.repeat(np.cumsum(ends) - ends, ends)]
-                out[r].append(np.sort((table * self.codes + i) * self.codes + j))
+            best = [-np.sort(-np.partition(x, -self.least, axis=1)[:, -self.least :], axis=1) for x in (first, second)]
+            for r, (one, two) in enumerate(zip(first, second, strict=True)):
+                top = best[0][r][:, None] + best[1][r][None, :]
+                height = min(self.height, np.partition(top, -self.least, axis=None)[-self.least]) - 1e-12  # for differences rounded up
+                i = np.flatnonzero(one >= height - best[1][r][0])  # no other code reaches the height
+                j = np.flatnonzero(two >= height - best[0][r][0])
+                j = j[np.argsort(-two[j])]
+                ends = np.searchsorted(-two[j], -(height - one[i]), side="right")
+                codes = j[np.arange(ends.sum()) - np.repeat(np.cumsum(ends) - ends, ends)]
+                out[r].append(np.sort((table * self.codes + np.repeat(i, ends)) * self.codes + codes))
         return [np.concatenate(x) for x in out]
 
 
+@lru_cache(maxsize=4)
+def cap_filters(dims: int, codes: int) -> CapFilters:
+    """The filters of one size, made once in a worker process."""
+    return CapFilters(dims, codes)
+
+
 def codes_for(rows: int, expected: float = 10.0, bucket: int = 64) -> int:
     """Codebook size under which a group of ``rows`` random vectors has about ``bucket`` of them in each filter."""
     return int(min(32_000, max(16, np.ceil(np.sqrt(rows * expected / bucket)))))
@@ -89,6 +115,7 @@ def near_duplicate_vectors(
     count and at most one link for each of its vectors, never its pairs.
     """
     importable_on_workers(vectors.sparkSession)
+    short_batches(vectors.sparkSession)
     # Vectors travel in their own precision and are computed with in double.
     packing = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
     rows = vectors.select(
@@ -111,7 +138,6 @@ def near_duplicate_vectors(
     n_codes = codes or codes_for(most)
 
     def list_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, CapFilters] = {}
         for batch in batches:
             lists, sizes = batch.column("v").to_pylist(), {}
             filters: list = [None] * len(lists)
@@ -120,8 +146,7 @@ def near_duplicate_vectors(
                 sizes.setdefault(len(v), []).append(i)
             for dims, at in sizes.items():
                 table = _unit(np.array([lists[i] for i in at]))
-                caps = made.setdefault(dims, CapFilters(dims, n_codes) if dims > 1 else None)
-                found = caps.decode(table) if caps else [np.zeros(1, np.int64)] * len(at)
+                found = cap_filters(dims, n_codes).decode(table) if dims > 1 else [np.zeros(1, np.int64)] * len(at)
                 for i, f in zip(at, found, strict=True):
                     filters[i] = f
             yield pa.RecordBatch.from_arrays(

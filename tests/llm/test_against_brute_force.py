@@ -216,7 +216,26 @@ def test_vectors_drifting_group(spark):
     assert [got[i].n_links for i in ids] == linked.sum(axis=1).tolist()
 
 
-@pytest.mark.parametrize("codes", [90, 396])
+@pytest.mark.parametrize("codes", [16, 90, 396, 1250, 3953, 32_000])
+def test_filters_of_a_vector_do_not_grow_with_the_codebooks(codes):
+    from millrace.llm.embedding_dedup import CapFilters
+
+    caps, rng = CapFilters(64, codes), np.random.default_rng(codes)
+    unit = rng.normal(size=(400, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    found = caps.decode(unit)
+    assert 14 <= np.mean([len(f) for f in found]) <= 26
+    for r in (0, 1):  # all caps above the height, by a full table of sums
+        want = []
+        for t in range(caps.tables) if codes < 4000 else []:
+            first, second = caps._products(unit[r : r + 1], t)
+            sums = first[0][:, None] + second[0][None, :]
+            height = min(caps.height, np.sort(sums, axis=None)[-caps.least]) - 1e-12
+            want += [(t * codes + i) * codes + j for i, j in np.argwhere(sums >= height)]
+        assert not want or found[r].tolist() == sorted(want)
+
+
+@pytest.mark.parametrize("codes", [90, 396, 1250, 3953])
 def test_vector_pairs_at_the_threshold_are_found(spark, codes):
     """Recall of single pairs, which no third vector helps, with as many codes as large tables have."""
     from millrace.llm.embedding_dedup import near_duplicate_vectors
