@@ -50,7 +50,7 @@ def rollup_stream_events(events: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_done", "_error")
 
 
-EVENT = "seq long, ms long, type string, data string"
+EVENT = "seq long, us long, type string, data string"
 ANSWER = "request_id string, answer string, metadata string, confidence string, citations string, total_ms long, tokens long, status string, late long"
 
 
@@ -71,17 +71,17 @@ class AnswerEvents(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(list(rows))
-        fresh = fresh.assign(ms=fresh["ts"].astype("datetime64[ms]").astype("int64"))
+        fresh = fresh.assign(us=fresh["ts"].astype("datetime64[us]").astype("int64"))
         if self.late.exists():
             self.late.update((self.late.get()[0] + len(fresh),))
         else:
-            self.events.appendList([*fresh[["seq", "ms", "type", "data"]].itertuples(index=False, name=None)])
+            self.events.appendList([*fresh[["seq", "us", "type", "data"]].itertuples(index=False, name=None)])
             if fresh["type"].isin(["done", "error"]).any():
                 held = self._held()
                 yield _answer_row(key[0], held, "error" if (held["type"] == "error").any() else "done", 0)
                 self.events.clear()
                 self.late.update((0,))
-        newest = max(timerValues.getCurrentWatermarkInMs(), int(fresh["ms"].max()))
+        newest = max(timerValues.getCurrentWatermarkInMs(), int(fresh["us"].max()) // 1000)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(newest + self.wait_ms)
@@ -90,7 +90,7 @@ class AnswerEvents(StatefulProcessor):
         if not self.late.exists():
             yield _answer_row(key[0], self._held(), "open", 0)
         elif late := self.late.get()[0]:
-            yield _answer_row(key[0], pd.DataFrame(columns=["seq", "ms", "type", "data"]), "late", late)
+            yield _answer_row(key[0], pd.DataFrame(columns=["seq", "us", "type", "data"]), "late", late)
         self.events.clear()
         self.late.clear()
 
@@ -98,7 +98,7 @@ class AnswerEvents(StatefulProcessor):
         pass
 
     def _held(self) -> pd.DataFrame:
-        return pd.DataFrame([*self.events.get()], columns=["seq", "ms", "type", "data"])
+        return pd.DataFrame([*self.events.get()], columns=["seq", "us", "type", "data"])
 
 
 def stream_answers(events: DataFrame, wait: str = "10 minutes", wait_ms: int = 600_000) -> DataFrame:
@@ -137,7 +137,7 @@ def _answer_row(request: str, events: pd.DataFrame, status: str, late: int) -> p
             "metadata": [pick("metadata", 0)],
             "confidence": [pick("confidence", 0)],
             "citations": [pick("citations", -1)],
-            "total_ms": [int(ordered["ms"].max() - ordered["ms"].min()) if len(ordered) else 0],
+            "total_ms": [int(ordered["us"].max() - ordered["us"].min()) // 1000 if len(ordered) else 0],
             "tokens": [len(chunks)],
             "status": [status],
             "late": [late],
