@@ -66,22 +66,27 @@ def related_entities(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth
 
     With a limit the last step meets only the first neighbours of each node: an entity has a place among a seed's first
     ``limit`` rows only if fewer than that come before it by way of the same node, and a trail shuts out at most
-    ``depth`` - 1 of them. So a hub in the middle of trails adds a few rows, not all its links.
+    ``depth`` - 1 of them. So a hub in the middle of trails adds a few rows, not all its links. Only the edges of nodes that
+    trails have reached are grouped, and trails that differ only in the order of their edges count once.
     """
-    ways = both_ways(edges)
+    ways = written(both_ways(edges), "ways")
     trail = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(None).cast("string").alias("relation"), F.array().cast("array<bigint>").alias("used"))
     found = None
     for step in range(1, depth + 1):
         relation = F.coalesce("relation", "rel").alias("relation")
         if step == depth > 1 and limit is not None:
-            pairs = ways.groupBy("a", "b").agg(F.slice(F.sort_array(F.collect_set("edge")), 1, depth).alias("edges"))
+            trail = written(trail, "trails")
+            reached = ways.join(trail.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
+            pairs = reached.groupBy("a", "b").agg(F.slice(F.sort_array(F.collect_set("edge")), 1, depth).alias("edges"))
             place = F.row_number().over(Window.partitionBy("a").orderBy("b"))
             first = pairs.withColumn("_p", place).where(F.col("_p") < limit + depth)
             ahead = trail.join(first, trail["node"] == first["a"]).where(F.size(F.array_except("edges", "used")) > 0)
             here = ahead.select("seed", F.col("b").alias("entity"), "relation").distinct()
         else:
             ahead = trail.join(ways, trail["node"] == ways["a"]).where(~F.array_contains("used", F.col("edge")))
-            trail = ahead.select("seed", F.col("b").alias("node"), relation, F.array_append("used", F.col("edge")).alias("used"))
+            used = F.array_sort(F.array_append("used", F.col("edge"))).alias("used")
+            trail = ahead.select("seed", F.col("b").alias("node"), relation, used)
+            trail = trail if step == 1 else trail.distinct()
             here = trail.select("seed", F.col("node").alias("entity"), "relation").distinct()
         found = here if found is None else found.unionByName(here)
     rows = found.distinct()
@@ -99,31 +104,48 @@ def related_entities(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth
 def shortest_path(pairs: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
     """``(src, dst, nodes, rels)``: a shortest undirected path of up to ``most`` edges for each pair that has one.
 
-    Breadth first, all pairs at once: each level joins the frontier with the edges, keeps the smallest path per (pair,
-    node), drops nodes seen before by an anti join, stops pairs that arrived, and is a written table. Among equal lengths the path of
-    smallest nodes wins. Pairs of equal ends have the path of that node.
+    Searched from both ends at once, all pairs together: frontiers belong to the distinct sources and the distinct targets,
+    which pairs share. For each length the side whose frontier has fewer links goes one step on, and the frontiers meet in a
+    join by node; so a hub in the middle of paths is met and never left. A step keeps the smallest path for each root and
+    node and drops nodes seen before; roots without open pairs go no further. Each step is a written table. Among equal
+    lengths the path of smallest nodes, then relations, wins. Pairs of equal ends have the path of that node.
     """
     ways = written(both_ways(edges).select("a", "b", "rel").distinct(), "ways")
-    front = pairs.select("src", "dst").distinct().withColumns(
-        {"node": F.col("src"), "nodes": F.array("src"), "rels": F.array().cast("array<string>")}
-    )
-    front = written(front, "front")
-    arrived, front = front.where("src = dst"), front.where("src <> dst")
-    seen = front.select("src", "dst", "node")
+    degrees = written(ways.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links")), "degrees")
+    wanted = written(pairs.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "pairs")
+    arrived = wanted.where("src = dst").select("src", "dst", F.array("src").alias("nodes"), F.array().cast("array<string>").alias("rels"))
+    wanted = wanted.where("src <> dst")
+
+    def start(end: str) -> DataFrame:
+        root = wanted.select(F.col(end).alias("root")).distinct()
+        return root.select("root", F.col("root").alias("node"), F.array("root").alias("nodes"), F.array().cast("array<string>").alias("rels"))
+
+    front = {end: written(start(end), "front") for end in ("src", "dst")}
+    seen = {end: rows.select("root", "node") for end, rows in front.items()}
     for _ in range(most):
-        ahead = front.join(ways, front["node"] == ways["a"])
-        ahead = ahead.select(
-            "src",
-            "dst",
-            F.col("b").alias("node"),
-            F.struct(F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels")).alias("p"),
-        )
-        ahead = ahead.join(seen, ["src", "dst", "node"], "left_anti").groupBy("src", "dst", "node").agg(F.min("p").alias("p"))
-        level = written(ahead.select("src", "dst", "node", "p.nodes", "p.rels"), "level")
-        here = level.where("node = dst")
-        arrived, seen = arrived.unionByName(here), seen.unionByName(level.select("src", "dst", "node"))
-        front = level.join(here.select("src", "dst"), ["src", "dst"], "left_anti")
-    return arrived.select("src", "dst", "nodes", "rels")
+        live = {end: rows.join(wanted.select(F.col(end).alias("root")).distinct(), "root", "left_semi") for end, rows in front.items()}
+        links = [rows.join(degrees, "node").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("n"), F.lit(end).alias("end")) for end, rows in live.items()]
+        links = {r.end: r.n for r in links[0].unionByName(links[1]).collect()}  # one row each
+        if min(links.values()) == 0:  # no open pair, or one side ends here for all of them
+            break
+        end = min(links, key=lambda x: (links[x], x != "src"))
+        ahead = live[end].join(ways, F.col("node") == F.col("a"))
+        grown = {
+            "src": (F.array_append("nodes", F.col("b")), F.array_append("rels", F.col("rel"))),
+            "dst": (F.array_prepend("nodes", F.col("b")), F.array_prepend("rels", F.col("rel"))),
+        }[end]
+        ahead = ahead.select("root", F.col("b").alias("node"), F.struct(grown[0].alias("nodes"), grown[1].alias("rels")).alias("p"))
+        ahead = ahead.join(seen[end], ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("p").alias("p"))
+        front[end] = written(ahead.select("root", "node", "p.*"), "front")
+        seen[end] = seen[end].unionByName(front[end].select("root", "node"))
+        left = front["src"].select(F.col("root").alias("src"), "node", "nodes", "rels")
+        right = front["dst"].select(F.col("root").alias("dst"), "node", F.col("nodes").alias("after"), F.col("rels").alias("on"))
+        nodes = F.concat("nodes", F.slice("after", 2, F.size("after")))
+        met = wanted.join(left, "src").join(right, ["dst", "node"]).groupBy("src", "dst")
+        met = met.agg(F.min(F.struct(nodes.alias("nodes"), F.concat("rels", "on").alias("rels"))).alias("p"))
+        met = written(met.select("src", "dst", "p.*"), "met")
+        arrived, wanted = arrived.unionByName(met), written(wanted.join(met, ["src", "dst"], "left_anti"), "pairs")
+    return arrived
 
 
 def triplets_by_relation(edges: DataFrame, relation: str, limit: int) -> DataFrame:
