@@ -1,5 +1,7 @@
 """Evaluation: ranking metrics, latencies, judge scores, reports, gates and trends."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,25 +80,52 @@ def compare_stages(vector: DataFrame, pipeline: DataFrame) -> DataFrame:
     return both.withColumn("best", best)
 
 
-def latency_stats(rows: DataFrame, value: str, by: list[str] = (), exact: bool = True) -> DataFrame:
-    """Count, mean, median, nearest-rank p95 and p99, least and most, to one decimal.
+def order_statistics(rows: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: list[str] = ()) -> DataFrame:
+    """For each key of ``by`` the values at the given places of the ascending values: ``ranks`` maps names to place(n).
 
-    ``exact=False`` uses the mergeable approximate percentile, for groups too large to sort.
+    Values are counted (pre-aggregated) and dealt by ranges of key and value, so no task holds a key's values. The
+    counts of the ranges, a row for each, say in which range a place lies; only those ranges are summed value by value.
+    Nulls do not count; a key without values has no row.
     """
-
-    def rank(p: float) -> Column:
-        if exact:
-            return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-        return F.percentile_approx(value, p, 10_000)
-
-    return rows.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.round(F.avg(value), 1).alias("mean_ms"),
-        F.round(F.median(value), 1).alias("median_ms"),
-        F.round(rank(0.95), 1).alias("p95_ms"),
-        F.round(rank(0.99), 1).alias("p99_ms"),
-        F.round(F.min(value), 1).alias("min_ms"),
-        F.round(F.max(value), 1).alias("max_ms"),
+    keys = list(by)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = written(counted.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()), "values")
+    own = Window.partitionBy(*keys)
+    earlier = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_m"))
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_m").over(earlier), F.lit(0)), "_all": F.sum("_m").over(own)})
+    places = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("_all")).cast("long").alias("place")) for name, place in ranks.items()])
+    wanted = sums.withColumn("_p", F.explode(places)).where((F.col("_p.place") > F.col("_before")) & (F.col("_p.place") <= F.col("_before") + F.col("_m")))
+    names = {k: f"_of_{k}" for k in [*keys, "_range"]}
+    wanted = wanted.select(*[F.col(k).alias(n) for k, n in names.items()], F.col("_p.name").alias("_name"), (F.col("_p.place") - F.col("_before")).alias("_place"))
+    wanted = written(wanted, "places")  # a row for each key and name
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    inside = ranged.join(wanted, same, "left_semi").withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_v")))
+    found = inside.join(wanted, same).where((F.col("_place") <= F.col("_upto")) & (F.col("_place") > F.col("_upto") - F.col("_n")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+def nearest_rank(share: float) -> Callable[[Column], Column]:
+    """The place of the nearest-rank percentile among n values."""
+    return lambda n: F.greatest(F.ceil(n * share - 1e-9), F.lit(1))
+
+
+def latency_stats(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """Count, mean, median, nearest-rank p95 and p99, least and most, to one decimal; exact, whatever a key's size."""
+    places = {"_low": lambda n: F.floor((n + 1) / 2), "_high": lambda n: F.floor((n + 2) / 2), "_p95": nearest_rank(0.95), "_p99": nearest_rank(0.99)}
+    found = order_statistics(rows, value, places, by)
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("_mean"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    found = found.select(*[F.col(k).alias(f"_of_{k}") for k in by], *places)
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by] or F.lit(True)  # one row each without keys
+    return plain.join(found, same, "left").select(
+        *by,
+        "n",
+        F.round("_mean", 1).alias("mean_ms"),
+        F.round((F.col("_low") + F.col("_high")) / 2, 1).alias("median_ms"),
+        F.round("_p95", 1).alias("p95_ms"),
+        F.round("_p99", 1).alias("p99_ms"),
+        F.round("_min", 1).alias("min_ms"),
+        F.round("_max", 1).alias("max_ms"),
     )
 
 
@@ -207,16 +236,13 @@ def worst_questions(scores: DataFrame, n: int = 25) -> DataFrame:
     return scores.orderBy(F.coalesce("faithfulness", F.lit(5.0)), "id").limit(n)
 
 
-def load_summary(log: DataFrame, limit_ms: float = 15_000, limit_failed: float = 0.05, exact: bool = True) -> DataFrame:
-    """One row: p95 of durations, share of failed requests, frames per response, and whether both limits hold.
-
-    ``exact=False`` uses the mergeable approximate percentile, for logs with too many distinct durations for one task.
-    """
-    p95 = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)")
+def load_summary(log: DataFrame, limit_ms: float = 15_000, limit_failed: float = 0.05) -> DataFrame:
+    """One row: exact p95 of durations, share of failed requests, frames per response, and whether both limits hold."""
+    p95 = order_statistics(log, "duration_ms", {"p95_ms": nearest_rank(0.95)})
     out = log.agg(
         F.count("*").alias("requests"),
-        (p95 if exact else F.percentile_approx("duration_ms", 0.95, 10_000)).alias("p95_ms"),
         F.round(F.avg(F.col("failed").cast("int")), 6).alias("failed_rate"),
         F.round(F.avg(F.regexp_count("body", F.lit("data:"))), 4).alias("frames"),
     )
+    out = out.join(p95, F.lit(True), "left").select("requests", "p95_ms", "failed_rate", "frames")  # one row each
     return out.withColumn("passed", (F.col("p95_ms") < limit_ms) & (F.col("failed_rate") < limit_failed))

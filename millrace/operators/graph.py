@@ -153,19 +153,32 @@ def triplets_by_relation(edges: DataFrame, relation: str, limit: int) -> DataFra
     return rows.orderBy("src", "dst").limit(limit)
 
 
+def properties_text(props: Column) -> Column:
+    """A property map as ``name=value`` in order of names, joined by ``; ``."""
+    items = F.transform(F.array_sort(F.map_keys(props)), lambda k: F.concat(k, F.lit("="), F.coalesce(props[k], F.lit(""))))
+    return F.array_join(items, "; ")
+
+
 def entity_profile(names: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
-    """``(name, label, outgoing, incoming)``: up to ``most`` relations each way as text; label is null where absent."""
+    """``(name, label, properties, outgoing, incoming)`` as text; up to ``most`` relations each way.
+
+    Properties come from ``nodes.props`` and behind each relation, in brackets, from ``edges.props`` where there are such
+    maps (see :func:`merge_graph`); label and properties are null where the node is absent.
+    """
 
     def side(end: str, other: str, alias: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(end).orderBy("predicate", other))
         rows = edges.join(names.select(F.col("name").alias(end)).distinct(), end, "left_semi")
         kept = rows.withColumn("_p", place).where(F.col("_p") <= most)
-        item = F.struct(F.col("_p"), F.concat_ws(" ", "predicate", other).alias("t"))
+        known = properties_text(F.col("props")) if "props" in edges.columns else F.lit("")
+        shown = F.when(known != "", F.concat(F.lit("("), known, F.lit(")")))
+        item = F.struct(F.col("_p"), F.concat_ws(" ", "predicate", other, shown).alias("t"))
         return kept.groupBy(F.col(end).alias("name")).agg(F.array_join(F.sort_array(F.collect_list(item))["t"], "; ").alias(alias))
 
-    out = names.join(nodes.select("name", "label"), "name", "left")
+    known = properties_text(F.col("props")) if "props" in nodes.columns else F.lit("")
+    out = names.join(nodes.select("name", "label", known.alias("properties")), "name", "left")
     out = out.join(side("src", "dst", "outgoing"), "name", "left").join(side("dst", "src", "incoming"), "name", "left")
-    return out.select("name", "label", F.coalesce("outgoing", F.lit("")).alias("outgoing"), F.coalesce("incoming", F.lit("")).alias("incoming"))
+    return out.select("name", "label", "properties", *[F.coalesce(c, F.lit("")).alias(c) for c in ("outgoing", "incoming")])
 
 
 def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -222,6 +235,25 @@ def flatten_fact(nodes: Column, rels: Column) -> Column:
     return F.array_join(steps, " → ")
 
 
+FACT = "type string, nodes array<string>, rels array<string>, source string, target string, rel string, source_entity string, target_entity string, relationship string, from string, to string"
+
+
+def read_facts(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add ``type``, ``nodes`` and ``rels`` of JSON facts in any of their shapes; rows without a readable fact fall away.
+
+    A path has ``nodes`` and ``rels``, or in its older shape only ``from`` and ``to``; a triplet has ``source``, ``rel`` and
+    ``target``, in its older shape ``source_entity``, ``relationship`` and ``target_entity``, and needs both ends.
+    """
+    fact = F.from_json(raw, FACT)
+    path = F.col("_f.type") == "path"
+    source, target, rel = (F.coalesce(F.nullif(f"_f.{old}", F.lit("")), f"_f.{new}") for old, new in (("source_entity", "source"), ("target_entity", "target"), ("relationship", "rel")))
+    nodes = F.when(path, F.coalesce("_f.nodes", F.array("_f.from", "_f.to"))).otherwise(F.array(source, target))
+    rels = F.when(path, F.coalesce("_f.rels", F.array().cast("array<string>"))).otherwise(F.array(F.coalesce(rel, F.lit(""))))
+    whole = F.when(path, F.exists(nodes, lambda n: n.isNotNull())).otherwise((F.coalesce(source, F.lit("")) != "") & (F.coalesce(target, F.lit("")) != ""))
+    out = rows.withColumn("_f", fact).where(whole)
+    return out.withColumns({"type": F.when(path, "path").otherwise("triplet"), "nodes": nodes, "rels": rels}).drop("_f", raw)
+
+
 def embedded_only(triplets: DataFrame, embedded: DataFrame) -> DataFrame:
     """Triplets of documents that have been embedded already."""
     return triplets.join(embedded.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -174,17 +174,58 @@ def lexical_score(question: Column, text: Column) -> Column:
     return F.round(F.size(F.array_intersect(asked, F.array_distinct(tokens(text)))) / F.size(asked), 6)
 
 
+class BatchScorer:
+    """A scorer of lists: ``fn(questions, texts)`` gives a score for each pair, as cross-encoders take their input.
+
+    Each distinct pair is scored once, in batches of ``size``. A batch that fails is scored again pair by pair; a pair that
+    fails by itself has a null score and takes no other with it.
+    """
+
+    def __init__(self, fn: Callable[[list[str], list[str]], list[float]], size: int = 256):
+        self.fn, self.size = fn, size
+
+    def score(self, rows: DataFrame, text: str, name: str) -> DataFrame:
+        """``rows(question, <text>, ...)`` with the score of their pair; null where one of the two is null."""
+        importable_on_workers(rows.sparkSession)
+        fn, size = self.fn, self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, size):
+                    part = batch.slice(low, size)
+                    pairs = part.column(0).to_pylist(), part.column(1).to_pylist()
+                    try:
+                        scores = [float(x) for x in fn(*pairs)]
+                    except Exception:  # any failure of a model concerns its batch only
+                        scores = [_score_or_none(fn, *pair) for pair in zip(*pairs, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], ["_question", "_text", "_score"])
+
+        distinct = rows.select(F.col("question").alias("_question"), F.col(text).alias("_text")).where("_question IS NOT NULL AND _text IS NOT NULL").distinct()
+        # Written, so that a pair is scored once however often the result is read.
+        scored = written(distinct.mapInArrow(run, "_question string, _text string, _score double"), "scores")
+        found = rows.join(scored, (F.col("question") == F.col("_question")) & (F.col(text) == F.col("_text")), "left")
+        return found.withColumn(name, F.col("_score")).drop("_question", "_text", "_score")
+
+
+def _score_or_none(fn: Callable, question: str, text: str) -> float | None:
+    try:
+        return float(fn([question], [text])[0])
+    except Exception:
+        return None
+
+
 def rerank_sub_chunks(
     parents: DataFrame,
     questions: DataFrame,
-    scorer: Callable[[Column, Column], Column] = lexical_score,
+    scorer: Callable[[Column, Column], Column] | BatchScorer = lexical_score,
     threshold: float = -10.0,
     parents_kept: int = 10,
     kept: int = 10,
 ) -> DataFrame:
     """Split each question's best parents into sub-chunks, score them, keep the best of those at the threshold or above.
 
-    ``parents(query_id, rank, chunk_id, chunk_text, similarity)``; ``scorer`` maps question and text columns to a score.
+    ``parents(query_id, rank, chunk_id, chunk_text, similarity)``; ``scorer`` maps question and text columns to a score,
+    or is a :class:`BatchScorer`; sub-chunks without a score fall away.
     """
     rows = score_sub_chunks(parents, questions, scorer, parents_kept).where(F.col("ce_score") >= threshold)
     order = [F.desc("ce_score"), F.asc("parent_rank"), F.asc("sub_order")]
@@ -195,15 +236,11 @@ def score_sub_chunks(parents: DataFrame, questions: DataFrame, scorer=lexical_sc
     rows = parents.where(F.col("rank") <= parents_kept).withColumnRenamed("rank", "parent_rank")
     rows = sub_chunks(rows.select("query_id", "parent_rank", "chunk_id", "chunk_text", "similarity"))
     rows = rows.join(questions.select("query_id", "question"), "query_id")
-    return rows.select(
-        "query_id",
-        "parent_rank",
-        F.col("chunk_id").alias("parent_chunk_id"),
-        "sub_order",
-        "sub_text",
-        "similarity",
-        scorer(F.col("question"), F.col("sub_text")).alias("ce_score"),
-    )
+    if isinstance(scorer, BatchScorer):
+        rows = scorer.score(rows, "sub_text", "ce_score")
+    else:
+        rows = rows.withColumn("ce_score", scorer(F.col("question"), F.col("sub_text")))
+    return rows.select("query_id", "parent_rank", F.col("chunk_id").alias("parent_chunk_id"), "sub_order", "sub_text", "similarity", "ce_score")
 
 
 def no_rerank_fallback(parents: DataFrame, kept: int = 10) -> DataFrame:
@@ -355,3 +392,42 @@ def history_messages(messages: DataFrame, n: int = 6, most: int = 1000) -> DataF
     role = F.when(F.col("role") == "user", "user").otherwise("assistant")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
     return recent.select("conv_id", place.alias("place"), role.alias("role"), truncate_preview(F.col("text"), most).alias("content"))
+
+
+def hybrid_retrieve(
+    questions: DataFrame, ranked: DataFrame, graph_context: DataFrame, name: Column, floor: float = 0.0, least: int = 2, most: int = 10
+) -> DataFrame:
+    """``(query_id, question, sources, total_sources, level, graph_context, n_facts)``: what each question is answered from.
+
+    ``ranked`` are the reranked sub-chunks, named by ``name`` in ``sources`` in order of rank; ``graph_context(query_id,
+    graph_context, n_facts)`` are the facts of the entities it names. Questions without either stay, with empty texts.
+    """
+    rows = written(ranked.withColumn("_name", name), "ranked")  # read three times below
+    listed = ordered_text(rows, "query_id", "rank", F.col("_name"), ",", most, "sources")
+    counted = rows.groupBy("query_id").agg(F.count("*").alias("total_sources"))
+    level = confidence_gate(confidence_summary(questions, rows), floor, least).select("query_id", "level")
+    out = questions.select("query_id", "question").join(level, "query_id")
+    for part in (listed, counted, graph_context):
+        out = out.join(part, "query_id", "left")
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("sources", "graph_context")}
+    out = out.withColumns({**texts, **{c: F.coalesce(c, F.lit(0)).cast("long") for c in ("total_sources", "n_facts")}})
+    return out.select("query_id", "question", "sources", "total_sources", "level", "graph_context", "n_facts")
+
+
+def batch_ask(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``retrieve`` of the questions that can be asked, and one row with an ``error`` for each of the others.
+
+    A question that is null or has no letter or digit is not passed on, so that it fails alone; one that ``retrieve``
+    (questions to rows with ``query_id`` and ``total_sources``) finds nothing for has an error as well.
+    """
+    empty = F.size(tokens(F.coalesce("question", F.lit("")))) == 0
+    found = retrieve(questions.where(~empty))
+    error = F.when(empty, "empty question").when(F.coalesce("total_sources", F.lit(0)) == 0, "no sources")
+    return questions.join(found.drop("question"), "query_id", "left").withColumn("error", error)
+
+
+def batch_totals(asked: DataFrame) -> DataFrame:
+    """One row: questions asked, answered and failed."""
+    return asked.agg(
+        F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("successful"), F.count_if(F.col("error").isNotNull()).alias("failed")
+    )

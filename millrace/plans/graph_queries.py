@@ -181,13 +181,22 @@ def e8(spark, d):
     f"""
     WITH {NODES_SQL}, {EDGES_SQL}, {SEEDS_SQL}, names AS (SELECT seed AS name FROM seeds UNION ALL SELECT 'Nobody'),
     o AS (SELECT src AS name, string_agg(concat(predicate, ' ', dst), '; ' ORDER BY predicate, dst) AS t FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY predicate, dst) <= 10) GROUP BY 1),
-    i AS (SELECT dst AS name, string_agg(concat(predicate, ' ', src), '; ' ORDER BY predicate, src) AS t FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY predicate, src) <= 10) GROUP BY 1)
-    SELECT n.name, label, coalesce(o.t, '') AS outgoing, coalesce(i.t, '') AS incoming FROM names n LEFT JOIN nodes USING (name) LEFT JOIN o ON o.name = n.name LEFT JOIN i ON i.name = n.name
+    i AS (SELECT dst AS name, string_agg(concat(predicate, ' ', src), '; ' ORDER BY predicate, src) AS t FROM (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY predicate, src) <= 10) GROUP BY 1),
+    props AS (SELECT c_name AS name, concat('balance=', round(c_acctbal)::BIGINT, '; segment=', c_mktsegment) AS p FROM customer UNION ALL SELECT s_name, concat('balance=', round(s_acctbal)::BIGINT) FROM supplier)
+    SELECT n.name, label, CASE WHEN label IS NOT NULL THEN coalesce(p, '') END AS properties, coalesce(o.t, '') AS outgoing, coalesce(i.t, '') AS incoming
+    FROM names n LEFT JOIN nodes USING (name) LEFT JOIN props ON props.name = n.name LEFT JOIN o ON o.name = n.name LEFT JOIN i ON i.name = n.name
     """,
 )
 def e9(spark, d):
     names = seeds(spark, d).withColumnRenamed("seed", "name").unionByName(spark.range(1).select(F.lit("Nobody").alias("name")))
-    return G.entity_profile(names, nodes(spark, d), edges(spark, d))
+    def known(name, prefix, **more):
+        pairs = {"balance": F.round(F.col(f"{prefix}_acctbal")).cast("long").cast("string"), **more}
+        return table(spark, d, name).select(F.col(f"{prefix}_name").alias("name"), F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]).alias("props"))
+
+    props = known("customer", "c", segment=F.col("c_mktsegment")).unionByName(known("supplier", "s"))
+    rows = nodes(spark, d).join(props, "name", "left")
+    rows = rows.withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>")))
+    return G.entity_profile(names, rows, edges(spark, d))
 
 
 @query(
@@ -261,6 +270,37 @@ def e14(spark, d):
     return facts(spark, d).select("query_id", "place", G.flatten_fact(F.col("nodes"), F.col("rels")).alias("chain"))
 
 
+# Facts as JSON in each shape that callers have used, and one that is cut off.
+@query(
+    "e14_read_facts",
+    """
+    SELECT c_custkey AS id, CASE WHEN c_custkey % 6 IN (2, 3) THEN 'path' ELSE 'triplet' END AS type, CASE c_custkey % 6
+        WHEN 2 THEN concat(c_name, ' → [LIVES_IN] → ', n_name, ' → [PART_OF] → ?') WHEN 3 THEN concat(c_name, ' → ', n_name)
+        ELSE concat(c_name, ' → [', CASE c_custkey % 6 WHEN 5 THEN '' ELSE 'LIVES_IN' END, '] → ', n_name) END AS chain
+    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 6 <> 4
+    """,
+)
+def e14_shapes(spark, d):
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+
+    def text(*parts):
+        return F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p) for i, p in enumerate(parts)])
+
+    raw = {
+        0: text('{"type": "triplet", "source": "', "c_name", '", "rel": "LIVES_IN", "target": "', "n_name", '"}'),
+        1: text('{"source_entity": "', "c_name", '", "relationship": "LIVES_IN", "target_entity": "', "n_name", '"}'),
+        2: text('{"type": "path", "nodes": ["', "c_name", '", "', "n_name", '", null], "rels": ["LIVES_IN", "PART_OF"]}'),
+        3: text('{"type": "path", "from": "', "c_name", '", "to": "', "n_name", '"}'),
+        4: text('{"source_entity": "', "c_name", '", "target_'),
+        5: text('{"type": "other", "source": "', "c_name", '", "target": "', "n_name", '"}'),
+    }
+    shape = F.lit(None).cast("string")
+    for k, v in raw.items():
+        shape = F.when(F.col("c_custkey") % 6 == k, v).otherwise(shape)
+    facts = G.read_facts(rows.select(F.col("c_custkey").alias("id"), shape.alias("raw")))
+    return facts.select("id", "type", G.flatten_fact(F.col("nodes"), F.col("rels")).alias("chain"))
+
+
 @query(
     "d17_format_graph_context",
     f"""

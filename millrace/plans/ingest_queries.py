@@ -8,6 +8,7 @@ from millrace.plans import graph_queries as GQ
 from millrace.plans.registry import query, table
 from millrace.plans.text_queries import SQL_CLEAN, SQL_WORDS
 from millrace.sources import files, tables
+from millrace.sources.json_lists import read_json_lists, write_json_lists
 from millrace.sources.scratch import shared_dir
 from millrace.streaming import documents as D
 
@@ -208,8 +209,12 @@ def a16(spark, d):
     """,
 )
 def a19(spark, d):
+    """The log in two batches; the second is written twice, as after a failure."""
     log = table(spark, d, "events").select("event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("response_time_ms"))
-    return log.where("event_id % 2 = 0").unionByName(log.where("event_id % 2 = 1"))
+    path = shared_dir(spark, "query-log")
+    for batch in (0, 1, 1):
+        tables.append_query_log(log.where(F.col("event_id") % 2 == batch), path, batch)
+    return tables.query_log(spark, path, log.schema)
 
 
 @query(
@@ -221,15 +226,13 @@ def a20(spark, d):
     return tables.numbered(rows, ["source"], [F.desc("doc_id")])
 
 
-# Questions as JSON files of one array for each language, read back as a table.
+# Questions as JSON files of one array for each task, read back as a table.
 @query("a17_read_questions", "SELECT doc_id AS id, concat('what says ', doc_id) AS question, source FROM documents WHERE doc_id % 50 = 0")
 def a17(spark, d):
     rows = table(spark, d, "documents").where("doc_id % 50 = 0")  # the stated query set
-    entry = F.struct(F.col("doc_id").alias("id"), F.concat(F.lit("what says "), F.col("doc_id").cast("string")).alias("question"), "source")
-    lists = rows.groupBy("lang").agg(F.to_json(F.collect_list(entry)).alias("value"))
     path = shared_dir(spark, "questions")
-    lists.write.partitionBy("lang").text(path)
-    return files.read_json_table(spark, path, "id long, question string, source string").select("id", "question", "source")
+    write_json_lists(rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("what says "), F.col("doc_id").cast("string")).alias("question"), "source"), path)
+    return read_json_lists(spark, path, "id long, question string, source string")
 
 
 # One report for each kind of event, and one file that is no JSON.

@@ -287,29 +287,27 @@ def facts(spark, d, asked):
     """,
 )
 def d14(spark, d):
+    return hybrid(spark, d, questions(spark, d))
+
+
+def hybrid(spark, d, asked):
     place = F.concat_ws(":", "parent_chunk_id.doc_id", "parent_chunk_id.chunk_order")
-    rows = written(ranked(spark, d), "ranked")  # read three times below
-    listed = R.ordered_text(rows, "query_id", "rank", F.concat_ws(".", place, "sub_order"), ",", 10, "sources")
-    counted = rows.groupBy("query_id").agg(F.count("*").alias("total_sources"))
-    level = R.confidence_gate(R.confidence_summary(questions(spark, d), rows), 0.5, 2).select("query_id", "level")
     known = facts(spark, d, named_questions(spark, d))
     context = G.format_graph_context(known).join(known.groupBy("query_id").agg(F.count("*").alias("n_facts")), "query_id")
-    out = questions(spark, d).join(level, "query_id").join(listed, "query_id", "left").join(counted, "query_id", "left")
-    out = out.join(context, "query_id", "left")
-    texts = {c: F.coalesce(c, F.lit("")) for c in ("sources", "graph_context")}
-    return out.withColumns({**texts, **{c: F.coalesce(c, F.lit(0)).cast("long") for c in ("total_sources", "n_facts")}})
+    rows = ranked(spark, d).join(asked.select("query_id"), "query_id", "left_semi")
+    return R.hybrid_retrieve(asked, rows, context, F.concat_ws(".", place, "sub_order"), 0.5, 2)
 
 
 @query(
     "d15_batch_ask",
-    f"WITH {QUESTIONS_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE length(question) >= 20) AS successful, count(*) FILTER (WHERE length(question) < 20) AS failed FROM questions",
+    f"""
+    WITH {RANKED_SQL}, s AS (SELECT q.query_id, len({SQL_TOKENS.format('coalesce(question, chr(32))')}) > 0 AND count(r.query_id) > 0 AS answered
+        FROM questions q LEFT JOIN ranked r ON r.query_id = q.query_id GROUP BY q.query_id, question)
+    SELECT count(*) AS total, count(*) FILTER (WHERE answered) AS successful, count(*) FILTER (WHERE NOT answered) AS failed FROM s
+    """,
 )
 def d15(spark, d):
-    error = F.when(F.length("question") < 20, "too short")
-    rows = questions(spark, d).select(error.alias("error"))
-    return rows.agg(
-        F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("successful"), F.count_if(F.col("error").isNotNull()).alias("failed")
-    )
+    return R.batch_totals(R.batch_ask(questions(spark, d), lambda asked: hybrid(spark, d, asked)))
 
 
 @query(

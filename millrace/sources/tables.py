@@ -1,7 +1,8 @@
 """Document registry, chunk table and point table: dedupe, upsert, delete, incremental skip."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.sources.scratch import written
 
@@ -100,6 +101,17 @@ def ingest_stats(docs: DataFrame, chunk, triplets: DataFrame, least: int = 100)
     return counted.join(chunks, F.lit(True)).join(found, F.lit(True))  # one row each
 
 
+def append_query_log(rows: DataFrame, path: str, batch: int) -> None:
+    """Append one numbered batch of log rows; the same batch again, as after a failure, replaces itself."""
+    out = rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("batch").parquet(path)
+
+
+def query_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The log's rows, of all batches."""
+    return spark.read.schema(schema).parquet(path).select(schema.fieldNames())
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
     """Add the place of each row, from 1, among those of equal ``keys`` (of all rows without keys) in the given order.
 
