@@ -109,17 +109,20 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, max_docs: int = 20_000) -> LanguageModel:
+def fit_languages(docs: DataFrame, max_docs: int = 20_000, max_languages: int = 1024) -> LanguageModel:
     """Bundle the texts of each language into a prototype.
 
     Learns from rows that are not held out and whose lang is not null; about ``max_docs`` of them at most, chosen
-    by a hash of the id (each row's chance is ``max_docs`` over their number). Every task emits one partial
-    bundle for each of its languages, which one aggregate adds up by dimension.
+    by a hash of the id (each row's chance is ``max_docs`` over their number). Of their languages the ``max_languages`` that
+    most of them have are learned (ties by name), so that dirty names cannot swell the model. Every task emits one
+    partial bundle for each of its languages, which one aggregate adds up by dimension.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     n = usable.count()
     share = int(min(1.0, max_docs / max(n, 1)) * 2**20)
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < share).select("lang", "text")
+    known = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    chosen = chosen.where(F.col("lang").isin([r.lang for r in known]))
 
     def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
         profiles, sums = _profiles(), {}

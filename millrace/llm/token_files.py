@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import importable_on_workers, map_texts, shared_dir, written
+from millrace.llm.shared import importable_on_workers, keep_caches, shared_dir, short_batches, slices, written
 from millrace.llm.word_ids import WordIds
 
 
@@ -18,87 +18,57 @@ _MANIFEST = pa.schema(
 )
 
 
-def range_bounds(doc_ids: DataFrame, docs_per_file: int = 8_192, max_files: int = 10_000) -> list[int]:
-    """Ascending bounds that cut the ids (column ``doc_id`` alone is read) into files of about ``docs_per_file`` rows.
-
-    One approximate-percentile aggregate; at most ``max_files`` - 1 bounds, so larger tables get larger files.
-    """
-    files = max(1, min(max_files, -(-doc_ids.count() // docs_per_file)))
-    shares = F.array(*[F.lit(i / files) for i in range(1, files)])
-    if files == 1:
-        return []
-    cuts = doc_ids.agg(F.percentile_approx("doc_id", shares, 10 * files + 10_000).alias("cuts")).first().cuts
-    return sorted({int(c) for c in cuts or []})
-
-
-def encode_documents(
-    docs: DataFrame,
-    tokenizer_path: str,
-    end_id: int = 2,
-    bounds: list[int] = (),
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """``(doc_id, ids, part)``: each text's ids with ``end_id`` behind, and the number of bounds at or below its id.
-
-    Ids are little-endian, 16 bits wide if the vocabulary allows. Null texts count as empty, a null id has part 0. One
-    narrow map, no shuffle.
-    """
-    kind, cuts = np.dtype(_width(tokenizer_path, end_id)), np.array(bounds, np.int64)
-
-    def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds.load(tokenizer_path)
-        end = np.array([end_id], kind).tobytes()
-        for keys, texts in batches:
-            found = encoder.encode([t or "" for t in texts])
-            ids = [np.frombuffer(i, "<u4").astype(kind).tobytes() + end for i in found]
-            least = np.iinfo(np.int64).min
-            part = np.searchsorted(cuts, keys.fill_null(least).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(ids, pa.binary()), pa.array(part.astype(np.int32))], ["key", "ids", "part"]
-            )
-
-    docs = docs.withColumn(id_col, F.col(f"`{id_col}`").cast("long"))
-    return map_texts(docs, run, "ids binary, part int", id_col, text_col, uses="word_ids").withColumnRenamed("key", "doc_id")
-
-
 def _width(tokenizer_path: str, end_id: int) -> str:
     size = WordIds.load(tokenizer_path).vocabulary_size
     return "<u2" if max(size - 1, end_id) < 2**16 else "<u4"
 
 
-def write_token_files(encoded: DataFrame, kind: str, parts: int) -> list[dict]:
-    """Write ``(doc_id, ids, part)`` in ascending order of doc_id; returns the list of files, at most ``parts``.
+def write_token_files(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None
+) -> list[dict]:
+    """Encode every text, ``end_id`` behind it, and write the ids in ascending order of id; returns the list of files.
 
-    For each part three flat files: ``.bin`` the ids, ``.off`` 64-bit document offsets within the file (one
-    more than documents) and ``.doc`` the 64-bit doc_ids. Null doc_ids come first; their number is listed. Repeated
-    doc_ids lie side by side, in order of their ids. Encoding runs once, as the map side of the one shuffle. A task
-    streams its part to temporary names, closes and renames them, so a retried task replaces its own files. ``base``,
-    the ids in all files before, is the prefix sum of the files' counts.
+    Each has three flat files: ``.bin`` the ids, 16 bits wide if the vocabulary allows, ``.off`` 64-bit document offsets
+    within the file (one more than documents) and ``.doc`` the 64-bit ids of documents. Ids are cast to whole numbers (what is
+    none is an error in ANSI mode, else null); null ids come first and their number is listed. Rows of equal id lie in order of
+    a hash of their texts and then the texts; null texts count as empty.
+
+    Texts are dealt by ranges of id and hash in one shuffle, in as many files as that has partitions (or ``files``, at
+    most), so files do not grow with the table and rows that repeat an id, or have none, spread over them. A task encodes and
+    streams its range to temporary names, closes and renames them, so a retried task replaces its own files. ``base``, the ids
+    in all files before, is the prefix sum of the files' counts, a row for each file.
     """
-    spark = encoded.sparkSession
+    spark = docs.sparkSession
     importable_on_workers(spark)
-    folder = shared_dir(spark, "tokens")
-    bytes_each = np.dtype(kind).itemsize
+    short_batches(spark)
+    folder, kind = shared_dir(spark, "tokens"), _width(tokenizer_path, end_id)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    dealt = rows.repartitionByRange("id", "h") if files is None else rows.repartitionByRange(files, "id", "h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_caches("word_ids")
+        encoder = WordIds.load(tokenizer_path)
         task = TaskContext.get()
         part = task.partitionId()
         store, root = arrow_fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         stem = f"{root}/part-{part:06d}"
         suffix = f".{task.taskAttemptId()}.tmp"
+        end = np.array([end_id], kind).tobytes()
         docs, ids, nulls = 0, 0, 0
         streams = {x: store.open_output_stream(f"{stem}{x}{suffix}") for x in (".bin", ".off", ".doc")}
         streams[".off"].write(np.zeros(1, "<i8").tobytes())
         for batch in batches:
-            doc, data = batch.column(0), batch.column(1)
-            lengths = np.array([len(x) for x in data.to_pylist()], np.int64) // bytes_each
-            for value in data:
-                streams[".bin"].write(value.as_buffer())
-            streams[".off"].write((ids + np.cumsum(lengths)).astype("<i8").tobytes())
-            streams[".doc"].write(doc.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-            docs, ids, nulls = docs + len(doc), ids + int(lengths.sum()), nulls + doc.null_count
+            for piece in slices(batch, 512):
+                keys, lengths = piece.column(0), []
+                for found in encoder.encode(piece.column(1).to_pylist()):
+                    streams[".bin"].write(np.frombuffer(found, "<u4").astype(kind).tobytes() + end)
+                    lengths.append(len(found) // 4 + 1)
+                streams[".off"].write((ids + np.cumsum(np.array(lengths, np.int64))).astype("<i8").tobytes())
+                streams[".doc"].write(keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                docs, ids, nulls = docs + len(keys), ids + sum(lengths), nulls + keys.null_count
+            pa.default_memory_pool().release_unused()
         for x, stream in streams.items():
             stream.close()
             if store.get_file_info(stem + x).type != arrow_fs.FileType.NotFound:  # of an attempt that was lost
@@ -108,8 +78,7 @@ def write_token_files(encoded: DataFrame, kind: str, parts: int) -> list[dict]:
             row = {"part": part, "stem": stem, "docs": docs, "ids": ids, "nulls": nulls}
             yield pa.RecordBatch.from_pylist([row], _MANIFEST)
 
-    dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "ids")
-    ordered = dealt.select("doc_id", "ids")
+    ordered = dealt.sortWithinPartitions("id", "h", "text").select("id", "text")
     listed = written(ordered.mapInArrow(write, "part int, stem string, docs long, ids long, nulls long"), "manifest")
     manifest, base = [], 0
     for row in sorted(listed.collect(), key=lambda r: r.part):
@@ -163,8 +132,5 @@ def _read(entry: dict) -> Iterator[pa.RecordBatch]:
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    """Bound, encode, write and read back: see the four functions. An empty table gives no rows."""
-    bounds = range_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
-    encoded = encode_documents(docs, tokenizer_path, end_id, bounds)
-    manifest = write_token_files(encoded, _width(tokenizer_path, end_id), len(bounds) + 1)
-    return read_token_files(docs.sparkSession, manifest)
+    """Write and read back: see the two functions. An empty table gives no rows."""
+    return read_token_files(docs.sparkSession, write_token_files(docs, tokenizer_path, end_id))

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import entry
@@ -82,6 +83,26 @@ def test_token_files(spark, word_ids):
         start += len(ids)
 
 
+def test_token_files_of_many_ranges(spark, word_ids):
+    """Bases over several files, ids that a third of the rows repeat or lack, 32-bit files, and what the manifest says."""
+    from millrace.llm import token_files
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(
+        F.when(F.col("doc_id") % 3 == 0, 50).when(F.col("doc_id") % 3 == 1, F.col("doc_id")).alias("doc_id"), "text"
+    )
+    manifest = token_files.write_token_files(docs, entry.WORD_BPE, files=7)
+    assert len(manifest) == 7 and all(m["kind"] == "<u2" for m in manifest)
+    assert max(m["docs"] for m in manifest) < docs.count() / 3  # a repeated id is not one file's
+    assert [m["base"] for m in manifest] == np.cumsum([0, *(m["ids"] for m in manifest)])[:-1].tolist()
+    rows = sorted(token_files.read_token_files(spark, manifest).collect(), key=lambda r: r.start)
+    keys = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert keys == sorted(keys) and [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    want = sorted(np.array([*word_ids[r.doc_id], 2], "<u4").tobytes() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+    assert sorted(bytes(r.ids) for r in rows) == want
+    wide = token_files.read_token_files(spark, token_files.write_token_files(docs, entry.WORD_BPE, end_id=70_000, files=3))
+    assert {np.frombuffer(r.ids, "<u4")[-1] for r in wide.collect()} == {70_000}
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = entry.op3_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out").collect()

@@ -51,6 +51,14 @@ def test_languages(docs, empty):
     assert language_id.identify_languages(empty, model).count() == 0
 
 
+def test_languages_are_bounded(spark):
+    rows = [(i, f"{'abcdefgh'[i % 8]} text of language number {i % 8}", f"l{min(i % 8, 5)}") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit_languages(docs, max_languages=1).names == ["l5"]
+    assert len(language_id.fit_languages(docs, max_languages=3).names) == 3
+    assert len(language_id.fit_languages(docs).names) == 6
+
+
 def test_token_files(docs, empty):
     rows = token_files.token_files(docs, WORD_BPE).collect()
     assert [r.doc_id for r in sorted(rows, key=lambda r: (r.start, r.n_tokens))] == [None, 1, 2, 3, 4, 4, 5, 6, 7]
