@@ -6,6 +6,7 @@ from millrace.functions.text import cache_key
 from millrace.operators import conversations as V
 from millrace.plans.registry import query, table
 from millrace.sources.scratch import shared_dir
+from millrace.streaming.cache import ANSWERED, stream_cached_answers
 from millrace.streaming.streams import ANSWER, log_windows, rollup_stream_events, stream_answers
 
 # Conversations belong to user conv_id % 7. Feedback comes from events: message (conv_id, turn) by the event's number.
@@ -242,6 +243,24 @@ def i2(spark, d):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_ms", 6).alias("mean_ms"))
 
 
+@query(
+    "i2_stream_log_windows",
+    "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1, 2",
+)
+def i2_stream(spark, d):
+    """The log as a stream; one event a year later moves the watermark past every window but its own."""
+    rows = table(spark, d, "events").select("event_type", "ts", "value")
+    end = rows.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(F.lit("end").alias("event_type"), (F.col("ts") + F.expr("INTERVAL 366 DAYS")).alias("ts"), F.lit(0.0).alias("value"))
+    folder = shared_dir(spark, "log")
+    for part in (rows, end):
+        part.write.mode("append").parquet(f"{folder}/in")
+        windows = log_windows(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        sink = windows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        sink.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    out = spark.read.schema(windows.schema).parquet(f"{folder}/out").where("event_type <> 'end'")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_ms", 6).alias("mean_ms"))
+
+
 @query(
     "i3_rollup_stream_events",
     """
@@ -306,3 +325,37 @@ def i3_stream(spark, d):
         sink = stream_answers(arriving).writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
         sink.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
     return spark.read.schema(ANSWER).parquet(f"{folder}/out").where("request_id <> 'end'")
+
+
+def _answers(asked):
+    return [f"answer {i}" for i in asked["query_id"]]
+
+
+# Questions of 150 wordings; an answer is good for three days from the question it was made for.
+@query(
+    "g11_stream_answer_cache",
+    """
+    WITH RECURSIVE q AS (SELECT event_id AS query_id, ts, event_id % 5 > 0 AS standalone, concat('answer:', sha256(lower(trim(concat(event_type, ' of ', user_id % 30))))[1:16]) AS key FROM events),
+    s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, query_id) AS n FROM q WHERE standalone),
+    w AS (SELECT key, n, query_id, ts AS made, query_id AS owner, false AS hit FROM s WHERE n = 1
+        UNION ALL SELECT s.key, s.n, s.query_id, CASE WHEN s.ts - made < INTERVAL 3 DAY THEN made ELSE s.ts END,
+            CASE WHEN s.ts - made < INTERVAL 3 DAY THEN owner ELSE s.query_id END, s.ts - made < INTERVAL 3 DAY FROM w JOIN s ON s.key = w.key AND s.n = w.n + 1)
+    SELECT query_id, key, concat('answer ', owner) AS response, hit FROM w UNION ALL SELECT query_id, key, concat('answer ', query_id), false FROM q WHERE NOT standalone
+    """,
+)
+def g11_stream(spark, d):
+    """Questions arrive in two halves by time, every tenth of them twice."""
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("query_id"),
+        F.concat(F.col("event_type"), F.lit(" of "), (F.col("user_id") % 30).cast("string")).alias("question"),
+        (F.col("event_id") % 5 > 0).alias("standalone"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    middle = rows.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0] or 0
+    folder, first = shared_dir(spark, "questions"), F.unix_micros("ts") <= middle
+    for part in (rows.where(first), rows.where(~first)):
+        part.unionByName(part.where("query_id % 10 = 0")).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        sink = stream_cached_answers(arriving, _answers, 3 * 86_400).writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        sink.trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.schema(ANSWERED).parquet(f"{folder}/out")

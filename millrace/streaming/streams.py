@@ -50,6 +50,8 @@ def rollup_stream_events(events: DataFrame) -> DataFrame:
     return out.withColumn("status", status).drop("_done", "_error")
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT = "seq long, us long, type string, data string"
 ANSWER = "request_id string, answer string, metadata string, confidence string, citations string, total_ms long, tokens long, status string, late long"
 
@@ -114,7 +116,7 @@ def stream_answers(events: DataFrame, wait: str = "10 minutes", wait_ms: int = 6
     """
     spark = events.sparkSession
     importable_on_workers(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(STATE_STORE, ROCKSDB)
     rows = events.select("request_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "type", "data").withWatermark("ts", wait)
     return rows.groupBy("request_id").transformWithStateInPandas(AnswerEvents(wait_ms), ANSWER, "append", "eventTime")
 
