@@ -1,6 +1,6 @@
 """Text expressions: normalising, cleaning, counting, markers, bands."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Misspelled and corrected words of the domain's queries (entries that map to themselves change nothing).
@@ -93,6 +93,19 @@ def fix_typos(text: Column, corrections: dict[str, str] | None = None) -> Column
     return F.array_join(F.transform(words(text), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), " ")
 
 
+def fix_typos_by_table(rows: DataFrame, corrections: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """:func:`fix_typos` with a dictionary too large for a literal: ``corrections(wrong, right)``, ``wrong`` in lower case.
+
+    Words meet the dictionary in a join; only corrected ones go back to their row, by ``keys`` (distinct for each row) and
+    place. Of several corrections of a word the smallest holds. A null text stays null.
+    """
+    known = corrections.groupBy("wrong").agg(F.min("right").alias("right"))
+    placed = rows.select(*keys, F.posexplode(words(F.col(text))).alias("_place", "_word")).withColumn("wrong", F.lower("_word"))
+    found = placed.join(known, "wrong").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_place", "right"))).alias("_right"))
+    fixed = F.transform(words(F.col(text)), lambda w, i: F.coalesce(F.try_element_at(F.col("_right"), i), w))
+    return rows.join(found, keys, "left").withColumn(text, F.array_join(fixed, " ")).drop("_right")
+
+
 def preprocess(text: Column) -> Column:
     return fix_typos(normalize_whitespace(text))
 

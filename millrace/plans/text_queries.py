@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.plans.registry import query, table
+from millrace.sources.scratch import written
 
 SQL_CLEAN = r"""trim(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '[^\pL\pN_\s.,!?;:()\-–—"'']', '', 'g'))"""
 SQL_NORMAL = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -28,6 +29,15 @@ def b2(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.fix_typos(misspelt).alias("text"))
 
 
+# Conversations' turns are told apart by a number of their own where a pair of them repeats.
+@query("b2_fix_typos_by_table", f"SELECT conv_id, turn, {SQL_FIX.format(SQL_WORDS.format(_MISSPELT))} AS text FROM conversations")
+def b2_table(spark, d):
+    misspelt = F.concat(F.lit("Saglik  sigota\t"), F.col("text"), F.lit(" RECETE "))
+    rows = written(table(spark, d, "conversations").select("conv_id", "turn", misspelt.alias("text"), F.monotonically_increasing_id().alias("row")), "turns")
+    corrections = spark.createDataFrame([*T.TYPO_CORRECTIONS.items()], "wrong string, right string")
+    return T.fix_typos_by_table(rows, corrections, ["row"]).select("conv_id", "turn", "text")
+
+
 @query(
     "b3_preprocess",
     f"SELECT conv_id, turn, {SQL_FIX.format(SQL_WORDS.format(SQL_NORMAL.format(_MISSPELT)))} AS text FROM conversations",
