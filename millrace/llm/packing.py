@@ -1,5 +1,6 @@
 """Packing token pieces into sequences: as they come, then a swap-based local search between underfull bins."""
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,20 @@ class Packing:
             self.fill[-1] += size
         return self
 
+    def best_fit(self) -> "Packing":
+        """Items from the largest to the smallest, each into the bin that it leaves the least room in."""
+        rooms: list[tuple[int, int]] = []
+        for item in sorted(range(len(self.sizes)), key=lambda i: (-self.sizes[i], i)):
+            at = bisect_left(rooms, (self.sizes[item], -1))
+            room, here = rooms.pop(at) if at < len(rooms) else (self.capacity, len(self.bins))
+            if here == len(self.bins):
+                self.bins.append([])
+                self.fill.append(0)
+            self.bins[here].append(item)
+            self.fill[here] += self.sizes[item]
+            insort(rooms, (room - self.sizes[item], here))
+        return self
+
     def local_search(self) -> "Packing":
         """Exchange items between underfull bins as long as the sum of squared fills grows, until bins empty.
 
@@ -68,6 +83,19 @@ class Packing:
         index.add(target)
 
 
+def fewest_bins(sizes: list[int], capacity: int) -> Packing:
+    """The search from the items as they come and, unless that finds the least that any packing has, from their best fit.
+
+    The search ends where no exchange helps, which on wide sizes can be above best fit; of the two ends that with fewer bins
+    is taken, the first of equal ones.
+    """
+    found = Packing(sizes, capacity).in_order().local_search()
+    if len(found.bins) > found.least:
+        other = Packing(sizes, capacity).best_fit().local_search()
+        found = other if len(other.bins) < len(found.bins) else found
+    return found
+
+
 class _Targets:
     """Underfull bins by what they can take in: the room, and the room with one or two of their items gone.
 
@@ -212,7 +240,7 @@ def assign_sequences(pieces: DataFrame, capacity: int = 4096, pool: int = 16_384
     def pack(table: pa.Table) -> pa.RecordBatch:
         table = table.sort_by([("row_id", "ascending"), ("piece", "ascending")])
         lengths = table.column("length").to_pylist()
-        packing = Packing(lengths, capacity).in_order().local_search()
+        packing = fewest_bins(lengths, capacity)
         number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for at, items in enumerate(packing.bins):
             place = 0

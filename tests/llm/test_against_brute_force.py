@@ -444,6 +444,18 @@ def test_search_packs_what_order_leaves(word_ids):
     assert all(sum(lengths[i] for i in b) == f <= 4096 for b, f in zip(packing.bins, packing.fill, strict=True))
 
 
+@pytest.mark.parametrize("low,high", [(1, 4096), (1000, 1900), (1, 300), (2049, 4097), (4096, 4097)])
+def test_never_more_bins_than_best_fit(low, high):
+    from millrace.llm.packing import fewest_bins
+
+    sizes = np.random.default_rng(low).integers(low, high, 1500).tolist()
+    packing, plain = fewest_bins(sizes, 4096), Packing(sizes, 4096).best_fit()
+    assert packing.least <= len(packing.bins) <= len(plain.bins)
+    for p in (packing, plain):
+        assert sorted(i for b in p.bins for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) == f <= 4096 for b, f in zip(p.bins, p.fill, strict=True))
+
+
 def test_search_on_mid_lengths_beats_best_fit():
     lengths = np.random.default_rng(0).integers(1000, 1901, 600).tolist()
     rooms = []
