@@ -54,8 +54,24 @@ def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+# The references that most pages have and no others, the ampersand last, so that what it makes is not read again.
+_COMMON = {"&nbsp;": ENTITIES["nbsp"], "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
+_OTHER = rf"&(?!(?:{'|'.join(c[1:] for c in _COMMON)}))[A-Za-z#]"
+
+
 def decode_references(text: Column) -> Column:
-    """Named and numeric character references as the characters they stand for, each once; others stay as they are."""
+    """Named and numeric character references as the characters they stand for, each once; others stay as they are.
+
+    Texts that have none but the most common ones take plain replacements.
+    """
+    plain = text
+    for reference, character in _COMMON.items():
+        plain = F.replace(plain, F.lit(reference), F.lit(character))
+    return F.when(text.rlike(_OTHER), decode_all_references(text)).otherwise(plain)
+
+
+def decode_all_references(text: Column) -> Column:
+    """:func:`decode_references` of any text, reference by reference."""
     named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def character(ref: Column) -> Column:

@@ -118,6 +118,9 @@ def test_character_references(spark):
         "a &eacute; b": "a é b",
         "&#233;&#xE9;&#x1F600;": "éé😀",
         "&amp;lt; &lt;b&gt;": "&lt; <b>",
+        "&amp;#39;&#39;&amp;&amp;amp;": "&#39;'&&amp;",
+        "&amp;lt; &lt;&eacute;": "&lt; <é",
+        "&l&amp;t; R&D &": "&l&t; R&D &",
         "&unknown; & &#0; &#xD800;": "&unknown; & &#0; &#xD800;",
         "x&nbsp;y &apos;&quot;": "x y '\"",
     }
