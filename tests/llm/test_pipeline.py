@@ -103,18 +103,21 @@ def odd(spark):
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
-def test_stage_on_odd_rows(spark, odd, name):
+def test_stage_on_odd_rows(spark, odd, name, tmp_path):
+    """With labels that say what has to happen: the good text is trusted, and no text of theirs is toxic."""
     docs, good = odd
-    stage = dict(corpus_pipeline.STAGES)[name]
-    rows = stage(spark, docs, SF).collect()
-    assert stage(spark, docs.limit(0), SF).count() == 0
+    stage, where = dict(corpus_pipeline.STAGES)[name], str(tmp_path)
+    labels = [(good["doc_id"], 1, 0), (-4, 1, 0), (-5, 0, 0), (None, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    rows = stage(spark, docs, where).collect()
+    assert stage(spark, docs.limit(0), where).count() == 0
     if name != "packing":
         assert [*rows[0].asDict()] == docs.columns
     texts = sorted((r.doc_id or 0, r.text) for r in rows if r.text and r.text.strip()) if name != "packing" else None
     if name == "quality rules":  # short and empty texts go, equal ones are judged alike
-        assert len({r.text for r in rows}) <= 1 and len(rows) in (0, 4)
+        assert {r.text for r in rows} == {good["text"]} and len(rows) == 4
     elif name == "toxicity":
-        assert len(rows) in (8, 4) and {-1, -2, -3, -5} <= {r.doc_id for r in rows}
+        assert len(rows) == 8
     elif name == "near-duplicates":  # the smallest id of the four equal texts, once
         assert texts == [(-5, "write to a@b.co"), (-4, good["text"])] and len(rows) == 5
     elif name == "personal data":
