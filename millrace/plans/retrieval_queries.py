@@ -391,6 +391,39 @@ def d19(spark, d):
     return R.assemble_response(asked, R.citations(cited_rows(spark, d)), gate(spark, d), facts(spark, d, asked))
 
 
+_PAYLOAD = (
+    "question string, citations array<struct<index: long, source: string, document_type: string>>, "
+    "facts array<struct<place: long, type: string>>, confidence struct<level: string, max_ce: double, passed_chunks: long>"
+)
+
+
+# The payload of questions that name graph entities, read back.
+@query(
+    "d19_response_fields",
+    f"""
+    WITH {CONFIDENCE_SQL}, {CONTEXT_SQL}, l AS ({_LISTED}),
+    c AS (SELECT l.query_id, count(*) AS n, string_agg(concat(rank, ':', source, ':', CASE WHEN d.doc_id % 3 = 0 THEN 'html' ELSE 'pdf' END), '|' ORDER BY rank) AS listed
+        FROM l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1)
+    SELECT q.query_id, q.question, coalesce(n, 0) AS n_citations, coalesce(listed, '') AS citations, level, max_ce, passed_chunks, coalesce(n_facts, 0) AS n_facts
+    FROM questions q JOIN gate g USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN graph USING (query_id)
+    """,
+)
+def d19_fields(spark, d):
+    answers = R.assemble_response(questions(spark, d), R.citations(cited_rows(spark, d)), gate(spark, d), facts(spark, d, named_questions(spark, d)))
+    rows = answers.select("query_id", F.from_json("payload", _PAYLOAD).alias("p"))
+    listed = F.transform("p.citations", lambda c: F.concat_ws(":", c["index"].cast("string"), c["source"], c["document_type"]))
+    return rows.select(
+        "query_id",
+        "p.question",
+        F.size("p.citations").cast("long").alias("n_citations"),
+        F.array_join(listed, "|").alias("citations"),
+        "p.confidence.level",
+        "p.confidence.max_ce",
+        "p.confidence.passed_chunks",
+        F.size("p.facts").cast("long").alias("n_facts"),
+    )
+
+
 @query(
     "d20_citation_usage",
     f"""

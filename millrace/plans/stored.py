@@ -17,13 +17,16 @@ _BUILT: dict[tuple, str] = {}
 def built(spark: SparkSession, sf_dir: str, name: str, kind: str, build: Callable[[str], None]) -> str:
     """The folder in which ``build(folder)`` has put the index ``kind`` of a table, made at the first call.
 
-    A table whose size, number of files or time of change is another one gets an index of its own.
+    A table whose size, number of files or time of change is another one gets an index of its own, and so does one whose
+    index has been deleted.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    to_path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    path = to_path(f"{sf_dir}/{name}.parquet")
+    files = path.getFileSystem(conf)
     size, status = files.getContentSummary(path), files.getFileStatus(path)
     key = (spark.sparkContext.applicationId, kind, str(path), size.getLength(), size.getFileCount(), status.getModificationTime())
-    if key not in _BUILT:
+    old = to_path(_BUILT[key]) if key in _BUILT else None
+    if old is None or not old.getFileSystem(conf).exists(old):
         folder = shared_dir(spark, kind)
         build(folder)
         _BUILT[key] = folder
