@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BoundedCache, cache_of, map_texts
+from millrace.llm.shared import BoundedCache, cache_of, map_texts, written
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -82,54 +82,54 @@ class QualityModel:
         return float(self.log_ratio[buckets].sum() / (len(buckets) + self.prior))
 
 
-def trusted_sample(labels: DataFrame, max_trusted: int) -> DataFrame:
-    """Ids of at most ``max_trusted`` rows labelled quality 1, those of least hash: small enough to broadcast."""
+def trusted_sample(labels: DataFrame, max_trusted: int | None = None) -> DataFrame:
+    """Ids of all rows labelled quality 1, or of the ``max_trusted`` of least hash."""
     ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    return ids if max_trusted is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
 
 
 def fit_quality(
     docs: DataFrame,
     labels: DataFrame,
     bits: int = 16,
-    max_trusted: int = 20_000,
+    max_trusted: int | None = None,
     quantile: float = 0.002,
     slack: float = 0.03,
     prior: float = 20.0,
 ) -> QualityModel:
     """Fit the two multinomials and the threshold.
 
-    The raw multinomial counts every text of ``docs``; the trusted one counts the texts of at most ``max_trusted``
-    labelled rows (:func:`trusted_sample`), but for every fifth of them. Both counts are made in one pass: each task adds up its own buckets
-    and emits at most 2^``bits`` rows, which a pre-aggregated sum joins; 2^``bits`` sums come to the driver. The
-    threshold is the ``quantile`` of the scores of those left out, less ``slack``, so nearly all text like them stays.
-    Without trusted rows all ratios are 0 and only the base rules decide.
+    The raw multinomial counts every text of ``docs``; the trusted one counts the texts of all rows labelled quality 1
+    (of ``max_trusted`` of them where that is given), but for every fifth of them. Labels meet texts in one join, which Spark
+    broadcasts only while the labels are small. Both counts are made in one pass over it: each task adds up its own buckets
+    and emits at most 2^``bits`` rows, which a pre-aggregated sum joins; 2^``bits`` sums come to the driver. The pass also
+    writes the texts of those left out, and the threshold is the ``quantile`` of their scores, less ``slack``, so nearly all
+    text like them stays. Without trusted rows all ratios are 0 and only the base rules decide.
     """
     sample = trusted_sample(labels, max_trusted).withColumn("fifth", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
-    ids = sample.where("fifth > 0").select("doc_id", F.lit(True).alias("trusted"))
-    # The sample's size is bounded by max_trusted, whatever the size of labels.
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
-    marked = marked.select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    marked = docs.select("doc_id", "text").join(sample, "doc_id", "left").select("fifth", "text")
 
     def count(batches: Iterator) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 << bits), np.int64)
-        for trusted, texts in batches:
-            for flag, text in zip(trusted.to_pylist(), texts, strict=True):
+        for fifths, texts in batches:
+            apart = []
+            for fifth, text in zip(fifths.to_pylist(), texts, strict=True):
                 buckets = ngram_buckets((text or "").encode("utf-8").split(), bits)
                 found = np.bincount(buckets, minlength=1 << bits) if len(buckets) > 20_000 else None
-                for row in (0, 1) if flag else (0,):
+                for row in (0, 1) if fifth else (0,):
                     if found is not None:
                         totals[row] += found
                     else:
                         np.add.at(totals[row], buckets, 1)
+                if fifth == 0:
+                    apart.append(text)
+            n = len(apart)
+            yield _counted(n, [pa.nulls(n, pa.int64())] * 3, apart)
         some = np.flatnonzero(totals[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(some), bool)), pa.array(some), pa.array(totals[0][some]), pa.array(totals[1][some])],
-            ["key", "bucket", "raw", "target"],
-        )
+        yield _counted(len(some), [pa.array(some), pa.array(totals[0][some]), pa.array(totals[1][some])], [None] * len(some))
 
-    parts = map_texts(marked, count, "bucket long, raw long, target long", "trusted", uses="quality")
-    rows = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    parts = written(map_texts(marked, count, "bucket long, raw long, target long, apart string", "fifth", uses="quality"), "counts")
+    rows = parts.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(1 << bits), np.ones(1 << bits)
     for r in rows:
         raw[r.bucket] += r.raw
@@ -138,13 +138,29 @@ def fit_quality(
         return QualityModel(np.zeros(1 << bits), bits, prior)
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     model = QualityModel(ratio, bits, prior)
-    apart = docs.select("doc_id", "text").join(F.broadcast(sample.where("fifth = 0")), "doc_id", "left_semi")
-    scored = score_quality(apart, model)
-    found = scored.where("not base_failed").agg(F.percentile("score", F.lit(quantile))).first()[0]
+    apart = parts.where("bucket IS NULL").select(F.lit(0).cast("long").alias("doc_id"), F.col("apart").alias("text"))
+    scores = score_quality(apart, model).where("not base_failed").select("score")
+    found = lower_quantile(written(scores, "scores"), "score", quantile)
     model.threshold = found - slack if found is not None else -np.inf
     return model
 
 
+def _counted(n: int, counts: list[pa.Array], texts: list[str | None]) -> pa.RecordBatch:
+    columns = [pa.nulls(n, pa.int64()), *counts, pa.array(texts, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["key", "bucket", "raw", "target", "apart"])
+
+
+def lower_quantile(rows: DataFrame, column: str, share: float) -> float | None:
+    """The exact quantile, interpolated, of a small ``share``, from the values up to it alone; null without values."""
+    n = rows.where(F.col(column).isNotNull()).count()
+    if not n:
+        return None
+    place = share * (n - 1)
+    low, high = int(np.floor(place)), int(np.ceil(place))
+    last = rows.where(F.col(column).isNotNull()).orderBy(column).limit(high + 1).orderBy(F.desc(column)).limit(high - low + 1).collect()
+    return last[-1][0] + (last[0][0] - last[-1][0]) * (place - low)
+
+
 def score_quality(
     docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", carry_row: bool = False
 ) -> DataFrame:
