@@ -88,6 +88,24 @@ def trusted_sample(labels: DataFrame, max_trusted: int | None = None) -> DataFra
     return ids if max_trusted is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
 
 
+def with_fifths(docs: DataFrame, sample: DataFrame, bits: int = 26) -> DataFrame:
+    """``(fifth, text)`` of every row of ``docs``; ``fifth`` is that of its id in ``sample``, null where it is not there.
+
+    A bitmap of the sample's hashed ids, of at most 2^``bits`` bits in rows of 4 KB (8 MB), is sent to the scan. Rows whose
+    bit is not set cannot be in the sample and stay where they are; the others are joined exactly.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1
+    set_bits = sample.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit")).distinct()
+    bitmap = set_bits.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    asked = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
+    tested = asked.join(F.broadcast(written(bitmap, "bitmap")), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
+    likely_rows = tested.where(likely).select("doc_id", "text").join(sample.hint("merge"), "doc_id", "left")
+    other = tested.where(~likely).select(F.lit(None).cast("long").alias("fifth"), "text")
+    return other.unionByName(likely_rows.select("fifth", "text"))
+
+
 def fit_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -100,14 +118,14 @@ def fit_quality(
     """Fit the two multinomials and the threshold.
 
     The raw multinomial counts every text of ``docs``; the trusted one counts the texts of all rows labelled quality 1
-    (of ``max_trusted`` of them where that is given), but for every fifth of them. Labels meet texts in one join, which Spark
-    broadcasts only while the labels are small. Both counts are made in one pass over it: each task adds up its own buckets
+    (of ``max_trusted`` of them where that is given), but for every fifth of them. Only texts that may be labelled are
+    shuffled to meet their labels (:func:`with_fifths`). Both counts are made in one pass: each task adds up its own buckets
     and emits at most 2^``bits`` rows, which a pre-aggregated sum joins; 2^``bits`` sums come to the driver. The pass also
     writes the texts of those left out, and the threshold is the ``quantile`` of their scores, less ``slack``, so nearly all
     text like them stays. Without trusted rows all ratios are 0 and only the base rules decide.
     """
     sample = trusted_sample(labels, max_trusted).withColumn("fifth", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
-    marked = docs.select("doc_id", "text").join(sample, "doc_id", "left").select("fifth", "text")
+    marked = with_fifths(docs.select("doc_id", "text"), sample)
 
     def count(batches: Iterator) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 << bits), np.int64)
