@@ -3,6 +3,7 @@
 import functools
 import heapq
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BoundedCache, cache_of, map_texts
+from millrace.llm.shared import PLACE, BoundedCache, cache_of, map_texts
 
 # The white space of the Unicode White_Space property, and the byte-level split pattern.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -26,44 +27,84 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in kept else chr(next(spare)) for b in range(256)]
 
 
-def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
+class Merges:
+    """A tokenizer's merges by whole numbers: symbols and merged symbols have ids, pairs of ids the rank of their merge."""
+
+    def __init__(self, ranks: dict[tuple[str, str], int]):
+        self.ids: dict[str, int] = {}
+        for left, right in ranks:
+            for symbol in (left, right, left + right):
+                self.ids.setdefault(symbol, len(self.ids))
+        self.rank = {self.ids[left] << 32 | self.ids[right]: rank for (left, right), rank in ranks.items()}
+        self.made = {rank: self.ids[left + right] for (left, right), rank in ranks.items()}
+
+    def id_of(self, symbol: str) -> int:
+        return self.ids.setdefault(symbol, len(self.ids))
+
+
+def merged_length(symbols: list[int], merges: Merges) -> int:
     """How many symbols remain when the adjacent pair of lowest rank (leftmost on ties) is merged until none is left.
 
-    A heap holds candidate pairs, a doubly linked list the symbols that remain; stale heap entries are skipped by
-    comparing the pair they were made from. O(n log n) for any word length.
+    A heap holds candidate pairs, as one number of rank and place, a doubly linked list the symbols that remain; an entry is
+    stale unless it has the present rank of the pair at its place. O(n log n) for any word length.
     """
-    n = len(symbols)
-    if n < 2:
-        return n
-    symbols = list(symbols)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        rank = ranks.get((symbols[i], symbols[i + 1]))
-        if rank is not None:
-            heap.append((rank, i, symbols[i], symbols[i + 1]))
+    n, ranks, made = len(symbols), merges.rank, merges.made
+    present = [ranks.get(left << 32 | right, -1) for left, right in zip(symbols, symbols[1:])]
+    present = [rank << 32 | i if rank >= 0 else -1 for i, rank in enumerate(present)]
+    heap = [entry for entry in present if entry >= 0]
     heapq.heapify(heap)
-    merges = 0
+    symbols, present = [*symbols], [*present, -1]
+    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+    left = n
     while heap:
-        _, i, left, right = heapq.heappop(heap)
-        j = after[i]
-        if symbols[i] != left or j >= n or symbols[j] != right:
+        entry = heapq.heappop(heap)
+        i = entry & 0xFFFFFFFF
+        if present[i] != entry:
             continue
-        symbols[i], symbols[j] = left + right, None
-        merges += 1
+        j = after[i]
+        symbol = symbols[i] = made[entry >> 32]
+        left -= 1
+        present[i] = present[j] = -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            rank = ranks.get((symbols[i], symbols[k]))
+            rank = ranks.get(symbol << 32 | symbols[k])
             if rank is not None:
-                heapq.heappush(heap, (rank, i, symbols[i], symbols[k]))
+                present[i] = rank << 32 | i
+                heapq.heappush(heap, present[i])
         h = before[i]
         if h >= 0:
-            rank = ranks.get((symbols[h], symbols[i]))
-            if rank is not None:
-                heapq.heappush(heap, (rank, h, symbols[h], symbols[i]))
-    return n - merges
+            rank = ranks.get(symbols[h] << 32 | symbol)
+            if rank is None:
+                present[h] = -1
+            else:
+                present[h] = rank << 32 | h
+                heapq.heappush(heap, present[h])
+    return left
+
+
+class AgingCache(BoundedCache):
+    """A bounded cache of two halves: when the newer one is full it becomes the older one, from which used entries return."""
+
+    def __init__(self, make, megabytes: float):
+        super().__init__(make, megabytes / 2)
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        cost = PLACE + sys.getsizeof(key) + sys.getsizeof(value)
+        if self.held + cost > self.limit:
+            self.older = dict(self)
+            BoundedCache.clear(self)
+        self.held += cost
+        self[key] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
 
 
 class MergeCounter:
@@ -72,23 +113,25 @@ class MergeCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.ranks = {tuple(pair): rank for rank, pair in enumerate(spec["model"]["merges"])}
-        self.symbol = byte_symbols()
+        self.merges = Merges({tuple(pair): rank for rank, pair in enumerate(spec["model"]["merges"])})
+        self.symbol = [self.merges.id_of(s) for s in byte_symbols()]
         self.pieces = regex.compile(SPLIT)
         # A space before a visible character always starts a piece, so the parts between such places are independent.
         self.parts = regex.compile(rf"(?= [^{WHITE}])")
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.odd = regex.compile(r" (?:\s|$)")
+        # Words that differ only in the marks behind them share their letters' piece.
+        self.of_piece = cache_of("token_counts", f"pieces {path}", AgingCache(self._piece, 96))
         self.of_part = cache_of("token_counts", f"parts {path}", BoundedCache(self._part, 16))
-        spaced = BoundedCache(lambda part: self._part(" " + part), 80)
+        spaced = AgingCache(lambda part: self._part(" " + part), 128)
         self.after_space = cache_of("token_counts", f"words {path}", spaced)
 
+    def _piece(self, piece: str) -> int:
+        return merged_length([*map(self.symbol.__getitem__, piece.encode("utf-8"))], self.merges)
+
     def _part(self, part: str) -> int:
-        total = 0
-        for piece in self.pieces.findall(part):
-            total += merged_length([self.symbol[b] for b in piece.encode("utf-8")], self.ranks)
-        return total
+        return sum(map(self.of_piece.__getitem__, self.pieces.findall(part)))
 
     def count(self, text: str) -> int:
         total, stretches = 0, [text]
