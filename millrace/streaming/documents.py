@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.sources.scratch import discard, written
-from millrace.sources.tables import content_hash
+from millrace.sources.tables import content_hash, likely_in
 
 VERSIONS = "doc_id long, content_hash string, version long, bucket string, batch long"
 CONTENTS = "content_hash string, bucket string, batch long"
@@ -41,7 +41,8 @@ def _replace(rows: DataFrame, path: str) -> None:
 
     Rows meet by bucket, so that a bucket is one file, unless adaptive execution finds it too large.
     """
-    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    out = rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.option("compression", "zstd").partitionBy("bucket", "batch").parquet(path)
 
 
 def add_documents(arrived: DataFrame, number: int, registry: str, chunks: str, chunk: Callable[[DataFrame], DataFrame], order: str | None = None) -> None:
@@ -53,13 +54,16 @@ def add_documents(arrived: DataFrame, number: int, registry: str, chunks: str, c
     its rows fall into, and by batch. A document of a batch that is there several times has the row of greatest
     ``order`` (of equal ones, or without it, that of greatest content hash). Rows with a null id are left out.
 
+    Which texts are new is found by hashes alone. Only the new ones are shuffled, once, to leave one of each, and
+    ``chunk`` gets them by content, with the hash as their ``doc_id``, so that its chunks meet no other table.
+
     A document whose content is as it was adds nothing. Versions come last and make the rest visible; a batch that is
     replayed after a failure ignores and replaces what it wrote under its number, so it changes nothing.
     """
     spark = arrived.sparkSession
     hashed = arrived.where("doc_id IS NOT NULL").withColumn("content_hash", content_hash(F.col("text")))
-    newest = F.struct(*([F.col(order)] if order else []), "content_hash", "text")
-    once = hashed.groupBy("doc_id").agg(F.max(newest).alias("d")).select("doc_id", "d.content_hash", "d.text")
+    newest = F.struct(*([F.col(order)] if order else []), "content_hash")
+    once = hashed.groupBy("doc_id").agg(F.max(newest).alias("d")).select("doc_id", "d.content_hash")
     once = written(once.withColumn("bucket", _doc_bucket("doc_id")), "arrived")
 
     before = touched(stored(spark, f"{registry}/versions", VERSIONS), once).where(F.col("batch") != number)
@@ -69,17 +73,21 @@ def add_documents(arrived: DataFrame, number: int, registry: str, chunks: str, c
     versions = once.join(held, "doc_id", "left").where(changed)
     versions = written(versions.select("doc_id", "content_hash", F.lit(number).cast("long").alias("version"), "bucket"), "versions")
 
-    texts = once.where("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d"))
-    texts = texts.select("content_hash", "d.doc_id", "d.text", _bucket(F.col("content_hash")).alias("bucket"))
-    done = touched(stored(spark, f"{registry}/contents", CONTENTS), texts).where(F.col("batch") != number)
-    fresh = written(texts.join(done, "content_hash", "left_anti"), "fresh")
-    pieces = chunk(fresh.select("doc_id", "text")).join(fresh.select("doc_id", "content_hash", "bucket"), "doc_id").drop("doc_id")
+    wanted = once.where("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    wanted = wanted.withColumn("bucket", _bucket(F.col("content_hash")))
+    done = touched(stored(spark, f"{registry}/contents", CONTENTS), wanted).where(F.col("batch") != number)
+    wanted = written(wanted.join(done, "content_hash", "left_anti"), "wanted")
+    key, made = ["doc_id", "content_hash"], []
+    texts = likely_in(hashed.select(*key, "text"), wanted, key, made=made).dropDuplicates(key)
+    fresh = written(texts.join(wanted, key, "left_semi").select("content_hash", "text"), "fresh", packed=True)
+    pieces = chunk(fresh.select(F.col("content_hash").alias("doc_id"), "text")).withColumnRenamed("doc_id", "content_hash")
+    pieces = pieces.withColumn("bucket", _bucket(F.col("content_hash")))
 
     batch = F.lit(number).cast("long")
     _replace(pieces.withColumn("batch", batch), chunks)
-    _replace(fresh.select("content_hash", "bucket").withColumn("batch", batch), f"{registry}/contents")
+    _replace(wanted.select("content_hash", "bucket").withColumn("batch", batch), f"{registry}/contents")
     _replace(versions.withColumn("batch", batch), f"{registry}/versions")
-    for table in (once, versions, fresh):
+    for table in (once, versions, wanted, fresh, *made):
         discard(table)
 
 
